@@ -48,12 +48,13 @@ def buffers(arr: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data[off[0] : off[-1]], off - off[0]
 
 
-def slices(arr: pa.Array, limit: int = 4 << 20) -> Iterator[tuple[int, int]]:
-    """Ranges of documents of at most ``limit`` bytes together (one at least)."""
+def slices(arr: pa.Array, limit: int = 4 << 20, rows: int = 50_000) -> Iterator[tuple[int, int]]:
+    """Ranges of at most ``rows`` documents and ``limit`` bytes together (one document at least)."""
     _, off = buffers(arr)
     lo, n = 0, len(arr)
     while lo < n:
         hi = max(lo + 1, int(np.searchsorted(off, off[lo] + limit, "right")) - 1)
+        hi = min(hi, lo + rows)
         yield lo, hi
         lo = hi
 

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from arborix.llm import host_reputation, packing, quality, sharding, token_file
+from arborix.llm import decontaminate, embedding_dedup, host_reputation, lm, ngram_join, packing, quality, sharding, substring_dedup, token_file
 from arborix.llm._spark import scratch, table
 
 
@@ -16,10 +16,26 @@ def vocabulary(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_bm25_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op2_quality_ftrl(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op3_cross_polytope(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_dedup.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
+def op4_context_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.score(table(spark, sf_dir, "documents"))
+
+
+def op5_fingerprint_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.dedup(table(spark, sf_dir, "documents"))
+
+
 def op6_host_reputation(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = host_reputation.judge(table(spark, sf_dir, "pages"), table(spark, sf_dir, "labels"))
     return out.select("page_id", "host", "path", "rule", "verdict")
@@ -39,14 +55,23 @@ def op9_nnls_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"))
 
 
+def op10_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.join(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
+        op1_bm25_decontamination,
         op2_quality_ftrl,
+        op3_cross_polytope,
+        op4_context_tree,
+        op5_fingerprint_index,
         op6_host_reputation,
         op7_prefix_sum_shards,
         op8_rans_token_file,
         op9_nnls_packing,
+        op10_ngram_jaccard,
     )
 }
 
