@@ -152,8 +152,8 @@ def fit(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN, bits: in
     return np.frombuffer(found[0]["w"], np.float32).astype(np.float64) if found else np.zeros((1 << bits) + 1)
 
 
-def scored(docs: DataFrame, weights: np.ndarray, keep: list[str], bits: int = BITS) -> DataFrame:
-    """``keep`` columns and ``score`` of every row."""
+def scored(docs: DataFrame, weights: np.ndarray, keep: list[str], bits: int = BITS, name: str = "score") -> DataFrame:
+    """``keep`` columns and the score, called ``name``, of every row."""
     shared = docs.sparkSession.sparkContext.broadcast(weights.astype(np.float32))
     schema = docs.select(*keep).schema
 
@@ -163,10 +163,10 @@ def scored(docs: DataFrame, weights: np.ndarray, keep: list[str], bits: int = BI
             text = b.column(b.num_columns - 1)
             parts = [score(text.slice(lo, hi - lo), w, bits) for lo, hi in slices(text)]
             s = np.concatenate(parts) if parts else np.zeros(0)
-            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(s)], [*keep, "score"])
+            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(s)], [*keep, name])
 
     src = docs.select(*keep, F.coalesce(F.col("text"), F.lit("")).alias("__text"))
-    return src.mapInArrow(run, schema.add("score", "double"))
+    return src.mapInArrow(run, schema.add(name, "double"))
 
 
 def classify(docs: DataFrame, labels: DataFrame, threshold: float = 0.3) -> DataFrame:
@@ -182,8 +182,8 @@ def classify(docs: DataFrame, labels: DataFrame, threshold: float = 0.3) -> Data
 
 def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = 0.3) -> DataFrame:
     """The rows of ``docs`` that score ``threshold`` or more, all columns kept."""
-    out = scored(docs, fit(docs, labels), docs.columns)
-    return out.where(F.col("score") >= threshold).drop("score")
+    out = scored(docs, fit(docs, labels), docs.columns, name="__score")
+    return out.where(F.col("__score") >= threshold).drop("__score")
 
 
 __all__ = ["Ftrl", "classify", "features", "fit", "keep_good", "score", "scored", "train"]
