@@ -1 +1 @@
-
+"""Helpers that are not operators: session width."""
