@@ -57,16 +57,16 @@ QUERIES = {
     "ancestor_closure": _q(plans.closure),
     "dist_to_root_hops": _q(lambda n: trees.dist_to_root(n, weighted=False)),
     "subtree_height": _q(trees.subtree_height),
-    "descendants": _q(lambda n: trees.descendants(n, marked(n, 19, 2)).select("skeleton_id", "source", "node_id")),
-    "paths_to_root": _q(lambda n: trees.paths_to_root(n, marked(n, 19, 5))),
+    "descendants": _q(lambda n: trees.descendants(n, n.select("skeleton_id", "node_id")).select("skeleton_id", "source", "node_id")),
+    "paths_to_root": _q(lambda n: trees.paths_to_root(n, n.select("skeleton_id", "node_id"))),
     "descendant_counts": _q(trees.descendant_counts),
     "betweenness_directed": _q(trees.betweenness),
     "betweenness_undirected": _q(lambda n: trees.betweenness(n, directed=False)),
     "geodesic_matrix": _q(lambda n: trees.geodesic_matrix(n, marked(n, 23, 3), marked(n, 29, 4))),
     "geodesic_matrix_directed": _q(lambda n: trees.geodesic_matrix(n, marked(n, 23, 3), marked(n, 3, 0), directed=True)),
     "geodesic_pairs": _q(lambda n: trees.geodesic_pairs(n, n.select("skeleton_id", F.col("node_id").alias("source"), F.expr("node_id div 3").alias("target")))),
-    "geodesic_nearest": _q(lambda n: trees.geodesic_nearest(n, marked(n, 13, 1), marked(n, 11, 4))),
-    "geodesic_farthest": _q(lambda n: trees.geodesic_farthest(n, marked(n, 13, 1), marked(n, 11, 4))),
+    "geodesic_nearest": _q(lambda n: trees.geodesic_nearest(n, n.select("skeleton_id", "node_id"), marked(n, 11, 4))),
+    "geodesic_farthest": _q(lambda n: trees.geodesic_farthest(n, n.select("skeleton_id", "node_id"), marked(n, 11, 4))),
     "generate_segments": _q(trees.generate_segments),
     "break_segments": _q(lambda n: trees.break_segments(n).groupBy("skeleton_id", "segment").agg(F.count("*").alias("n"), F.min_by("node_id", "pos").alias("distal"), F.max_by("node_id", "pos").alias("proximal")).drop("segment")),
     "segment_coords": _q(trees.segment_coords),
@@ -95,10 +95,10 @@ _BLOCK = """
     ON d.skeleton_id = a.skeleton_id AND d.source = a.node_id AND d.target = b.node_id WHERE {s}
 """
 _EXTREME = """
-    SELECT s.skeleton_id, s.node_id, coalesce(e.dist, -1) AS dist, coalesce(e.target, -1) AS target FROM (SELECT * FROM forest WHERE node_id % 13 = 1) s
+    SELECT s.skeleton_id, s.node_id, coalesce(e.dist, -1) AS dist, coalesce(e.target, -1) AS target FROM forest s
     LEFT JOIN (
         SELECT skeleton_id, source, {0}(dist) AS dist, min_by(target, ({1}dist, target)) AS target
-        FROM (""" + _LCA.format("s.node % 13 = 1 AND t.node % 11 = 4 AND s.node <> t.node") + """) GROUP BY ALL
+        FROM (""" + _LCA.format("t.node % 11 = 4 AND s.node <> t.node") + """) GROUP BY ALL
     ) e ON e.skeleton_id = s.skeleton_id AND e.source = s.node_id
 """
 
@@ -115,8 +115,8 @@ ORACLES = {"region_distance": REGION_DISTANCE} | {
         "ancestor_closure": "SELECT * FROM clo",
         "dist_to_root_hops": "SELECT skeleton_id, node AS node_id, hops::DOUBLE AS dist FROM top",
         "subtree_height": "SELECT skeleton_id, anc AS node_id, max(dist) AS height FROM clo GROUP BY ALL",
-        "descendants": "SELECT skeleton_id, anc AS source, node AS node_id FROM clo WHERE anc % 19 = 2",
-        "paths_to_root": "SELECT skeleton_id, node AS source, hops AS pos, anc AS node_id FROM clo WHERE node % 19 = 5",
+        "descendants": "SELECT skeleton_id, anc AS source, node AS node_id FROM clo",
+        "paths_to_root": "SELECT skeleton_id, node AS source, hops AS pos, anc AS node_id FROM clo",
         "descendant_counts": "SELECT skeleton_id, anc AS node_id, count(*) - 1 AS n FROM clo GROUP BY ALL",
         "betweenness_directed": "SELECT d.skeleton_id, d.node_id, d.n * t.hops AS betweenness FROM (SELECT skeleton_id, anc AS node_id, count(*) - 1 AS n FROM clo GROUP BY ALL) d JOIN top t ON t.skeleton_id = d.skeleton_id AND t.node = d.node_id",
         "betweenness_undirected": """, size AS (SELECT skeleton_id, anc AS node_id, count(*) AS n FROM clo GROUP BY ALL),

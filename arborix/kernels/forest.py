@@ -29,7 +29,7 @@ class Forest:
         kids = np.flatnonzero(~self.is_root)
         self.child = kids[np.argsort(self.parent[kids], kind="stable")]
         self.child_at = np.concatenate([[0], np.cumsum(self.n_children)])
-        self._depth = None
+        self._depth = self._levels = self._pre = None
 
     # -- order ------------------------------------------------------------------------------------
     @property
@@ -76,10 +76,11 @@ class Forest:
     def down(self, start: np.ndarray, step) -> np.ndarray:
         """value[child] = step(value[parent], child), level by level from the roots."""
         out = start.copy()
-        order, depth = self.order, self.depth
-        cut = np.searchsorted(depth[order], np.arange(1, int(depth.max(initial=0)) + 2))
-        for a, b in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True):
-            rows = order[a:b]
+        if self._levels is None:
+            order, depth = self.order, self.depth
+            cut = np.searchsorted(depth[order], np.arange(1, int(depth.max(initial=0)) + 2))
+            self._levels = [order[a:b] for a, b in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True)]
+        for rows in self._levels:
             out[rows] = step(out[self.parent[rows]], rows)
         return out
 
@@ -152,9 +153,13 @@ class Forest:
         return out
 
     def descendants(self, i: int) -> np.ndarray:
-        pre = self.preorder()
-        place = int(np.flatnonzero(pre == i)[0])
-        return pre[place : place + int(self._sizes()[i])]
+        if self._pre is None:
+            pre = self.preorder()
+            place = np.empty(self.n, np.int64)
+            place[pre] = np.arange(self.n)
+            self._pre = pre, place, self._sizes()
+        pre, place, size = self._pre
+        return pre[place[i] : place[i] + size[i]]
 
     def descendant_counts(self, target=None) -> np.ndarray:
         hit = np.ones(self.n, np.int64) if target is None else np.asarray(target, np.int64)
@@ -176,37 +181,61 @@ class Forest:
     def distances(self, sources: np.ndarray, targets: np.ndarray, directed: bool = False, weighted: bool = True) -> np.ndarray:
         """(sources, targets) block; -1 where unreachable."""
         w = self._edge() if weighted else np.where(self.is_root, 0.0, 1.0)
+        sources, targets = np.asarray(sources, np.int64), np.asarray(targets, np.int64)
         out = np.full((len(sources), len(targets)), -1.0)
-        root, deep = self.root(), self.root_distance(weighted)
-        for k, s in enumerate(np.asarray(sources).tolist()):
-            up, d, i = {}, 0.0, s
-            while i >= 0:
-                up[i] = d
-                d += w[i]
-                i = int(self.parent[i])
-            if directed:
-                out[k] = [up.get(t, -1.0) for t in targets.tolist()]
-                continue
-            # the lowest common ancestor is the nearest node above t on the way from s to its root
-            for j, t in enumerate(targets.tolist()):
-                if root[t] == root[s]:
-                    a = t
-                    while a not in up:
-                        a = int(self.parent[a])
-                    out[k, j] = up[a] + (deep[t] - deep[a])
+        for k in range(0, len(sources), 64):
+            some = sources[k : k + 64]
+            # distances up from each source; from there they run down every other branch
+            up = np.full((self.n, len(some)), np.inf)
+            at, d = some.copy(), np.zeros(len(some))
+            live = np.arange(len(some))
+            while len(live):
+                up[at[live], live] = d[live]
+                d[live] += w[at[live]]
+                at[live] = self.parent[at[live]]
+                live = live[at[live] >= 0]
+            if not directed:
+                up = self.down(up, lambda above, rows, up=up: np.where(np.isfinite(up[rows]), up[rows], above + w[rows][:, None]))
+            got = up[targets].T
+            out[k : k + 64] = np.where(np.isfinite(got), got, -1.0)
         return out
 
+    def pair_distances(self, a: np.ndarray, b: np.ndarray, directed: bool = False, weighted: bool = True) -> np.ndarray:
+        """Distance of each pair of rows, by lowest common ancestors (binary lifting); -1 where unreachable."""
+        a, b = np.asarray(a, np.int64), np.asarray(b, np.int64)
+        deep, depth, root = self.root_distance(weighted), self.depth, self.root()
+        jumps = [np.where(self.is_root, np.arange(self.n), self.parent)]
+        while (1 << len(jumps)) <= int(depth.max(initial=0)):
+            jumps.append(jumps[-1][jumps[-1]])
+        x, y = np.where(depth[a] >= depth[b], a, b), np.where(depth[a] >= depth[b], b, a)
+        gap = depth[x] - depth[y]
+        for k, jump in enumerate(jumps):
+            x = np.where(gap >> k & 1, jump[x], x)
+        for jump in jumps[::-1]:
+            apart = jump[x] != jump[y]
+            x, y = np.where(apart, jump[x], x), np.where(apart, jump[y], y)
+        low = np.where(x == y, x, jumps[0][x])
+        ok = root[a] == root[b]
+        if directed:
+            ok &= low == b
+        return np.where(ok, deep[a] + deep[b] - 2 * deep[low], -1.0)
+
     def extreme(self, sources: np.ndarray, targets: np.ndarray, far: bool, directed: bool, weighted: bool) -> tuple[np.ndarray, np.ndarray]:
         """Nearest (or farthest) target other than the source itself, ties to the least id; (-1, -1) if none."""
         targets = targets[np.argsort(self.ids[targets], kind="stable")]
+        sources = np.asarray(sources, np.int64)
         dist, who = np.full(len(sources), -1.0), np.full(len(sources), -1, np.int64)
-        for k, s in enumerate(sources.tolist()):
-            d = self.distances(np.array([s]), targets, directed, weighted)[0]
-            ok = (d >= 0) & (targets != s)
-            if ok.any():
-                key = np.where(ok, d, -np.inf if far else np.inf)
-                j = int(np.argmax(key) if far else np.argmin(key))
-                dist[k], who[k] = d[j], self.ids[targets[j]]
+        if not len(targets):
+            return dist, who
+        for k in range(0, len(sources), 64):
+            rows = slice(k, k + 64)
+            d = self.distances(sources[rows], targets, directed, weighted)
+            ok = (d >= 0) & (targets[None] != sources[rows][:, None])
+            value = np.where(ok, d, -np.inf if far else np.inf)
+            j = np.argmax(value, 1) if far else np.argmin(value, 1)
+            any_ = ok.any(1)
+            dist[rows] = np.where(any_, d[np.arange(len(j)), j], -1.0)
+            who[rows] = np.where(any_, self.ids[targets[j]], -1)
         return dist, who
 
     # -- segments -----------------------------------------------------------------------------------

@@ -181,7 +181,8 @@ def geodesic_pairs(nodes: DataFrame, pairs: DataFrame, directed: bool = False, w
 
     def fn(f, left, right):
         i, j = f.index(right.source), f.index(right.target)
-        d = [f.distances(np.array([a]), np.array([b]), directed, weighted)[0, 0] if a >= 0 and b >= 0 else -1.0 for a, b in zip(i, j, strict=True)]
+        d, ok = np.full(len(i), -1.0), (i >= 0) & (j >= 0)
+        d[ok] = f.pair_distances(i[ok], j[ok], directed, weighted)
         return pd.DataFrame({"source": right.source, "target": right.target, "dist": d})
 
     return _with(nodes, pairs.select("skeleton_id", "source", "target"), fn, "skeleton_id bigint, source bigint, target bigint, dist double")

@@ -87,6 +87,9 @@ def test_against_brute_force(x):
         assert f.ids[f.descendants(at)].tolist() == pre[pre.index(i) : pre.index(i) + below[i]]
     d = f.distances(np.arange(f.n), np.arange(f.n))
     assert np.array_equal(d, d.T)
+    i, j = np.divmod(np.arange(f.n**2), f.n)
+    assert np.array_equal(f.pair_distances(i, j), d.ravel())
+    assert np.array_equal(f.pair_distances(i, j, directed=True), f.distances(np.arange(f.n), np.arange(f.n), directed=True).ravel())
     # undirected betweenness: unordered pairs whose path runs through a node
     hops = f.distances(np.arange(f.n), np.arange(f.n), weighted=False)
     want = [sum(hops[a, b] > 0 and hops[a, i] > 0 and hops[i, b] > 0 and hops[a, i] + hops[i, b] == hops[a, b] for a in range(f.n) for b in range(a)) for i in range(f.n)]
