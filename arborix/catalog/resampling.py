@@ -40,6 +40,7 @@ QUERIES = {
     "simplify_rdp": _q(lambda n: r.simplify_rdp(n, 4.0)[0]),
     "simplify_vw": _q(lambda n: r.simplify_vw(n, 5.0)[0]),
     "resample_skeleton": _q(lambda n: r.resample_skeleton(n, 20.0), forest),
+    "resample_node_map": _q(lambda n: r.resample_node_map(n, 20.0), forest),
     "smooth_skeleton": _q(lambda n: _rounded(r.smooth_skeleton(n, 5))),
     "smooth_skeleton_gaussian": _q(lambda n: r.smooth_skeleton_gaussian(n, 10.0)),
 }

@@ -56,28 +56,42 @@ def resample_skeleton(nodes: DataFrame, spacing: float) -> DataFrame:
     if not spacing > 0:
         raise ValueError("spacing must be positive")
 
-    def fn(f, p):
-        xyz, ids = _xyz(p), f.ids
-        rows = {i: [ids[i], -1, *xyz[i], ids[i], ids[i], 0.0] for i in np.flatnonzero(f.topology()).tolist()}
-        extra, new = [], int(ids.max(initial=-1)) + 1
-        for seg in f.linear_segments():
-            at = k.arc(xyz[seg])
-            parts = k.parts_of(at[-1], spacing)
-            below = rows[seg[0]]
-            for j in range(1, parts):
-                t = at[-1] * j / parts
-                e = min(int(np.searchsorted(at[1:], t, "left")), len(seg) - 2)
-                step = at[e + 1] - at[e]
-                a = (t - at[e]) / step if step > 0 else 0.0
-                below[1] = new
-                below = [new, -1, *(xyz[seg[e]] * (1 - a) + xyz[seg[e + 1]] * a), ids[seg[e]], ids[seg[e + 1]], a]
-                extra.append(below)
-                new += 1
-            below[1] = ids[seg[-1]]
-        return pd.DataFrame([*rows.values(), *extra], columns=["node_id", "parent_id", "x", "y", "z", "source_child", "source_parent", "alpha"])
+    need(nodes, "x", "y", "z")
+    return _each(nodes, lambda f, p: _resampled(f, p, spacing)[0], f"{NODE}, parent_id bigint, x double, y double, z double, source_child bigint, source_parent bigint, alpha double", "x", "y", "z")
 
+
+def resample_node_map(nodes: DataFrame, spacing: float) -> DataFrame:
+    """(node_id, target): the resampled node nearest along the cable to each old node."""
+    if not spacing > 0:
+        raise ValueError("spacing must be positive")
     need(nodes, "x", "y", "z")
-    return _each(nodes, fn, f"{NODE}, parent_id bigint, x double, y double, z double, source_child bigint, source_parent bigint, alpha double", "x", "y", "z")
+    return _each(nodes, lambda f, p: _resampled(f, p, spacing)[1], f"{NODE}, target bigint", "x", "y", "z")
+
+
+def _resampled(f, p: pd.DataFrame, spacing: float) -> tuple[pd.DataFrame, pd.DataFrame]:
+    xyz, ids = _xyz(p), f.ids
+    rows = {i: [ids[i], -1, *xyz[i], ids[i], ids[i], 0.0] for i in np.flatnonzero(f.topology()).tolist()}
+    extra, new, target = [], int(ids.max(initial=-1)) + 1, ids.copy()
+    for seg in f.linear_segments():
+        at = k.arc(xyz[seg])
+        parts = k.parts_of(at[-1], spacing)
+        below, line = rows[seg[0]], [ids[seg[0]]]
+        for j in range(1, parts):
+            t = at[-1] * j / parts
+            e = min(int(np.searchsorted(at[1:], t, "left")), len(seg) - 2)
+            step = at[e + 1] - at[e]
+            a = (t - at[e]) / step if step > 0 else 0.0
+            below[1] = new
+            below = [new, -1, *(xyz[seg[e]] * (1 - a) + xyz[seg[e + 1]] * a), ids[seg[e]], ids[seg[e + 1]], a]
+            extra.append(below)
+            line.append(new)
+            new += 1
+        below[1] = ids[seg[-1]]
+        line.append(ids[seg[-1]])
+        for i, d in zip(seg[1:-1], at[1:-1].tolist(), strict=True):
+            target[i] = line[int(np.floor(d / at[-1] * parts + 0.5))] if at[-1] > 0 else line[0]
+    out = pd.DataFrame([*rows.values(), *extra], columns=["node_id", "parent_id", "x", "y", "z", "source_child", "source_parent", "alpha"])
+    return out, pd.DataFrame({"node_id": ids, "target": target})
 
 
 def _smooth(nodes: DataFrame, mean) -> DataFrame:

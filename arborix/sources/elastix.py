@@ -132,13 +132,30 @@ class Step:
 class ElastixTransform:
     """Steps from the initial one to the last."""
 
-    def __init__(self, steps: list[Step]):
-        self.steps = steps
+    def __init__(self, steps: list[Step], paths: list[str] | None = None):
+        self.steps, self.paths = steps, paths or []
 
     @property
     def kinds(self) -> list[str]:
         return [s.kind for s in self.steps]
 
+    def _grids(self, name: str) -> list[np.ndarray]:
+        return [getattr(s, name) for s in self.steps if s.spline]
+
+    grid_size = property(lambda self: self._grids("size"))
+    grid_spacing = property(lambda self: self._grids("spacing"))
+    grid_origin = property(lambda self: self._grids("origin"))
+
+    @property
+    def affine(self) -> np.ndarray | None:
+        """The composed matrix of a chain of linear steps; None with a spline or an Add."""
+        if not self.invertible or any(s.spline for s in self.steps):
+            return None
+        out = np.eye(4)
+        for s in self.steps:
+            out = s.affine @ out
+        return out
+
     @property
     def invertible(self) -> bool:
         return not any(s.add for s in self.steps[1:])
@@ -178,7 +195,8 @@ def _chain(path: str) -> list[dict]:
 
 
 def load_elastix_transform(paths: str | list[str]) -> ElastixTransform:
-    return ElastixTransform([Step(k) for p in ([paths] if isinstance(paths, str) else paths) for k in _chain(p)])
+    paths = [paths] if isinstance(paths, str) else paths
+    return ElastixTransform([Step(k) for p in paths for k in _chain(p)], paths)
 
 
 def is_invertible(path: str) -> bool:

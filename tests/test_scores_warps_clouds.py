@@ -86,6 +86,7 @@ def test_elastix(tmp_path):
     (tmp_path / "b.txt").write_text('(Transform "TranslationTransform")\n(TransformParameters 1 0 0)\n(InitialTransformParametersFileName "elsewhere/a.txt")\n(HowToCombineTransforms "Add")\n')
     both = elastix.load_elastix_transform(str(tmp_path / "b.txt"))
     assert np.allclose(both.xform([[0.0, 0, 0]]), [[2, 2, 3]])
+    assert both.affine is None and np.allclose(elastix.load_elastix_transform(str(tmp_path / "a.txt")).affine[:3, 3], [1, 2, 3])
     assert not both.invertible and not elastix.is_invertible(str(tmp_path / "b.txt")) and elastix.is_invertible(str(tmp_path / "a.txt"))
     (tmp_path / "c.txt").write_text('(Transform "TranslationTransform")\n(TransformParameters 1 0 0)\n(InitialTransformParametersFileName "c.txt")\n')
     with pytest.raises(ValueError):
