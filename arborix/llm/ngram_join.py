@@ -2,9 +2,8 @@
 
 Equal sets are one class from the start. Candidates: similar sets share a shingle in the first quarter of a
 common order of all shingles; the order puts shingles of crowded counters last (a fixed-size count sketch over all
-documents; any order gives the same links, this one gives few candidates), then goes by hash. Short posting lists give all
-their pairs, which must pass the size ratio and the bound by bit counts; long lists only say that their documents belong
-together for now. The connected candidates are cut into size-banded tiles (a similarity of 0.75 stays within one band
+documents; any order gives the same links, this one gives few candidates), then goes by hash. All pairs of a posting list must pass the size ratio and
+the bound by bit counts; equal lists are taken once, and lists longer than ``LONG`` only say that their documents belong together for now. The connected candidates are cut into size-banded tiles (a similarity of 0.75 stays within one band
 or two adjacent ones), each tile or pair of tiles of at most ``TILE`` members a side. There the bit counts of hashed bitmap
 signatures bound the overlap from above: every member of x whose bit y lacks is missing from y. Pairs that may
 reach the threshold and are not yet linked through others are intersected exactly as sorted arrays.
@@ -25,9 +24,9 @@ from pyspark.sql import functions as F
 
 from arborix.llm._spark import n_buckets, release, save, text_of
 from arborix.llm._text import hash_words, mix, shingles, slices, words
-from arborix.llm.graph import components
+from arborix.llm.graph import components, local_labels
 
-SKETCH_BITS, SHORT, TILE = 22, 32, 1024
+SKETCH_BITS, LONG, TILE = 22, 1024, 1024
 _K48 = np.uint64((1 << 48) - 1)
 _BAND = np.log(4 / 3)
 
@@ -49,9 +48,9 @@ def set_keys(keys: np.ndarray, off: np.ndarray) -> np.ndarray:
 
 
 def signatures(keys: np.ndarray, off: np.ndarray) -> list[bytes]:
-    """Bitmaps of about two bits a shingle, a power of two of at least 64 bits, set by the hash's low bits."""
+    """Bitmaps of about one to two bits a shingle, a power of two of at least 64 bits, set by the hash's low bits."""
     n = np.diff(off)
-    bits = 1 << np.maximum(6, np.ceil(np.log2(np.maximum(1, 2 * n))).astype(np.int64))
+    bits = 1 << np.maximum(6, np.ceil(np.log2(np.maximum(1, n))).astype(np.int64))
     out = []
     low = keys & np.uint64(0xFFFFFFFF)
     for a, b, m in zip(off[:-1].tolist(), off[1:].tolist(), bits.tolist(), strict=True):
@@ -168,29 +167,79 @@ def _passed(src: DataFrame, level: np.ndarray, nb: int) -> DataFrame:
     return src.mapInArrow(run, _PASS)
 
 
-def _paired(group: pa.Table) -> pa.Table:
-    """Candidate pairs of row numbers from the postings of one bucket; sure: from long lists, not to be filtered."""
+def _lists(group: pa.Table) -> pa.Table:
+    """The distinct posting lists of one bucket as (list, rid) rows; tokens with equal members share a list."""
     tiles = np.concatenate([np.frombuffer(t, np.uint64) for t in group["tiles"].to_pylist()])
     rid = np.concatenate([np.frombuffer(a, "<u2").astype(np.int64) + r for a, r in zip(group["at"].to_pylist(), group["rid"].to_pylist(), strict=True)])
     order = np.lexsort((rid, tiles))
     tiles, rid = tiles[order], rid[order]
     start = np.flatnonzero(np.concatenate([[True], tiles[1:] != tiles[:-1]]))
     size = np.diff(np.append(start, len(tiles)))
-    a, b, sure = [], [], []
-    for m in np.unique(size[(size > 1) & (size <= SHORT)]).tolist():
+    name = mix(np.add.reduceat(mix(rid.astype(np.uint64)), start) ^ size.astype(np.uint64))
+    _, one = np.unique(name, return_index=True)
+    one = one[size[one] > 1]
+    start, size, name = start[one], size[one], name[one].view(np.int64)
+    at = np.repeat(start - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))
+    return pa.table([pa.array(np.repeat(name, size)), pa.array(rid[at])], names=["list", "rid"])
+
+
+def _survivors(n: np.ndarray, sigs: dict[int, np.ndarray], width: np.ndarray, row: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Which pairs (i, j) size ratio and bit counts leave possible. ``sigs``: per width the bitmaps; ``row``: each one's row there."""
+    ok = np.flatnonzero(np.minimum(n[i], n[j]) * 100 >= 75 * np.maximum(n[i], n[j]))
+    out = np.zeros(len(i), bool)
+    pair = width[i[ok]] * 1_000_000 + width[j[ok]]
+    for key in np.unique(pair).tolist():
+        k = ok[pair == key]
+        a, b = sigs[key // 1_000_000][row[i[k]]], sigs[key % 1_000_000][row[j[k]]]
+        while a.shape[1] > b.shape[1]:
+            a = a[:, : a.shape[1] // 2] | a[:, a.shape[1] // 2 :]
+        while b.shape[1] > a.shape[1]:
+            b = b[:, : b.shape[1] // 2] | b[:, b.shape[1] // 2 :]
+        na, nb = n[i[k]], n[j[k]]
+        most = np.minimum(na - np.bitwise_count(a & ~b).sum(1, dtype=np.int64), nb - np.bitwise_count(b & ~a).sum(1, dtype=np.int64))
+        out[k] = 100 * most >= 75 * (na + nb - most)
+    return out
+
+
+def _candidates(batches):
+    """Edges (a, b) between set keys that share a list and may reach the threshold; very long lists are chained instead."""
+    parts = [b for b in batches if b.num_rows]
+    if not parts:
+        return
+    t = pa.Table.from_batches(parts)
+    name, skey, n = (t[c].to_numpy() for c in ("list", "skey", "n"))
+    order = np.lexsort((skey, name))
+    name, skey, n = name[order], skey[order], n[order]
+    raw = t["sig"].to_pylist()
+    raw = [raw[k] for k in order.tolist()]
+    width = np.array([len(r) for r in raw])
+    sigs, row = {}, np.zeros(len(raw), np.int64)
+    for w in np.unique(width).tolist():
+        at = np.flatnonzero(width == w)
+        sigs[w] = np.frombuffer(b"".join(raw[k] for k in at.tolist()), np.uint64).reshape(len(at), -1)
+        row[at] = np.arange(len(at))
+    start = np.flatnonzero(np.concatenate([[True], name[1:] != name[:-1]]))
+    size = np.diff(np.append(start, len(name)))
+    a, b = np.zeros(0, np.int64), np.zeros(0, np.int64)
+
+    def forest(a, b):
+        # which sets hang together is all that counts here: each points to the smallest of its group
+        node, root = local_labels(a, b)
+        return node[node != root], root[node != root]
+
+    for m in np.unique(size[size > 1]).tolist():
         at = start[size == m]
-        rows = rid[at[:, None] + np.arange(m)]
-        i, j = np.triu_indices(m, 1)
-        a.append(rows[:, i].ravel())
-        b.append(rows[:, j].ravel())
-    n_short = sum(map(len, a))
-    for s, m in zip(start[size > SHORT].tolist(), size[size > SHORT].tolist(), strict=True):
-        a.append(rid[s : s + m - 1])
-        b.append(rid[s + 1 : s + m])
-    a, b = (np.concatenate([np.zeros(0, np.int64), *x]) for x in (a, b))
-    sure = np.arange(len(a)) >= n_short
-    pair = np.unique(np.stack([a, b, sure.astype(np.int64)], axis=1), axis=0) if len(a) else np.zeros((0, 3), np.int64)
-    return pa.table([pa.array(pair[:, 0]), pa.array(pair[:, 1]), pa.array(pair[:, 2] > 0)], names=["a", "b", "sure"])
+        if m > LONG:
+            i = (at[:, None] + np.arange(m - 1)).ravel()
+            a, b = forest(np.concatenate([a, skey[i]]), np.concatenate([b, skey[i + 1]]))
+            continue
+        x, y = np.triu_indices(m, 1)
+        for k in range(0, len(at), max(1, 500_000 // len(x))):
+            some = at[k : k + max(1, 500_000 // len(x)), None]
+            i, j = (some + x).ravel(), (some + y).ravel()
+            ok = _survivors(n, sigs, width, row, i, j)
+            a, b = forest(np.concatenate([a, skey[i[ok]]]), np.concatenate([b, skey[j[ok]]]))
+    yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
 
 
 def _verify(ids: np.ndarray, n: np.ndarray, sigs: list[bytes], arrays: list[np.ndarray], left: np.ndarray, right: np.ndarray) -> tuple[list, list]:
@@ -255,20 +304,11 @@ def links(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     nb = n_buckets(docs, 2, 32)
     passed = save(_passed(src, _sketch(src), nb), "shingle-sets")
     rows = passed.where("bucket is null").select("rid", "doc_id", "n", "skey", "sig")
-    pairs = passed.where("bucket is not null").select("bucket", "rid", "tiles", "at").groupBy("bucket").applyInArrow(_paired, "a bigint, b bigint, sure boolean")
-    pairs = pairs.groupBy("a", "b").agg(F.max("sure").alias("sure"))
+    met = passed.where("bucket is not null").select("bucket", "rid", "tiles", "at").groupBy("bucket").applyInArrow(_lists, "list bigint, rid bigint").distinct()
     full = rows.where("n > 0")
-    left = full.select(F.col("rid").alias("a"), F.col("skey").alias("ka"), F.col("n").alias("na"), F.col("sig").alias("sa"))
-    right = full.select(F.col("rid").alias("b"), F.col("skey").alias("kb"), F.col("n").alias("nb"), F.col("sig").alias("sb"))
-    met = pairs.join(left, "a").join(right, "b").where("ka <> kb").select("ka", "kb", "na", "nb", "sa", "sb", "sure")
-
-    def possible(batches):
-        for b in batches:
-            cols = [b.column(c).to_pylist() for c in ("na", "sa", "nb", "sb", "sure")]
-            keep = [s or may_link(na, sa, nb, sb) for na, sa, nb, sb, s in zip(*cols, strict=True)]
-            yield pa.RecordBatch.from_arrays([b.column("ka"), b.column("kb")], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
-
-    group_of = save(components(met.mapInArrow(possible, "a bigint, b bigint")), "candidates")  # node, root
+    met = met.join(full.select("rid", "skey", "n", "sig"), "rid").select("list", "skey", "n", "sig")
+    edges = met.repartition(nb, "list").dropDuplicates(["list", "skey"]).mapInArrow(_candidates, "a bigint, b bigint")
+    group_of = save(components(edges), "candidates")  # node, root
     release(docs.sparkSession)
     # one text for each set that has candidates
     own = full.groupBy("skey").agg(F.min(F.struct("rid", "doc_id")).alias("r"), F.first("n").alias("n"))
