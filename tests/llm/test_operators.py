@@ -397,3 +397,14 @@ def test_bit_counts_never_drop_a_link():
         if len(y) and 100 * both >= 75 * (len(x) + len(y) - both):
             sig = ngram_join.signatures(np.concatenate([x, y]), np.array([0, len(x), len(x) + len(y)]))
             assert ngram_join.may_link(len(x), sig[0], len(y), sig[1])
+
+
+def test_components_at_once_and_in_rounds(spark):
+    from arborix.llm.graph import components
+
+    rng = np.random.default_rng(8)
+    pairs = [(int(a), int(b)) for a, b in rng.integers(-500, 500, (450, 2))] + [(k, k + 1) for k in range(1000, 1040)]
+    edges = spark.createDataFrame(pairs, "a bigint, b bigint")
+    once, rounds = ({(r.node, r.root) for r in components(edges, few).collect()} for few in (10**6, 0))
+    assert once == rounds and (1040, 1000) in once
+    assert components(edges.where("false")).count() == 0
