@@ -18,6 +18,7 @@ an empty result; texts of any length are scored whole; extra columns are ignored
 
 from __future__ import annotations
 
+import pickle
 from functools import reduce
 
 import numpy as np
@@ -31,7 +32,7 @@ from arborix.llm._text import _LOWER, buffers, hash_words, mix, slices, words
 
 DEPTH, MAX_CONTEXTS, END = 5, 32_768, 0xFF
 _END_TOKEN = np.uint64(0x656E642D6D61726B)  # no word hash is meant to equal it
-_HALF = np.log(0.5)
+_HALF, _ROWS = np.log(0.5), 2048
 
 
 def grams(arr: pa.Array, depth: int = DEPTH) -> tuple[np.ndarray, np.ndarray]:
@@ -114,45 +115,56 @@ class ContextTree:
     def __init__(self, order: np.ndarray, context: np.ndarray, byte: np.ndarray, n: np.ndarray, depth: int = DEPTH):
         self.depth = depth
         self.keys: list[np.ndarray] = []
-        dense, ones, stop = [], [], []
         for d in range(depth + 1):
-            at = order == d
-            keys = np.unique(context[at])
-            if d == 0 and not len(keys):
-                keys = np.zeros(1, np.int64)
-            table = np.zeros((len(keys), 256))
-            np.add.at(table, (np.searchsorted(keys, context[at]), byte[at]), n[at])
-            self.keys.append(keys)
-            dense.append(table)
+            keys = np.unique(context[order == d])
+            self.keys.append(keys if d or len(keys) else np.zeros(1, np.int64))
         up = [np.searchsorted(self.keys[d - 1], self.keys[d] & ((1 << 8 * (d - 1)) - 1)) if d else None for d in range(depth + 1)]
-        weighted: list[np.ndarray] = [np.zeros(0)] * (depth + 1)
-        rest_ones = [np.zeros(0)] * (depth + 1)
-        stop, ones = [np.zeros(0)] * (depth + 1), [np.zeros(0)] * (depth + 1)
+
+        def counts(d: int) -> np.ndarray:
+            at = order == d
+            table = np.zeros((len(self.keys[d]), 256))
+            np.add.at(table, (np.searchsorted(self.keys[d], context[at]), byte[at]), n[at])
+            return table
+
+        # from the deepest order up, a few thousand contexts at a time: temporaries stay small
+        ones, stop, rest_ones = ([np.zeros(0)] * (depth + 1) for _ in range(3))
+        below_counts = below = None
         for d in range(depth, -1, -1):
-            a, b = _decisions(dense[d])
-            own = block(a, b)
-            ones[d] = ((b + 0.5) / (a + b + 1)).astype(np.float32)
-            if d == depth:
-                weighted[d], stop[d] = own, np.ones_like(ones[d])
-                continue
-            rest, below = dense[d].copy(), np.zeros_like(own)
-            np.subtract.at(rest, up[d + 1], dense[d + 1])
-            np.add.at(below, up[d + 1], weighted[d + 1])
-            ra, rb = _decisions(np.maximum(rest, 0))
-            rest_ones[d] = ((rb + 0.5) / (ra + rb + 1)).astype(np.float32)
-            weighted[d] = np.logaddexp(_HALF + own, _HALF + below + block(ra, rb))
-            stop[d] = np.exp(_HALF + own - weighted[d]).astype(np.float32)
-            weighted[d + 1] = np.zeros(0)
+            table, m = counts(d), len(self.keys[d])
+            ones[d], stop[d], rest_ones[d] = (np.ones((m, 255), np.float32) for _ in range(3))
+            weighted = np.empty((m, 255))
+            if d < depth:
+                rest, product = table.copy(), np.zeros((m, 255))
+                np.subtract.at(rest, up[d + 1], below_counts)
+                np.add.at(product, up[d + 1], below)
+            for k in range(0, m, _ROWS):
+                rows = slice(k, k + _ROWS)
+                a, b = _decisions(table[rows])
+                own = block(a, b)
+                ones[d][rows] = (b + 0.5) / (a + b + 1)
+                if d == depth:
+                    weighted[rows] = own
+                    continue
+                ra, rb = _decisions(np.maximum(rest[rows], 0))
+                rest_ones[d][rows] = (rb + 0.5) / (ra + rb + 1)
+                weighted[rows] = np.logaddexp(_HALF + own, _HALF + product[rows] + block(ra, rb))
+                stop[d][rows] = np.exp(_HALF + own - weighted[rows])
+            below_counts, below = table, weighted
+        del below_counts, below
         tables = []
         for d in range(depth + 1):
-            p = (rest_ones[d] if d < depth else ones[d]).astype(np.float64)
-            at = np.arange(len(self.keys[d]))
-            for e in range(d, -1, -1):
-                s = stop[e][at]
-                if e < depth:
-                    p = s * ones[e][at] + (1 - s) * p
-                at = up[e][at] if e else at
-            tables.append(_byte_logs(p))
+            logs = np.empty((len(self.keys[d]), 256), np.float32)
+            for k in range(0, len(logs), _ROWS):
+                at = np.arange(k, min(k + _ROWS, len(logs)))
+                p = (rest_ones[d] if d < depth else ones[d])[at].astype(np.float64)
+                row = at
+                for e in range(d, -1, -1):
+                    if e < depth:
+                        s = stop[e][row]
+                        p = s * ones[e][row] + (1 - s) * p
+                    row = up[e][row] if e else row
+                logs[at] = _byte_logs(p)
+            tables.append(logs)
         self.start = np.concatenate([[0], np.cumsum([len(k) for k in self.keys])])
         self.table = np.concatenate(tables)
 
@@ -200,9 +212,21 @@ def fit(train: DataFrame, depth: int = DEPTH, max_contexts: int = MAX_CONTEXTS)
     found = totals.agg(*[F.count_if((F.col("order") == 0) | (F.col("seen") >= c)).alias(f"c{i}") for i, c in enumerate([1, *levels])]).first()
     least = next(c for i, c in enumerate([1, *levels]) if found[i] <= max_contexts)
     kept = totals.where((F.col("order") == 0) | (F.col("seen") >= least)).select("order", "context")
-    # at most 256 rows for each of max_contexts contexts
-    got = rows.join(kept, ["order", "context"], "left_semi").toPandas()
-    return ContextTree(*(got[c].to_numpy(np.int64) for c in ("order", "context", "byte", "n")), depth)
+    kept_rows = rows.join(kept, ["order", "context"], "left_semi")
+
+    def build(batches):
+        parts = [b for b in batches if b.num_rows]
+        names = ["order", "context", "byte", "n"]
+        got = pa.Table.from_batches(parts) if parts else pa.table({c: pa.array([], pa.int64()) for c in names})
+        raw = pickle.dumps(ContextTree(*(got[c].to_numpy().astype(np.int64) for c in names), depth))
+        for k in range(0, len(raw), 1 << 22):
+            yield pa.RecordBatch.from_arrays([pa.array([k], pa.int64()), pa.array([raw[k : k + (1 << 22)]], pa.binary())], ["at", "piece"])
+
+    # one task: at most 256 rows for each of max_contexts contexts; it returns 1 KB for each of them
+    pieces = kept_rows.repartition(1).mapInArrow(build, "at bigint, piece binary").collect()
+    if not pieces:
+        return ContextTree(*[np.zeros(0, np.int64)] * 4, depth)
+    return pickle.loads(b"".join(bytes(r["piece"]) for r in sorted(pieces, key=lambda r: r["at"])))
 
 
 _PARTS = "bucket int, slice bigint, meta boolean, ids binary, held binary, n binary, score binary, hashes binary, seen binary, doc binary, tf binary"
