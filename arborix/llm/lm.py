@@ -3,10 +3,11 @@
 Each byte is eight binary decisions; each decision has a binary context tree over the preceding bytes.
 A node's Krichevsky-Trofimov block probability and the product of its children's weighted probabilities
 mix half and half, so all depths take part. The statistics are the counts of byte runs of depth + 1 over
-every training text, summed by Spark. The tree keeps the contexts seen most often, ``MAX_CONTEXTS``
-at most (the documented size of the model, so that its broadcast is bounded); the contexts below a kept
-node that are not kept share one pooled leaf. The trained mixture is turned into one table of log
-probabilities per leaf, and a text's score is the sum over its bytes and the end mark.
+every training text, and the tree keeps every context that occurs there. It is stored as byte runs in buckets of
+their last two context bytes, so all contexts of two bytes and more that share a subtree are in one bucket; what
+the buckets send up to the contexts of one byte and none (257 at most, whatever the input) is summed by Spark. A
+unit of neighbouring texts sends its distinct byte runs to the buckets and gets their log probabilities back; a text's
+score is the sum over its bytes and the end mark.
 
 Texts are lower-cased (A-Z) first. The base model counts word tokens: per range of hashed words the counts are
 summed over the corpus and applied to the documents' own tokens there; the rows travel as packed arrays.
@@ -18,8 +19,7 @@ an empty result; texts of any length are scored whole; extra columns are ignored
 
 from __future__ import annotations
 
-import pickle
-from functools import reduce
+import ctypes
 
 import numpy as np
 import pandas as pd
@@ -30,14 +30,19 @@ from pyspark.sql import functions as F
 from arborix.llm._spark import crc_of_id, n_buckets, save, text_of
 from arborix.llm._text import _LOWER, buffers, hash_words, mix, slices, words
 
-DEPTH, MAX_CONTEXTS, END = 5, 32_768, 0xFF
+DEPTH, END = 5, 0xFF
 _END_TOKEN = np.uint64(0x656E642D6D61726B)  # no word hash is meant to equal it
 _HALF, _ROWS = np.log(0.5), 2048
+# bytes whose runs are made at once; bytes and distinct runs after which a unit of texts ends
+_PIECE, _UNIT, _UNIT_RUNS = 1 << 20, 32 << 20, 1_000_000
 
 
 def grams(arr: pa.Array, depth: int = DEPTH) -> tuple[np.ndarray, np.ndarray]:
     """For every byte and end mark the run of ``depth`` bytes before and itself, packed; (n + 1) offsets."""
-    data, off = buffers(arr)
+    return _grams(*buffers(arr), depth)
+
+
+def _grams(data: np.ndarray, off: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
     n = len(off) - 1
     line = np.full(len(data) + depth * (n + 1), END, np.uint8)
     size = np.diff(off)
@@ -60,30 +65,78 @@ def _merged(keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarra
     return distinct, np.bincount(code, np.concatenate(counts), len(distinct)).astype(np.int64)
 
 
-def gram_counts(train: DataFrame, depth: int = DEPTH) -> DataFrame:
-    """gram, n over all of ``train``; each task sends each of its distinct runs once."""
+def _dealt(distinct: np.ndarray, nb: int) -> tuple[np.ndarray, np.ndarray]:
+    """Order of distinct runs by the bucket of their last two context bytes, then by value; the buckets' nb + 1 cuts."""
+    where = (mix((distinct >> 8 & 0xFFFF).astype(np.uint64)) % np.uint64(nb)).astype(np.int64)
+    order = np.lexsort((distinct, where))
+    return order, np.searchsorted(where[order], np.arange(nb + 1))
+
+
+def _trim() -> None:
+    """Give freed memory back to the system: a worker stays beside the JVM and the other workers of its executor."""
+    pa.default_memory_pool().release_unused()
+    if hasattr(libc := ctypes.CDLL(None), "malloc_trim"):
+        libc.malloc_trim(0)
+
+
+def _packed(raw: bytes) -> bytes:
+    return len(raw).to_bytes(8, "little") + pa.compress(raw, "zstd", asbytes=True)
+
+
+def _unpacked(raw: bytes) -> bytes:
+    return pa.decompress(raw[8:], int.from_bytes(raw[:8], "little"), "zstd", asbytes=True)
+
+
+def _packed_runs(g: np.ndarray) -> bytes:
+    """Sorted runs (six bytes each), byte by byte: neighbours share most of them."""
+    return _packed(g.astype("<i8").view(np.uint8).reshape(-1, 8)[:, :6].T.tobytes())
+
+
+def _unpacked_runs(raw: bytes) -> np.ndarray:
+    planes = np.frombuffer(_unpacked(raw), np.uint8).reshape(6, -1)
+    out = np.zeros((planes.shape[1], 8), np.uint8)
+    out[:, :6] = planes.T
+    return out.view("<i8").ravel().astype(np.int64)
+
+
+def gram_counts(train: DataFrame, nb: int, depth: int = DEPTH) -> DataFrame:
+    """bucket, grams, n: the sorted distinct runs over all of ``train`` and their counts, one row for each bucket."""
+
+    def sent(keys, counts):
+        order, cut = _dealt(keys, nb)
+        keys, counts = keys[order], counts[order]
+        full = np.flatnonzero(np.diff(cut))
+        rows = [(int(j), keys[cut[j] : cut[j + 1]].tobytes(), counts[cut[j] : cut[j + 1]].tobytes()) for j in full]
+        return _record(rows, _RUNS)
 
     def run(batches):
         keys, counts, held = [], [], 0
         for b in batches:
             text = b.column("text")
-            for lo, hi in slices(text):
+            for lo, hi in slices(text, _PIECE):
                 g, _ = grams(text.slice(lo, hi - lo), depth)
                 code, distinct = pd.factorize(g)
                 keys.append(distinct)
                 counts.append(np.bincount(code, minlength=len(distinct)))
                 held += len(distinct)
-                if held > 3_000_000:
+                if held > 1_200_000:
                     merged = _merged(keys, counts)
                     keys, counts, held = [merged[0]], [merged[1]], len(merged[0])
-                    if held > 2_000_000:  # a bounded buffer: sent early, summed by Spark
-                        yield pa.RecordBatch.from_arrays([pa.array(keys[0]), pa.array(counts[0])], ["gram", "n"])
+                    if held > 800_000:  # a bounded buffer: sent early, summed in the bucket
+                        yield sent(keys[0], counts[0])
                         keys, counts, held = [], [], 0
         if keys:
-            k, c = _merged(keys, counts)
-            yield pa.RecordBatch.from_arrays([pa.array(k), pa.array(c)], ["gram", "n"])
+            yield sent(*_merged(keys, counts))
+        keys = counts = None
+        _trim()
+
+    def merge(group: pa.Table) -> pa.Table:
+        keys, counts = ([np.frombuffer(x.as_buffer(), np.int64) for x in group[c]] for c in ("grams", "n"))
+        k, c = _merged(keys, counts)
+        order = np.argsort(k)
+        return pa.Table.from_batches([_record([(group["bucket"][0].as_py(), k[order].tobytes(), c[order].tobytes())], _RUNS)])
 
-    return text_of(train).mapInArrow(run, "gram bigint, n bigint").groupBy("gram").agg(F.sum("n").alias("n"))
+    return text_of(train).mapInArrow(run, _RUNS).groupBy("bucket").applyInArrow(merge, _RUNS)
 
 
 def _lgamma(x: np.ndarray) -> np.ndarray:
@@ -110,7 +163,7 @@ def _decisions(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 class ContextTree:
-    """Built from rows (order, context, byte, n) of kept contexts: closed under dropping the oldest byte."""
+    """The mixture in memory, from rows (order, context, byte, n) of contexts closed under dropping the oldest byte."""
 
     def __init__(self, order: np.ndarray, context: np.ndarray, byte: np.ndarray, n: np.ndarray, depth: int = DEPTH):
         self.depth = depth
@@ -195,63 +248,103 @@ def _byte_logs(ones: np.ndarray) -> np.ndarray:
     return logs[:, 256:].astype(np.float32)
 
 
-def fit(train: DataFrame, depth: int = DEPTH, max_contexts: int = MAX_CONTEXTS) -> ContextTree:
-    full = save(gram_counts(train, depth), "byte-runs")
-    rows = reduce(
-        DataFrame.unionByName,
-        [
-            full.groupBy(F.expr(f"shiftright(gram, 8) & {(1 << 8 * d) - 1}L").alias("context"), F.expr("int(gram & 255)").alias("byte"))
-            .agg(F.sum("n").alias("n"))
-            .select(F.lit(d).alias("order"), "context", "byte", "n")
-            for d in range(depth + 1)
-        ],
-    )
-    rows = save(rows, "byte-contexts")
-    totals = rows.groupBy("order", "context").agg(F.sum("n").alias("seen"))
-    levels = [int(1.5**k) for k in range(2, 100)]
-    found = totals.agg(*[F.count_if((F.col("order") == 0) | (F.col("seen") >= c)).alias(f"c{i}") for i, c in enumerate([1, *levels])]).first()
-    least = next(c for i, c in enumerate([1, *levels]) if found[i] <= max_contexts)
-    kept = totals.where((F.col("order") == 0) | (F.col("seen") >= least)).select("order", "context")
-    kept_rows = rows.join(kept, ["order", "context"], "left_semi")
-
-    def build(batches):
-        parts = [b for b in batches if b.num_rows]
-        names = ["order", "context", "byte", "n"]
-        got = pa.Table.from_batches(parts) if parts else pa.table({c: pa.array([], pa.int64()) for c in names})
-        raw = pickle.dumps(ContextTree(*(got[c].to_numpy().astype(np.int64) for c in names), depth))
-        for k in range(0, len(raw), 1 << 22):
-            yield pa.RecordBatch.from_arrays([pa.array([k], pa.int64()), pa.array([raw[k : k + (1 << 22)]], pa.binary())], ["at", "piece"])
-
-    # one task: at most 256 rows for each of max_contexts contexts; it returns 1 KB for each of them
-    pieces = kept_rows.repartition(1).mapInArrow(build, "at bigint, piece binary").collect()
-    if not pieces:
-        return ContextTree(*[np.zeros(0, np.int64)] * 4, depth)
-    return pickle.loads(b"".join(bytes(r["piece"]) for r in sorted(pieces, key=lambda r: r["at"])))
-
-
-_PARTS = "bucket int, slice bigint, meta boolean, ids binary, held binary, n binary, score binary, hashes binary, seen binary, doc binary, tf binary"
-
-
-def score(docs: DataFrame, depth: int = DEPTH, max_contexts: int = MAX_CONTEXTS) -> DataFrame:
+def _levels(grams: np.ndarray, n: np.ndarray, depth: int = DEPTH):
+    """For each of a byte's eight decisions the nodes of orders depth to 2 that occur below one bucket's sorted runs,
+    as (keys, probability of a one, share of stopping there), and what they send up: keys, zeros, ones, weighted."""
+    byte, context = grams & 255, grams >> 8
+    for j in range(8):
+        one = byte >> 7 - j & 1
+        keys, up = np.unique(context << 8 | (256 | byte) >> 8 - j, return_inverse=True)
+        # a bucket without training runs has no nodes; bincount of nothing is of integers
+        a, b, below = *(np.bincount(up, x, len(keys)).astype(np.float64) for x in (n * (1 - one), n * one)), None
+        nodes = []
+        for d in range(depth, 1, -1):
+            weighted = own = block(a, b)
+            stop = np.ones(len(keys))
+            if d < depth:
+                weighted = np.logaddexp(_HALF + own, _HALF + below)
+                stop = np.exp(_HALF + own - weighted)
+            nodes.append((keys, (b + 0.5) / (a + b + 1), stop))
+            keys, up = np.unique(keys & (1 << 8 * d) - 1, return_inverse=True)
+            a, b, below = (np.bincount(up, x, len(keys)).astype(np.float64) for x in (a, b, weighted))
+        yield nodes, (keys, a, b, below)
+
+
+def top(runs: DataFrame, depth: int = DEPTH) -> list[tuple[np.ndarray, np.ndarray]]:
+    """(probability of a one, share of stopping) of the decisions after one byte (byte << 8 | decision) and after none."""
+
+    def send(batches):
+        for batch in batches:
+            for g, n in zip(batch.column("grams"), batch.column("n"), strict=True):
+                for _, up in _levels(np.frombuffer(g.as_buffer(), np.int64), np.frombuffer(n.as_buffer(), np.int64), depth):
+                    yield pa.RecordBatch.from_arrays([pa.array(x) for x in up], ["node", "zeros", "ones", "below"])
+
+    # one row at most for each byte and decision: 65,280 at any size of input
+    sums = runs.mapInArrow(send, "node bigint, zeros double, ones double, below double").groupBy("node").agg(*[F.sum(c).alias(c) for c in ("zeros", "ones", "below")])
+    a, b, below = np.zeros((3, 256 * 256))
+    for r in sums.collect():
+        a[r["node"]], b[r["node"]], below[r["node"]] = r["zeros"], r["ones"], r["below"]
+    out = []
+    for _ in range(2):
+        own = block(a, b)
+        weighted = np.logaddexp(_HALF + own, _HALF + below)
+        out.append(((b + 0.5) / (a + b + 1), np.exp(_HALF + own - weighted)))
+        a, b, below = (x.reshape(-1, 256).sum(0) for x in (a, b, weighted))
+    return out
+
+
+def _logs(wanted: np.ndarray, grams: np.ndarray, n: np.ndarray, above: list[tuple[np.ndarray, np.ndarray]], depth: int = DEPTH) -> np.ndarray:
+    """log10 probability of the last byte of each wanted run given the others; the runs of its bucket are the model."""
+    byte, context = wanted & 255, wanted >> 8
+    out = np.zeros(len(wanted))
+    for j, (nodes, _) in enumerate(_levels(grams, n, depth)):
+        at = context << 8 | (256 | byte) >> 8 - j
+        p = np.full(len(wanted), 0.5)
+        for d, (keys, ones, stop) in zip(range(depth, 1, -1), nodes, strict=True):
+            if len(keys):
+                want = at & (1 << 8 * (d + 1)) - 1
+                i = np.minimum(np.searchsorted(keys, want), len(keys) - 1)
+                p = np.where(keys[i] == want, stop[i] * ones[i] + (1 - stop[i]) * p, p)
+        for (ones, stop), mask in zip(above, (0xFFFF, 0xFF), strict=True):
+            i = at & mask
+            p = stop[i] * ones[i] + (1 - stop[i]) * p
+        out += np.log10(np.maximum(np.where(byte >> 7 - j & 1, p, 1 - p), 1e-300))
+    return out
+
+
+_RUNS = "bucket int, grams binary, n binary"
+_PARTS = "bucket int, unit bigint, slice int, meta boolean, ids binary, held binary, n binary, hashes binary, seen binary, doc binary, tf binary, grams binary, text binary"
+
+
+def score(docs: DataFrame, depth: int = DEPTH) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, n_bytes, bits_per_byte of every row."""
     held = F.coalesce(crc_of_id() % 7 == 2, F.lit(False))
     src = text_of(docs, F.col("doc_id").cast("bigint").alias("doc_id"), held.alias("held"))
-    tree = fit(src.where("not held"), depth, max_contexts)
-    shared = docs.sparkSession.sparkContext.broadcast(tree)
-    nb = n_buckets(docs, 2, 64)
+    nb = n_buckets(docs, 2, 128)
+    runs = save(gram_counts(src.where("not held"), nb, depth), "byte-runs")
+    shared = docs.sparkSession.sparkContext.broadcast(top(runs, depth))
 
     def per_slice(batches):
         from pyspark import TaskContext
 
-        model, part, k = shared.value, TaskContext.get().partitionId(), 0
+        part, unit, k = TaskContext.get().partitionId(), 0, 0
+        keys, size = [], 0
+
+        def runs_of_unit():
+            g = pd.unique(np.concatenate(keys))
+            order, cut = _dealt(g, nb)
+            g, no = g[order], [None] * 7
+            full = np.flatnonzero(np.diff(cut)).tolist()
+            return _record([(j, part << 32 | unit, k, False, *no, _packed_runs(g[cut[j] : cut[j + 1]]), None) for j in full], _PARTS)
+
         for b in batches:
             col = b.column("text")
             for lo, hi in slices(col):
                 text, ids = col.slice(lo, hi - lo), b.column("doc_id").slice(lo, hi - lo)
                 hold = b.column("held").slice(lo, hi - lo).to_numpy(zero_copy_only=False)
-                g, off = grams(text, depth)
-                code, distinct = pd.factorize(g)
-                upto = np.concatenate([[0.0], np.cumsum(model.logs(distinct)[code])])
+                data, off = buffers(text)
+                for x, y in slices(text, _PIECE):
+                    keys.append(pd.unique(grams(text.slice(x, y - x), depth)[0]))
                 w = words(text, lower=True)
                 doc = np.concatenate([np.repeat(np.arange(hi - lo), w.counts), np.arange(hi - lo)])
                 h = np.concatenate([hash_words(w), np.full(hi - lo, _END_TOKEN)])
@@ -266,21 +359,42 @@ def score(docs: DataFrame, depth: int = DEPTH, max_contexts: int = MAX_CONTEXTS)
                 pair_order = np.argsort(rank[word], kind="stable")
                 cut, pair_cut = np.searchsorted(where[order], np.arange(nb + 1)), np.searchsorted(where[word[pair_order]], np.arange(nb + 1))
                 distinct, seen, word, doc, tf = distinct[order], seen[order], rank[word[pair_order]], doc[pair_order], tf[pair_order]
-                slice_id = part << 32 | k
-                k += 1
+                unit_id = part << 32 | unit
                 raw = ids.cast(pa.int64()).fill_null(np.iinfo(np.int64).min).to_numpy(zero_copy_only=False)
-                rows = [(slice_id % nb, slice_id, True, raw.tobytes(), hold.astype(np.uint8).tobytes(), np.stack([w.counts + 1, np.diff(off)]).tobytes(), (upto[off[1:]] - upto[off[:-1]]).tobytes(), None, None, None, None)]
+                rows = [(unit_id % nb, unit_id, k, True, raw.tobytes(), hold.astype(np.uint8).tobytes(), np.stack([w.counts + 1, np.diff(off) + 1]).tobytes(), None, None, None, None, None, _packed(data.tobytes()))]
                 for j in range(nb):
                     x, y, s, t = cut[j], cut[j + 1], pair_cut[j], pair_cut[j + 1]
                     if x < y:
                         per = np.bincount(word[s:t] - x, minlength=y - x)
-                        rows.append((j, slice_id, False, None, None, per.astype("<u4").tobytes(), None, distinct[x:y].tobytes(), seen[x:y].astype("<u4").tobytes(), doc[s:t].astype("<u4").tobytes(), tf[s:t].astype("<u4").tobytes()))
+                        rows.append((j, unit_id, k, False, None, None, per.astype("<u4").tobytes(), distinct[x:y].tobytes(), seen[x:y].astype("<u4").tobytes(), doc[s:t].astype("<u4").tobytes(), tf[s:t].astype("<u4").tobytes(), None, None))
                 yield _record(rows, _PARTS)
+                k, size = k + 1, size + len(data)
+                if sum(map(len, keys)) > _UNIT_RUNS:
+                    keys = [pd.unique(np.concatenate(keys))]
+                if size > _UNIT or len(keys[0]) > _UNIT_RUNS // 2:
+                    yield runs_of_unit()
+                    unit, k, keys, size = unit + 1, 0, [], 0
+                _trim()
+        if keys:
+            yield runs_of_unit()
+        keys = None
+        _trim()
 
     def per_bucket(group: pa.Table) -> pa.Table:
         rows = group.to_pylist()
-        out = [(r["slice"], True, r["ids"], r["held"], r["n"], r["score"], None, None, 0, 0) for r in rows if r["meta"]]
-        rows = [r for r in rows if not r["meta"]]
+        out = [(r["unit"], r["slice"], True, r["ids"], r["held"], r["n"], r["text"], 0, 0) for r in rows if r["meta"]]
+        tree = [r for r in rows if r["unit"] is None]
+        asked = [r for r in rows if r["unit"] is not None and r["grams"] is not None]
+        rows = [r for r in rows if r["hashes"] is not None]
+        if asked:
+            model = [np.frombuffer(tree[0][c] if tree else b"", np.int64) for c in ("grams", "n")]
+            wanted = [_unpacked_runs(r["grams"]) for r in asked]
+            code, distinct = pd.factorize(np.concatenate(wanted))
+            logs, at = _logs(distinct, *model, shared.value, depth).astype("<f4"), 0
+            for r, g in zip(asked, wanted, strict=True):
+                out.append((r["unit"], -1, False, r["grams"], None, None, logs[code[at : at + len(g)]].tobytes(), 0, 0))
+                at += len(g)
+            del wanted, code, distinct, logs
         if rows:
             hashes = [np.frombuffer(r["hashes"], np.uint64) for r in rows]
             seen = [np.frombuffer(r["seen"], "<u4") for r in rows]
@@ -295,27 +409,51 @@ def score(docs: DataFrame, depth: int = DEPTH, max_contexts: int = MAX_CONTEXTS)
                 there, back = np.unique(doc, return_inverse=True)
                 part = np.bincount(back, tf * logs[c], len(there))
                 known = np.bincount(back, tf * (count[c] > 0), len(there))
-                out.append((r["slice"], False, there.astype("<u4").tobytes(), None, known.astype("<u4").tobytes(), part.tobytes(), None, None, total, kinds))
+                out.append((r["unit"], r["slice"], False, there.astype("<u4").tobytes(), None, known.astype("<u4").tobytes(), part.tobytes(), total, kinds))
                 total = kinds = 0
-        return pa.Table.from_batches([_record(out, _SUMS)])
+        made = _record(out, _SUMS)
+        del rows, out
+        _trim()
+        return pa.Table.from_batches([made])
 
     def per_doc(group: pa.Table) -> pa.Table:
         rows = group.to_pylist()
+        asked = [r for r in rows if r["slice"] < 0]
+        g = np.concatenate([_unpacked_runs(r["a"]) for r in asked])
+        order = np.argsort(g)
+        g, g_logs = g[order], np.concatenate([np.frombuffer(r["d"], "<f4") for r in asked])[order].astype(np.float64)
+        of_slice: dict[int, list] = {}
+        for r in rows:
+            of_slice.setdefault(r["slice"], []).append(r)
+        made = pa.concat_tables([_of_slice(of_slice[k], g, g_logs) for k in sorted(of_slice) if k >= 0])
+        del rows, asked, of_slice
+        _trim()
+        return made
+
+    def _of_slice(rows: list[dict], g: np.ndarray, g_logs: np.ndarray) -> pa.Table:
         meta = next(r for r in rows if r["meta"])
         ids, hold = np.frombuffer(meta["a"], np.int64), np.frombuffer(meta["b"], np.uint8).astype(bool)
         n_tokens, n_bytes = np.frombuffer(meta["c"], np.int64).reshape(2, -1)
+        off = np.concatenate([[0], np.cumsum(n_bytes - 1)]).astype(np.int64)
+        text = pa.Array.from_buffers(pa.large_binary(), len(ids), [None, pa.py_buffer(off), pa.py_buffer(_unpacked(meta["d"]))])
+        scores = []
+        for lo, hi in slices(text, _PIECE):
+            runs, ends = grams(text.slice(lo, hi - lo), depth)
+            code, distinct = pd.factorize(runs)
+            upto = np.concatenate([[0.0], np.cumsum(g_logs[np.searchsorted(g, distinct)][code])])
+            scores.append(upto[ends[1:]] - upto[ends[:-1]])
         known, logs = np.zeros(len(ids), np.int64), np.zeros(len(ids))
         for r in sorted((r for r in rows if not r["meta"]), key=lambda r: r["a"] + r["d"]):
             at = np.frombuffer(r["a"], "<u4")
             known[at] += np.frombuffer(r["c"], "<u4")
             logs[at] += np.frombuffer(r["d"])
-        cols = [pa.array(ids, mask=ids == np.iinfo(np.int64).min), pa.array(hold), pa.array(n_tokens), pa.array(known), pa.array(logs), pa.array(np.frombuffer(meta["d"])), pa.array(n_bytes)]
+        cols = [pa.array(ids, mask=ids == np.iinfo(np.int64).min), pa.array(hold), pa.array(n_tokens), pa.array(known), pa.array(logs), pa.array(np.concatenate(scores)), pa.array(n_bytes)]
         return pa.table(cols, names=["doc_id", "held_out", "n_tokens", "n_known", "logs", "score", "n_bytes"])
 
-    parts = src.mapInArrow(per_slice, _PARTS)
+    parts = src.mapInArrow(per_slice, _PARTS).unionByName(runs.withColumn("meta", F.lit(False)), allowMissingColumns=True)
     sums = save(parts.groupBy("bucket").applyInArrow(per_bucket, _SUMS), "token-sums")
     total = sums.agg(F.coalesce(F.sum("total"), F.lit(0)).alias("t"), F.coalesce(F.sum("kinds"), F.lit(0)).alias("k")).first()
-    out = sums.groupBy("slice").applyInArrow(per_doc, "doc_id bigint, held_out boolean, n_tokens bigint, n_known bigint, logs double, score double, n_bytes bigint")
+    out = sums.groupBy("unit").applyInArrow(per_doc, "doc_id bigint, held_out boolean, n_tokens bigint, n_known bigint, logs double, score double, n_bytes bigint")
     return out.select(
         "doc_id",
         "held_out",
@@ -329,7 +467,7 @@ def score(docs: DataFrame, depth: int = DEPTH, max_contexts: int = MAX_CONTEXTS)
     )
 
 
-_SUMS = "slice bigint, meta boolean, a binary, b binary, c binary, d binary, e binary, f binary, total bigint, kinds bigint"
+_SUMS = "unit bigint, slice int, meta boolean, a binary, b binary, c binary, d binary, total bigint, kinds bigint"
 _TYPES = {"int": pa.int32(), "bigint": pa.int64(), "boolean": pa.bool_(), "binary": pa.binary(), "double": pa.float64()}
 
 

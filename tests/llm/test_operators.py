@@ -181,6 +181,52 @@ def test_context_tree_is_a_distribution_and_equals_the_sequential_mixture():
     assert (10 ** tree.logs(packed))[128:].sum() == pytest.approx(one(b"ra"), abs=1e-6)
 
 
+def test_context_tree_keeps_every_context(spark):
+    from math import exp, lgamma, log, log2, pi
+
+    rng = np.random.default_rng(4)
+    long = "".join(rng.choice(list("abcdefghijklmnopqrst"), 40_000))
+    texts = {4: long, 1: long[20_000:20_060], 5: "zebra " + long[7:30] + " é", 6: ""}
+    train = [t for i, t in texts.items() if zlib.crc32(str(i).encode()) % 7 != 2]
+    assert long in train and len(train) < len(texts)
+    runs = lambda t: [(b"\xff" * 5 + t.encode() + b"\xff")[k : k + 6] for k in range(len(t.encode()) + 1)]
+    decisions = lambda x: [((256 | x) >> 8 - j, x >> 7 - j & 1) for j in range(8)]
+    count = {}
+    for t in train:
+        for r in runs(t):
+            for d in range(6):
+                for k, bit in decisions(r[5]):
+                    count.setdefault((r[5 - d : 5], k), [0, 0])[bit] += 1
+    assert len({c for c, _ in count}) > 2 * 32_768
+    block = lambda a, b: lgamma(a + 0.5) + lgamma(b + 0.5) - log(pi) - lgamma(a + b + 1)
+    below, stop = Counter(), {}
+    for c, k in sorted(count, key=lambda x: -len(x[0])):
+        own = weighted = block(*count[c, k])
+        if len(c) < 5:
+            high = max(own, below[c, k])
+            weighted = high + log(0.5 * exp(own - high) + 0.5 * exp(below[c, k] - high))
+        stop[c, k] = 1 if len(c) == 5 else exp(log(0.5) + own - weighted)
+        below[c[1:], k] += weighted if c else 0
+
+    def bits(r):
+        total = 0
+        for k, bit in decisions(r[5]):
+            p = 0.5
+            for d in range(5, -1, -1):
+                at = r[5 - d : 5], k
+                if at in count:
+                    a, b = count[at]
+                    p = stop[at] * (b + 0.5) / (a + b + 1) + (1 - stop[at]) * p
+            total -= log2(p if bit else 1 - p)
+        return total
+
+    docs = spark.createDataFrame(list(texts.items()), "doc_id bigint, text string").repartition(3)
+    got = {r.doc_id: r for r in lm.score(docs).collect()}
+    for i, t in texts.items():
+        want = sum(map(bits, runs(t)))
+        assert got[i].n_bytes == len(runs(t)) and got[i].bits_per_byte * got[i].n_bytes == pytest.approx(want, rel=1e-5), i
+
+
 # -- 5 ---------------------------------------------------------------------------------------------------
 
 
