@@ -1,35 +1,65 @@
 """Benchmark decontamination: a BM25 index of the test items, block-max WAND, verified overlaps.
 
-Test items (lower-cased words) make a block inverted index: items in blocks of ``BLOCK``, each term with
+Words are folded for all letters and stripped of outer punctuation and symbols, in items and documents.
+Test items make a block inverted index: items in blocks of ``BLOCK``, each term with
 its impact in every item and its largest impact in every block. Each training document is a sequence of
 overlapping passages, each at least twice as long as the longest item, so that an item lies whole in one of them.
 Every passage is a query: a passage whose terms' largest impacts do not sum to the least threshold of any item is
 skipped at once, then blocks whose block maxima do not reach the least threshold among their items are skipped, and
 the rest is scored exactly. Item i is retrieved where its BM25 score reaches ``share`` of the score it gives itself.
-Retrieved pairs are verified: the item's first three quarters (question) and its last quarter (answer)
-must each have 75 % of their five-word shingles in the document.
+Retrieved pairs are verified: 75 % of the item's five-word shingles must be in the document. Where the table of
+items has the columns question and answer, each of the two must have 75 % of its own.
 
 The index is broadcast; items are taken in blocks of ``max_items`` (a stated bound), one pass over the documents for each,
 so the broadcast never grows with the benchmark.
 
-Edge cases: null or empty items match nothing; items with fewer than five words count as one shingle;
+Edge cases: null or empty items and those without a letter or digit match nothing; items without a question or an
+answer, though the table has the columns, count as a whole; items with fewer than five words count as one shingle;
 null or empty texts match nothing; documents with a null id are reported with a null id; repeated
 documents and items are reported each; an empty table gives an empty result; extra columns are ignored.
 """
 
 from __future__ import annotations
 
+import string
+import unicodedata
 from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from arborix.llm._spark import text_of
-from arborix.llm._text import hash_words, shingles, slices, words
+from arborix.llm._text import Words, buffers, hash_words, shingles, slices, words
 
 BLOCK, K1, B = 16, 1.2, 0.75
+_PUNCTUATION = np.zeros(256, bool)
+_PUNCTUATION[list(string.punctuation.encode())] = True
+
+
+def folded_words(arr: pa.Array) -> Words:
+    """The words of each text, folded for all letters, without outer punctuation and symbols; none of a word of these alone."""
+    data, off = buffers(arr)
+    wide = np.concatenate([[0], np.cumsum(data >= 128)])[off]
+    wide = wide[1:] > wide[:-1]
+    if wide.any():
+        some = [t.casefold() for t in arr.filter(pa.array(wide)).to_pylist()]
+        for c in set().union(*some):
+            if c > "\x7f" and unicodedata.category(c)[0] in "PS":
+                some = [t.replace(c, "'") for t in some]
+        arr = pc.replace_with_mask(arr, pa.array(wide), pa.array(some, arr.type))
+    w = words(arr, lower=True)
+    inner = np.flatnonzero(~_PUNCTUATION[w.data[:-8]])
+    starts, ends = w.starts.copy(), w.ends.copy()
+    at = np.flatnonzero(_PUNCTUATION[w.data[starts]])
+    first = np.searchsorted(inner, starts[at])
+    starts[at] = np.minimum(np.append(inner, len(w.data))[first], ends[at])
+    at = np.flatnonzero((starts < ends) & _PUNCTUATION[w.data[ends - 1]])
+    ends[at] = inner[np.searchsorted(inner, ends[at]) - 1] + 1
+    keep = starts < ends
+    return Words(w.data, starts[keep], ends[keep], np.concatenate([[0], np.cumsum(keep)])[w.docs])
 
 
 def _shingle_set(h: np.ndarray, n: int = 5) -> np.ndarray:
@@ -38,6 +68,10 @@ def _shingle_set(h: np.ndarray, n: int = 5) -> np.ndarray:
     return np.unique(shingles(w, h, n)[0])
 
 
+def _text_set(text: str) -> np.ndarray:
+    return _shingle_set(hash_words(folded_words(pa.array([text], pa.string()))))
+
+
 class _Seq:
     def __init__(self, h: np.ndarray):
         self.docs = np.array([0, len(h)])
@@ -47,9 +81,9 @@ class _Seq:
 class Index:
     """BM25 index of one block of items."""
 
-    def __init__(self, item_ids: list, texts: list[str], share: float):
+    def __init__(self, item_ids: list, texts: list[str], share: float, halves: list[tuple] | None = None):
         arr = pa.array(texts, pa.string())
-        w = words(arr, lower=True)
+        w = folded_words(arr)
         h = hash_words(w)
         n = len(texts)
         self.items = item_ids
@@ -69,13 +103,10 @@ class Index:
         self.block_least = np.minimum.reduceat(self.least, self.cuts) if n else np.zeros(0)
         self.most = self.impact.max(1, initial=0)
         self.lowest = self.least.min(initial=np.inf)
-        # question and answer shingles
-        self.question, self.answer = [], []
-        for i in range(n):
-            words_i = h[w.docs[i] : w.docs[i + 1]]
-            cut = len(words_i) - min(max(5, len(words_i) // 4), len(words_i) // 2)
-            self.question.append(_shingle_set(words_i[:cut]))
-            self.answer.append(_shingle_set(words_i[cut:]))
+        # shingles of the whole item, and of its question and its answer where it has both
+        self.whole = [_shingle_set(h[w.docs[i] : w.docs[i + 1]]) for i in range(n)]
+        self.halves = [tuple(map(_text_set, x)) if all(x) else () for x in halves or [(None, None)] * n]
+        self.halves = [x if len(x) and all(map(len, x)) else () for x in self.halves]
         self.window = int(max(64, 2 * length.max(initial=0)))
         # direct-mapped term table: slot -> first term, with the rest by search
         self.bits = max(12, int(np.ceil(np.log2(max(1, len(self.terms)) * 16))))
@@ -122,21 +153,23 @@ def overlap(item: np.ndarray, there: np.ndarray) -> float:
 
 
 def contaminated(docs: DataFrame, items: DataFrame, share: float = 0.6, least_overlap: float = 0.75, max_items: int = 2048) -> DataFrame:
-    """doc_id, item_id, score, n_passages, question_overlap, answer_overlap of every verified pair."""
+    """doc_id, item_id, score, n_passages, overlap, question_overlap, answer_overlap (null without both) of every verified pair."""
     spark = docs.sparkSession
-    schema = "doc_id bigint, item_id bigint, score double, n_passages bigint, question_overlap double, answer_overlap double"
-    good = items.where("text is not null and trim(text) <> ''").select("item_id", "text")
+    schema = "doc_id bigint, item_id bigint, score double, n_passages bigint, overlap double, question_overlap double, answer_overlap double"
+    halves = [F.col(c) if {"question", "answer"} <= set(items.columns) else F.lit(None).cast("string") for c in ("question", "answer")]
+    text = F.col("text") if "text" in items.columns else F.concat_ws(" ", *halves)
+    good = items.select("item_id", text.alias("text"), halves[0].alias("question"), halves[1].alias("answer")).where("text is not null and trim(text) <> ''")
     src = text_of(docs, F.col("doc_id").cast("bigint").alias("doc_id"))
     parts = []
     for block in _blocks(good, max_items):
-        shared = spark.sparkContext.broadcast(Index([r[0] for r in block], [r[1] for r in block], share))
+        shared = spark.sparkContext.broadcast(Index([r[0] for r in block], [r[1] for r in block], share, [r[2:] for r in block]))
 
         def run(batches, shared=shared):
             index = shared.value
             for b in batches:
                 col, ids = b.column("text"), b.column("doc_id")
                 for lo, hi in slices(col):
-                    w = words(col.slice(lo, hi - lo), lower=True)
+                    w = folded_words(col.slice(lo, hi - lo))
                     h = hash_words(w)
                     term = index.lookup(h)
                     rows = []
@@ -144,12 +177,13 @@ def contaminated(docs: DataFrame, items: DataFrame, share: float = 0.6, least_ov
                     for d, i, s, n in index.search(term, w.docs):
                         if d not in sets:
                             sets[d] = _doc_shingles(h[w.docs[d] : w.docs[d + 1]])
-                        q, a = overlap(index.question[i], sets[d]), overlap(index.answer[i], sets[d])
-                        if q >= least_overlap and a >= least_overlap:
-                            rows.append((ids[lo + d].as_py(), index.items[i], s, n, q, a))
-                    cols = list(zip(*rows, strict=True)) if rows else [()] * 6
-                    types = [pa.int64(), pa.int64(), pa.float64(), pa.int64(), pa.float64(), pa.float64()]
-                    names = ["doc_id", "item_id", "score", "n_passages", "question_overlap", "answer_overlap"]
+                        whole = overlap(index.whole[i], sets[d])
+                        q, a = (overlap(x, sets[d]) for x in index.halves[i]) if index.halves[i] else (None, None)
+                        if whole >= least_overlap if q is None else min(q, a) >= least_overlap:
+                            rows.append((ids[lo + d].as_py(), index.items[i], s, n, whole, q, a))
+                    names = ["doc_id", "item_id", "score", "n_passages", "overlap", "question_overlap", "answer_overlap"]
+                    cols = list(zip(*rows, strict=True)) if rows else [()] * len(names)
+                    types = [pa.int64(), pa.int64(), pa.float64(), pa.int64(), *[pa.float64()] * 3]
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], names)
 
         parts.append(src.mapInArrow(run, schema))
@@ -179,7 +213,7 @@ def _blocks(items: DataFrame, size: int):
     """The items, ``size`` at a time in order of id."""
     block = []
     for r in items.orderBy("item_id").toLocalIterator():
-        block.append((r["item_id"], r["text"]))
+        block.append(tuple(r))
         if len(block) == size:
             yield block
             block = []

@@ -46,6 +46,26 @@ def test_decontamination(spark, odd, none):
     assert decontaminate.contaminated(docs, items.where("false")).count() == 0
 
 
+def test_decontamination_judges_the_whole_item(spark):
+    item = "what is the colour of the old house at the end of the long road by the river answer it is Élan green with a red door"
+    w = item.split()
+    rows = [
+        (1, "intro " + item + "less and more"),
+        (2, "intro " + item.replace("door", "gate") + " more"),
+        (3, "(«" + "», — ".join(w).upper() + "»)!"),
+        (4, " ".join(w[:14]) + " and nothing of the rest"),
+        (5, " ".join(w[:16]) + " blue as the sea and the sky above the harbour wall"),
+        (6, "-- ... !!"),
+    ]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    items = spark.createDataFrame([(1, item), (2, "?!")], "item_id bigint, text string")
+    got = {(r.doc_id, r.item_id): r for r in decontaminate.contaminated(docs, items).collect()}
+    assert set(got) == {(1, 1), (2, 1), (3, 1)} and got[3, 1].overlap == 1 and got[3, 1].question_overlap is None
+    both = spark.createDataFrame([(1, " ".join(w[:17]), " ".join(w[17:]))], "item_id bigint, question string, answer string")
+    assert {r.doc_id for r in decontaminate.contaminated(docs, both, share=0.1).collect()} == {1, 2, 3}
+    assert {r.doc_id for r in decontaminate.contaminated(docs, both, share=0.1, least_overlap=0.9).collect()} == {3}
+
+
 def test_block_max_search_finds_what_exhaustive_scoring_finds():
     rng = np.random.default_rng(3)
     vocabulary = [f"t{i}" for i in range(300)]
