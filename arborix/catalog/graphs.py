@@ -52,6 +52,11 @@ QUERIES = {
     "geodesic_matrix_graph": _q(lambda e: g.geodesic_matrix(e, _nodes(e, 3, 31), _nodes(e, 5, 37), limit=12.0)),
     "geodesic_predecessors": _q(lambda e: g.geodesic_predecessors(e, sources=_nodes(e, 3, 31))),
     "geodesic_path": _q(lambda e: g.geodesic_path(e, _nodes(e, 3, 31).withColumn("target", F.col("node_id") + 31))),
+    # every node as source (and target); beyond SQL, held against brute force in the tests
+    "geodesic_matrix_graph_all": _q(lambda e: g.geodesic_matrix(e)),
+    "geodesic_predecessors_all": _q(lambda e: g.geodesic_predecessors(e)),
+    "geodesic_path_all": _q(lambda e: g.geodesic_path(e, _nodes(e, 0, 1).withColumn("target", F.col("node_id") + 31))),
+    "csgraph_dijkstra_all": _q(lambda e: g.csgraph_dijkstra(e.select("graph_id", F.col("src").alias("row"), F.col("dst").alias("col"), F.col("weight").alias("value")))),
     "geodesic_clusters": _q(lambda e: g.geodesic_clusters(e, 6.0)),
     "geodesic_mst_graph": _q(lambda e: g.geodesic_mst(e, _nodes(e, 3, 31))),
     "csgraph_dijkstra": _q(lambda e: g.csgraph_dijkstra(e.select("graph_id", F.col("src").alias("row"), F.col("dst").alias("col"), F.col("weight").alias("value")), _nodes(e, 3, 31)).where("dist < 1e300")),

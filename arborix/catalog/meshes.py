@@ -52,6 +52,8 @@ QUERIES = {
     "unique_edges": _q(lambda v, f: _rounded(m.unique_edges(f, v), "length")),
     "edge_inverse": _q(lambda v, f: m.edge_inverse(f)),
     "geodesic_matrix_mesh": _q(lambda v, f: m.geodesic_matrix_mesh(f, None, _marks(v, 36, 5), None, 6.0)),
+    # every vertex as source and target, without a limit
+    "geodesic_matrix_mesh_all": _q(lambda v, f: m.geodesic_matrix_mesh(f, v)),
     "geodesic_nearest_mesh": _q(lambda v, f: m.geodesic_nearest_mesh(f, _marks(v, 7, 1), _marks(v, 11, 3), v)),
     "geodesic_farthest_mesh": _q(lambda v, f: m.geodesic_farthest_mesh(f, _marks(v, 7, 1), _marks(v, 11, 3))),
     "geodesic_mst_mesh": _q(lambda v, f: m.geodesic_mst_mesh(f, _marks(v, 11, 3), v)),

@@ -64,6 +64,9 @@ QUERIES = {
     "betweenness_undirected": _q(lambda n: trees.betweenness(n, directed=False)),
     "geodesic_matrix": _q(lambda n: trees.geodesic_matrix(n, marked(n, 23, 3), marked(n, 29, 4))),
     "geodesic_matrix_directed": _q(lambda n: trees.geodesic_matrix(n, marked(n, 23, 3), marked(n, 3, 0), directed=True)),
+    # all nodes by all nodes; beyond SQL, held against brute force in the tests
+    "geodesic_matrix_all": _q(trees.geodesic_matrix),
+    "geodesic_matrix_directed_all": _q(lambda n: trees.geodesic_matrix(n, directed=True)),
     "geodesic_pairs": _q(lambda n: trees.geodesic_pairs(n, n.select("skeleton_id", F.col("node_id").alias("source"), F.expr("node_id div 3").alias("target")))),
     "geodesic_nearest": _q(lambda n: trees.geodesic_nearest(n, n.select("skeleton_id", "node_id"), marked(n, 11, 4))),
     "geodesic_farthest": _q(lambda n: trees.geodesic_farthest(n, n.select("skeleton_id", "node_id"), marked(n, 11, 4))),
