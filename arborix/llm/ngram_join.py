@@ -187,10 +187,10 @@ def _survivors(n: np.ndarray, sigs: dict[int, np.ndarray], width: np.ndarray, ro
     """Which pairs (i, j) size ratio and bit counts leave possible. ``sigs``: per width the bitmaps; ``row``: each one's row there."""
     ok = np.flatnonzero(np.minimum(n[i], n[j]) * 100 >= 75 * np.maximum(n[i], n[j]))
     out = np.zeros(len(i), bool)
-    pair = width[i[ok]] * 1_000_000 + width[j[ok]]
+    pair = width[i[ok]] << 32 | width[j[ok]]
     for key in np.unique(pair).tolist():
         k = ok[pair == key]
-        a, b = sigs[key // 1_000_000][row[i[k]]], sigs[key % 1_000_000][row[j[k]]]
+        a, b = sigs[key >> 32][row[i[k]]], sigs[key & 0xFFFFFFFF][row[j[k]]]
         while a.shape[1] > b.shape[1]:
             a = a[:, : a.shape[1] // 2] | a[:, a.shape[1] // 2 :]
         while b.shape[1] > a.shape[1]:

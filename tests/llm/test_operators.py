@@ -474,3 +474,11 @@ def test_components_at_once_and_in_rounds(spark):
     once, rounds = ({(r.node, r.root) for r in components(edges, few).collect()} for few in (10**6, 0))
     assert once == rounds and (1040, 1000) in once
     assert components(edges.where("false")).count() == 0
+
+
+def test_bitmaps_of_a_megabyte_and_more():
+    wide, half = np.full((1, 1 << 17), 3, np.uint64), np.full((1, 1 << 16), 3, np.uint64)
+    sigs, width = {1 << 20: wide, 1 << 19: half}, np.array([1 << 20, 1 << 20, 1 << 19])
+    sigs[1 << 20] = np.concatenate([wide, wide])
+    n, row = np.full(3, 5_000_000), np.array([0, 1, 0])
+    assert ngram_join._survivors(n, sigs, width, row, np.array([0, 0, 2]), np.array([1, 2, 1])).all()
