@@ -19,8 +19,6 @@ an empty result; texts of any length are scored whole; extra columns are ignored
 
 from __future__ import annotations
 
-import ctypes
-
 import numpy as np
 import pandas as pd
 import pyarrow as pa
@@ -28,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from arborix.llm._spark import crc_of_id, n_buckets, save, text_of
-from arborix.llm._text import _LOWER, buffers, hash_words, mix, slices, words
+from arborix.llm._text import _LOWER, buffers, hash_words, mix, slices, trim, words
 
 DEPTH, END = 5, 0xFF
 _END_TOKEN = np.uint64(0x656E642D6D61726B)  # no word hash is meant to equal it
@@ -72,13 +70,6 @@ def _dealt(distinct: np.ndarray, nb: int) -> tuple[np.ndarray, np.ndarray]:
     return order, np.searchsorted(where[order], np.arange(nb + 1))
 
 
-def _trim() -> None:
-    """Give freed memory back to the system: a worker stays beside the JVM and the other workers of its executor."""
-    pa.default_memory_pool().release_unused()
-    if hasattr(libc := ctypes.CDLL(None), "malloc_trim"):
-        libc.malloc_trim(0)
-
-
 def _packed(raw: bytes) -> bytes:
     return len(raw).to_bytes(8, "little") + pa.compress(raw, "zstd", asbytes=True)
 
@@ -128,7 +119,7 @@ def gram_counts(train: DataFrame, nb: int, depth: int = DEPTH) -> DataFrame:
         if keys:
             yield sent(*_merged(keys, counts))
         keys = counts = None
-        _trim()
+        trim()
 
     def merge(group: pa.Table) -> pa.Table:
         keys, counts = ([np.frombuffer(x.as_buffer(), np.int64) for x in group[c]] for c in ("grams", "n"))
@@ -374,11 +365,11 @@ def score(docs: DataFrame, depth: int = DEPTH) -> DataFrame:
                 if size > _UNIT or len(keys[0]) > _UNIT_RUNS // 2:
                     yield runs_of_unit()
                     unit, k, keys, size = unit + 1, 0, [], 0
-                _trim()
+                trim()
         if keys:
             yield runs_of_unit()
         keys = None
-        _trim()
+        trim()
 
     def per_bucket(group: pa.Table) -> pa.Table:
         rows = group.to_pylist()
@@ -413,7 +404,7 @@ def score(docs: DataFrame, depth: int = DEPTH) -> DataFrame:
                 total = kinds = 0
         made = _record(out, _SUMS)
         del rows, out
-        _trim()
+        trim()
         return pa.Table.from_batches([made])
 
     def per_doc(group: pa.Table) -> pa.Table:
@@ -427,7 +418,7 @@ def score(docs: DataFrame, depth: int = DEPTH) -> DataFrame:
             of_slice.setdefault(r["slice"], []).append(r)
         made = pa.concat_tables([_of_slice(of_slice[k], g, g_logs) for k in sorted(of_slice) if k >= 0])
         del rows, asked, of_slice
-        _trim()
+        trim()
         return made
 
     def _of_slice(rows: list[dict], g: np.ndarray, g_logs: np.ndarray) -> pa.Table:

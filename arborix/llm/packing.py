@@ -118,7 +118,7 @@ def pieces(docs: DataFrame, vocabulary: str, window: int, end_id: int) -> DataFr
         enc = encoder(vocabulary)
         for b in batches:
             text, doc = b.column("text"), b.column("doc_id")
-            for lo, hi in slices(text, 8 << 20):
+            for lo, hi in slices(text, 1 << 20):
                 ids, off = enc.encode(text.slice(lo, hi - lo), end_id)
                 n = np.diff(off)
                 per = -(-n // window)

@@ -19,10 +19,10 @@ from pyspark.sql import functions as F
 
 from arborix.llm import rans
 from arborix.llm._spark import text_of
-from arborix.llm._text import id_array, ids_of, slices
+from arborix.llm._text import id_array, ids_of, slices, trim
 from arborix.llm.tokens import crc, encoder
 
-SEGMENT = 4 << 20
+SEGMENT, _PIECE = 4 << 20, 1 << 20  # ids of a segment; bytes of text encoded at once
 _BLOCK = pa.struct(
     [
         ("n", pa.int64()),
@@ -59,8 +59,7 @@ def segment_row(part: int, segment: int, doc_ids: np.ndarray, lengths: np.ndarra
     cols = [
         [part],
         [segment],
-        pa.array([id_array(doc_ids).to_pylist()], pa.list_(pa.int64())),
-        pa.array([lengths], pa.list_(pa.int64())),
+        *(pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), x) for x in (id_array(doc_ids), pa.array(lengths, pa.int64()))),
         [symbols.astype("<u4").tobytes()],
         [freqs.astype("<u4").tobytes()],
         [blocks],
@@ -82,7 +81,7 @@ def write(docs: DataFrame, path: str, vocabulary: str, end_id: int = 1) -> None:
         size = 0
         for b in batches:
             text, doc = b.column("text"), ids_of(b.column("doc_id"))
-            for lo, hi in slices(text, 8 << 20):
+            for lo, hi in slices(text, _PIECE):
                 ids, off = enc.encode(text.slice(lo, hi - lo), end_id)
                 held.append((doc[lo:hi], np.diff(off), ids))
                 size += len(ids)
@@ -91,6 +90,8 @@ def write(docs: DataFrame, path: str, vocabulary: str, end_id: int = 1) -> None:
                     held, size, segment = [], 0, segment + 1
         if held:
             yield segment_row(part, segment, *(np.concatenate(x) for x in zip(*held, strict=True)))
+        held = []
+        trim()
 
     ordered.mapInArrow(run, _DDL).write.option("compression", "uncompressed").parquet(path)
 
@@ -110,15 +111,15 @@ def read(spark: SparkSession, path: str, with_ids: bool = False) -> DataFrame:
 
     def run(batches):
         for b in batches:
-            for row in b.to_pylist():
-                ids = decoded(row)
-                length = np.array(row["lengths"], np.int64)
+            for k in range(b.num_rows):
+                # one segment at a time
+                own, ids = b.column("doc_ids").slice(k, 1).flatten(), decoded(b.select(["symbols", "freqs", "blocks"]).slice(k, 1).to_pylist()[0])
+                length = b.column("lengths").slice(k, 1).flatten().to_numpy()
                 stop = np.cumsum(length)
                 start = stop - length
                 cols = [
-                    pa.array([row["part"]] * len(length), pa.int32()),
-                    pa.array([row["segment"]] * len(length), pa.int32()),
-                    pa.array(row["doc_ids"], pa.int64()),
+                    *(pa.repeat(b.column(c)[k], len(length)) for c in ("part", "segment")),
+                    own,
                     pa.array(start),
                     pa.array(length),
                     pa.array([crc(ids[x:y]) for x, y in zip(start.tolist(), stop.tolist(), strict=True)], pa.int64()),

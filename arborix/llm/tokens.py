@@ -30,7 +30,7 @@ BYTE_PIECES = re.compile(f"{_TAIL}| ?[{_L}]+| ?[{_N}]+| ?[^{_S}{_L}{_N}]+|[{_S}]
 WORD_SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 # white space other than 0x20 and 0x09-0x0D, in UTF-8
 _ODD_SPACE = rb"\xc2\x85|\xc2\xa0|\xe1\x9a\x80|\xe2\x80[\x80-\x8a\xa8\xa9\xaf]|\xe2\x81\x9f|\xe3\x80\x80"
-CACHE = 900_000  # pieces a worker remembers; beyond, it starts afresh
+CACHE, SHORT = 40 << 20, 64  # bytes a worker remembers (beyond, it starts afresh), in pieces of at most so many bytes
 # 0 white space, 1 letter, 2 digit, 3 other, 4 for the library (apostrophes: contractions; '<': special tokens)
 _CLASS = np.full(256, 4, np.uint8)
 _CLASS[:128] = 3
@@ -72,7 +72,20 @@ class ChunkEncoder:
         self.odd = re.compile(b"|".join([_ODD_SPACE, *special]))
         chars = _byte_chars()
         self.table = {c: "".join(chars[b] for b in chr(c).encode()) for c in range(256)}
-        self.cache: dict[bytes, bytes] = {}
+        self._forget()
+
+    def _forget(self) -> None:
+        self.known, self.begin, self.size, self.pool = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int32), np.zeros(0, np.uint32)
+
+    def _remember(self, h: np.ndarray, ids: list[bytes]) -> None:
+        order = np.argsort(h)
+        size = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
+        begin = np.cumsum(size) - size + len(self.pool)
+        at = np.searchsorted(self.known, h[order])
+        self.known = np.insert(self.known, at, h[order])
+        self.begin = np.insert(self.begin, at, begin[order])
+        self.size = np.insert(self.size, at, size[order].astype(np.int32))
+        self.pool = np.concatenate([self.pool, np.frombuffer(b"".join(ids), np.uint32)])
 
     def _library(self, text: str) -> bytes:
         return np.array(self.tok.encode(text, add_special_tokens=False).ids, np.uint32).tobytes()
@@ -110,22 +123,24 @@ class ChunkEncoder:
         inverse, distinct = pd.factorize(h)
         first = np.empty(len(distinct), np.int64)
         first[inverse[::-1]] = np.arange(len(h) - 1, -1, -1)
-        if len(self.cache) > CACHE:
-            self.cache.clear()
-        got, cache, raw, model, table = [], self.cache, data.tobytes(), self.model, self.table
-        for a, b, hard in zip(starts[first].tolist(), ends[first].tolist(), odd[first].tolist(), strict=True):
-            key = raw[a:b]
-            ids = cache.get(key)
-            if ids is None:
-                if hard:
-                    ids = self._chunk(key)
-                else:
-                    ids = array("I", [t.id for t in model.tokenize(key.decode("utf-8").translate(table))]).tobytes()
-                cache[key] = ids
-            got.append(ids)
-        pool = np.frombuffer(b"".join(got), np.uint32)
-        size = np.fromiter(map(len, got), np.int64, len(got)) // 4
-        begin = np.concatenate([[0], np.cumsum(size)])[:-1]
+        if 20 * len(self.known) + 4 * len(self.pool) > CACHE:
+            self._forget()
+        i = np.minimum(np.searchsorted(self.known, distinct), max(len(self.known) - 1, 0))
+        hit = self.known[i] == distinct if len(self.known) else np.zeros(len(distinct), bool)
+        miss = np.flatnonzero(~hit)
+        starts, ends, odd = (x[first[miss]] for x in (starts, ends, odd))
+        got, raw, model, table = [], data.tobytes(), self.model, self.table
+        for a, b, hard in zip(starts.tolist(), ends.tolist(), odd.tolist(), strict=True):
+            piece = raw[a:b]
+            got.append(self._chunk(piece) if hard else array("I", [t.id for t in model.tokenize(piece.decode("utf-8").translate(table))]).tobytes())
+        size, begin = np.zeros(len(distinct), np.int64), np.zeros(len(distinct), np.int64)
+        size[hit], begin[hit] = self.size[i[hit]], self.begin[i[hit]]
+        size[miss] = np.fromiter(map(len, got), np.int64, len(got)) // 4
+        begin[miss] = np.cumsum(size[miss]) - size[miss] + len(self.pool)
+        pool = np.concatenate([self.pool, np.frombuffer(b"".join(got), np.uint32)])
+        short = np.flatnonzero(ends - starts <= SHORT)
+        if len(short):
+            self._remember(distinct[miss[short]], [got[k] for k in short.tolist()])
         return _gathered(pool, begin, size, inverse, docs, end_id)
 
     def _units(self, arr: pa.Array):
