@@ -4,28 +4,22 @@ from __future__ import annotations
 
 import numpy as np
 
+from arborix.kernels.points import PointIndex
 
-def nearest(query: np.ndarray, target: np.ndarray, block: int = 1024) -> tuple[np.ndarray, np.ndarray]:
+
+def nearest(query: np.ndarray, target: np.ndarray | PointIndex) -> tuple[np.ndarray, np.ndarray]:
     """Distance and row of each query's nearest target, ties to the lower row; infinite and -1 without targets."""
-    dist, row = np.full(len(query), np.inf), np.full(len(query), -1, np.int64)
-    if not len(target):
-        return dist, row
-    for k in range(0, len(query), block):
-        d = ((query[k : k + block, None, :] - target[None]) ** 2).sum(2)
-        j = np.argmin(d, 1)
-        row[k : k + block], dist[k : k + block] = j, np.sqrt(d[np.arange(len(j)), j])
-    return dist, row
+    d, row = (target if isinstance(target, PointIndex) else PointIndex(target)).nearest(query)
+    return np.sqrt(d), row
 
 
-def tangents(points: np.ndarray, k: int = 20, block: int = 512) -> tuple[np.ndarray, np.ndarray]:
+def tangents(points: np.ndarray, k: int = 20, block: int = 8192) -> tuple[np.ndarray, np.ndarray]:
     """Principal direction and (l1 - l2) / (l1 + l2 + l3) of the k nearest points, each itself included."""
     n = len(points)
     k = min(k, n)
-    vect, alpha = np.zeros((n, 3)), np.zeros(n)
+    vect, alpha, index = np.zeros((n, 3)), np.zeros(n), PointIndex(points)
     for s in range(0, n, block):
-        d = ((points[s : s + block, None, :] - points[None]) ** 2).sum(2)
-        near = np.argsort(d, axis=1, kind="stable")[:, :k]
-        p = points[near]
+        p = points[index.neighbours(points[s : s + block], k)]
         p = p - p.mean(1, keepdims=True)
         value, vector = np.linalg.eigh(np.einsum("nki,nkj->nij", p, p))
         v, total = vector[:, :, 2], value.sum(1)
@@ -72,9 +66,17 @@ def read_scores(lines) -> ScoreTable:
     return ScoreTable([[float(v) for v in r[1:]] for r in rows[1:]], [left(r[0]) for r in rows[1:]], [left(c) for c in rows[0][1:]])
 
 
+def _index(cloud: dict, name, points: np.ndarray) -> PointIndex:
+    """The cloud's index of some of its points, made once."""
+    held = cloud.setdefault("index", {})
+    if name not in held:
+        held[name] = PointIndex(points)
+    return held[name]
+
+
 def pair_score(q: dict, t: dict, table: ScoreTable, use_alpha: bool = False, limit: float | None = None) -> float:
     """Sum over the query's points of the score of its nearest target point."""
-    d, j = nearest(q["p"], t["p"])
+    d, j = nearest(q["p"], _index(t, "p", t["p"]))
     if not len(t["p"]):
         return table.score(d, np.zeros(len(d)), limit)
     dot = np.abs((q["v"] * t["v"][j]).sum(1))
@@ -93,7 +95,7 @@ def synapse_score(q: dict, t: dict, table: ScoreTable) -> float:
     """Nearest connector of the same type, the dot product fixed at one; types the target lacks are infinitely far."""
     total = 0.0
     for kind in np.unique(q["type"]).tolist():
-        d, _ = nearest(q["p"][q["type"] == kind], t["p"][t["type"] == kind])
+        d, _ = nearest(q["p"][q["type"] == kind], _index(t, kind, t["p"][t["type"] == kind]))
         total += float(table.values[table.row(d), table.column(1.0)].sum())
     return total
 
@@ -104,14 +106,14 @@ def signature(p: np.ndarray, v: np.ndarray, origin: np.ndarray, voxel: float, sp
     low = np.floor(u).astype(np.int64)
     frac = u - low
     axis = np.argmax(np.abs(v), 1)
-    cells: dict[int, float] = {}
+    keys, weights = [], []
     for c in range(8 if splat else 1):
         bit = np.array([c & 1, c >> 1 & 1, c >> 2 & 1])
-        w = np.where(bit, frac, 1 - frac).prod(1) if splat else np.ones(len(p))
+        weights.append(np.where(bit, frac, 1 - frac).prod(1) if splat else np.ones(len(p)))
         at = low + bit
-        key = (((at[:, 0] + (1 << 18)) << 40) | ((at[:, 1] + (1 << 18)) << 21) | (at[:, 2] + (1 << 18)) << 2) | axis
-        for x, y in zip(key.tolist(), w.tolist(), strict=True):
-            if y > 0:
-                cells[x] = cells.get(x, 0.0) + y
+        keys.append((((at[:, 0] + (1 << 18)) << 40) | ((at[:, 1] + (1 << 18)) << 21) | (at[:, 2] + (1 << 18)) << 2) | axis)
+    key, back = np.unique(np.concatenate(keys), return_inverse=True)
+    total = np.bincount(back, np.concatenate(weights), len(key))
+    cells = {x: y for x, y in zip(key.tolist(), total.tolist(), strict=True) if y > 0}
     norm = np.sqrt(sum(cells.values())) or 1.0
     return {k: np.sqrt(x) / norm for k, x in cells.items()}

@@ -8,6 +8,8 @@ from __future__ import annotations
 
 import numpy as np
 
+from arborix.kernels.points import PointIndex
+
 
 class CycleError(ValueError):
     """The parent relation runs in a circle."""
@@ -73,14 +75,19 @@ class Forest:
         return np.where(self.is_root, 0.0, self.weight)
 
     # -- aggregates along the tree ------------------------------------------------------------------
-    def down(self, start: np.ndarray, step) -> np.ndarray:
-        """value[child] = step(value[parent], child), level by level from the roots."""
-        out = start.copy()
+    @property
+    def levels(self) -> list[np.ndarray]:
+        """Rows of depth 1, of depth 2 and so on, each in row order."""
         if self._levels is None:
             order, depth = self.order, self.depth
             cut = np.searchsorted(depth[order], np.arange(1, int(depth.max(initial=0)) + 2))
             self._levels = [order[a:b] for a, b in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True)]
-        for rows in self._levels:
+        return self._levels
+
+    def down(self, start: np.ndarray, step) -> np.ndarray:
+        """value[child] = step(value[parent], child), level by level from the roots."""
+        out = start.copy()
+        for rows in self.levels:
             out[rows] = step(out[self.parent[rows]], rows)
         return out
 
@@ -134,10 +141,8 @@ class Forest:
     def height(self) -> np.ndarray:
         """Distance to the farthest leaf below."""
         far, w = np.zeros(self.n), self._edge()
-        for i in self.order[::-1].tolist():
-            p = self.parent[i]
-            if p >= 0:
-                far[p] = max(far[p], far[i] + w[i])
+        for rows in self.levels[::-1]:
+            np.maximum.at(far, self.parent[rows], far[rows] + w[rows])
         return far
 
     def kinds(self) -> np.ndarray:
@@ -221,22 +226,50 @@ class Forest:
         return np.where(ok, deep[a] + deep[b] - 2 * deep[low], -1.0)
 
     def extreme(self, sources: np.ndarray, targets: np.ndarray, far: bool, directed: bool, weighted: bool) -> tuple[np.ndarray, np.ndarray]:
-        """Nearest (or farthest) target other than the source itself, ties to the least id; (-1, -1) if none."""
-        targets = targets[np.argsort(self.ids[targets], kind="stable")]
+        """Nearest (or farthest) target other than the source itself, ties to the least id; (-1, -1) if none.
+
+        Two passes over the levels: the best target below each node, then the best one above or beside it. A node's own
+        entry is kept apart, and a parent knows its best two children, so nobody is its own answer.
+        """
+        n, none, sign = self.n, np.iinfo(np.int64).max, -1.0 if far else 1.0
+        w = sign * (self._edge() if weighted else np.where(self.is_root, 0.0, 1.0))
+        hit = np.zeros(n, bool)
+        hit[np.asarray(targets, np.int64)] = True
+        # entries are (signed distance, id); no target is (inf, none)
+        own_d, own_i = np.where(hit, 0.0, np.inf), np.where(hit, self.ids, none)
+
+        def best(d1, i1, d2, i2):
+            left = (d1 < d2) | (d1 == d2) & (i1 <= i2)
+            return np.where(left, d1, d2), np.where(left, i1, i2)
+
+        # the best two offers of children, from different ones, and the child of the first
+        d1, d2 = np.full(n, np.inf), np.full(n, np.inf)
+        i1, i2, who = np.full(n, none), np.full(n, none), np.full(n, -1)
+        if not directed:
+            for rows in self.levels[::-1]:
+                d, i = best(own_d[rows], own_i[rows], d1[rows], i1[rows])
+                d, up = d + w[rows], self.parent[rows]
+                order = np.lexsort((i, d, up))
+                up, d, i, child = up[order], d[order], i[order], rows[order]
+                first = np.flatnonzero(np.concatenate([[True], up[1:] != up[:-1]]))
+                d1[up[first]], i1[up[first]], who[up[first]] = d[first], i[first], child[first]
+                second = first + 1
+                second = second[(second < len(up))]
+                second = second[up[second] == up[second - 1]]
+                d2[up[second]], i2[up[second]] = d[second], i[second]
+        # over the parent: its own entry, what lies above it, and its other children
+        top_d, top_i = np.full(n, np.inf), np.full(n, none)
+        for rows in self.levels:
+            up = self.parent[rows]
+            d, i = best(own_d[up], own_i[up], top_d[up], top_i[up])
+            mine = who[up] == rows
+            d, i = best(d, i, np.where(mine, d2[up], d1[up]), np.where(mine, i2[up], i1[up]))
+            top_d[rows], top_i[rows] = d + w[rows], i
+        d, i = best(d1, i1, top_d, top_i)
+        there = i != none
+        d, i = np.where(there, sign * d, -1.0), np.where(there, i, -1)
         sources = np.asarray(sources, np.int64)
-        dist, who = np.full(len(sources), -1.0), np.full(len(sources), -1, np.int64)
-        if not len(targets):
-            return dist, who
-        for k in range(0, len(sources), 64):
-            rows = slice(k, k + 64)
-            d = self.distances(sources[rows], targets, directed, weighted)
-            ok = (d >= 0) & (targets[None] != sources[rows][:, None])
-            value = np.where(ok, d, -np.inf if far else np.inf)
-            j = np.argmax(value, 1) if far else np.argmin(value, 1)
-            any_ = ok.any(1)
-            dist[rows] = np.where(any_, d[np.arange(len(j)), j], -1.0)
-            who[rows] = np.where(any_, self.ids[targets[j]], -1)
-        return dist, who
+        return np.where(sources >= 0, d[sources], -1.0) + 0.0, np.where(sources >= 0, i[sources], -1)
 
     # -- segments -----------------------------------------------------------------------------------
     def long_segments(self, weighted: bool = True) -> list[tuple[list[int], float]]:
@@ -259,14 +292,15 @@ class Forest:
 
     def linear_segments(self) -> list[list[int]]:
         """Chains between leaves, branch points and roots, both ends included, in order of the starting row."""
-        stop = (self.n_children != 1) | self.is_root
-        out = []
+        stop = ((self.n_children != 1) | self.is_root).tolist()
+        parent, out = self.parent.tolist(), []
         for s in np.flatnonzero((self.n_children != 1) & ~self.is_root).tolist():
-            seg, i = [s], int(self.parent[s])
+            seg, i = [s], parent[s]
             while not stop[i]:
                 seg.append(i)
-                i = int(self.parent[i])
-            out.append([*seg, i])
+                i = parent[i]
+            seg.append(i)
+            out.append(seg)
         return out
 
     def strahler(self, greedy: bool = False, ignore=None, min_twig_size: int | None = None) -> np.ndarray:
@@ -361,25 +395,30 @@ class Forest:
         return np.where(parent < 0, -1, self.ids[parent])
 
     def rewire(self, keep: np.ndarray):
-        """Kept rows, their new parent ids, summed weights, and for every row the nearer kept end of its chain."""
+        """Kept rows, their new parent ids, summed weights, and for every row the nearer kept end of its chain.
+
+        Passes over the levels: the nearest kept node above each row with its distance, and the kept node below that ends its chain.
+        """
+        n, w = self.n, self._edge()
+        above, up = np.full(n, -1), np.zeros(n)
+        for rows in self.levels:
+            p = self.parent[rows]
+            stops = keep[p] | (above[p] < 0)
+            above[rows] = np.where(keep[p], p, above[p])
+            up[rows] = np.where(stops, w[rows], up[p] + w[rows])
+        below, low = np.full(n, -1), np.zeros(n)
+        for rows in self.levels[::-1]:
+            down, d = np.where(keep[rows], rows, below[rows]), np.where(keep[rows], 0.0, low[rows]) + w[rows]
+            # the later kept row wins where chains meet
+            order = np.argsort(down, kind="stable")
+            order = order[(down[order] >= 0) & ~keep[self.parent[rows[order]]]]
+            below[self.parent[rows[order]]], low[self.parent[rows[order]]] = down[order], d[order]
         kept = np.flatnonzero(keep)
-        parents, weights = np.full(len(kept), -1, np.int64), np.zeros(len(kept))
-        node_map = np.full(self.n, -1, np.int64)
-        for slot, i in enumerate(kept.tolist()):
-            node_map[i] = i
-            chain, total, at, up = [], 0.0, i, -1
-            while self.parent[at] >= 0:
-                total += self.weight[at]
-                at = int(self.parent[at])
-                if keep[at]:
-                    up = at
-                    break
-                chain.append((at, total))
-            if up >= 0:
-                parents[slot], weights[slot] = self.ids[up], total
-            for x, d in chain:
-                node_map[x] = up if up >= 0 and total - d <= d else i
-        return kept, parents, weights, np.where(node_map < 0, -1, self.ids[node_map])
+        has = above[kept] >= 0
+        parents, weights = np.where(has, self.ids[above[kept]], -1), np.where(has, up[kept], 0.0)
+        near = np.where((above >= 0) & (up <= low), above, below)
+        near = np.where(keep, np.arange(n), np.where(below >= 0, near, -1))
+        return kept, parents, weights, np.where(near < 0, -1, self.ids[near])
 
     def topology(self) -> np.ndarray:
         return self.is_root | (self.n_children != 1)
@@ -436,29 +475,33 @@ def bfs_rewire(ids, parent_id, new_edges, root=None) -> np.ndarray:
 
 
 def stitch(coords: np.ndarray, label: np.ndarray, allowed: np.ndarray, max_dist: float = np.inf):
-    """Bridges (row, row, length) joining fragments at minimal total length: Boruvka over closest pairs."""
+    """Bridges (row, row, length) joining fragments at minimal total length: Boruvka over closest pairs.
+
+    In each round all but the largest fragment look for their nearest point outside, in a ``PointIndex`` that skips whole leaves of
+    their own fragment.
+    """
     rows = np.flatnonzero(allowed)
     if not len(rows):
         return []
-    group = label[rows].copy()
+    group = np.unique(label[rows], return_inverse=True)[1].copy()
     xyz = coords[rows]
+    index = PointIndex(xyz)
     out = []
     while len(np.unique(group)) > 1:
-        best: dict[int, tuple] = {}
-        for k in range(0, len(rows), 512):
-            d = ((xyz[k : k + 512, None, :] - xyz[None]) ** 2).sum(2)
-            d[group[k : k + 512, None] == group[None]] = np.inf
-            j = np.argmin(d, 1)
-            for i, (t, v) in enumerate(zip(j.tolist(), d[np.arange(len(j)), j].tolist(), strict=True), k):
-                if np.isfinite(v) and np.sqrt(v) <= np.nextafter(max_dist, np.inf):
-                    cand = (v, min(i, t), max(i, t))
-                    if group[i] not in best or cand < best[group[i]]:
-                        best[group[i]] = cand
-        if not best:
+        # the largest fragment waits for the others, who find it
+        size = np.bincount(group)
+        some = np.flatnonzero(group != int(np.argmax(size)))
+        d, j = index.nearest(xyz[some], group, group[some])
+        ok = np.isfinite(d) & (np.sqrt(d) <= np.nextafter(max_dist, np.inf))
+        some, j, d = some[ok], j[ok], d[ok]
+        if not len(some):
             break
-        for v, a, b in sorted(set(best.values())):
-            ga, gb = group[a], group[b]
-            if ga != gb:
-                out.append((int(rows[a]), int(rows[b]), float(np.sqrt(v))))
-                group[group == max(ga, gb)] = min(ga, gb)
+        a, b = np.minimum(some, j), np.maximum(some, j)
+        order = np.lexsort((b, a, d, group[some]))
+        first = order[np.concatenate([[True], np.diff(group[some[order]]) != 0])]
+        for v, x, y in sorted(set(zip(d[first].tolist(), a[first].tolist(), b[first].tolist(), strict=True))):
+            gx, gy = group[x], group[y]
+            if gx != gy:
+                out.append((int(rows[x]), int(rows[y]), float(np.sqrt(v))))
+                group[group == max(gx, gy)] = min(gx, gy)
     return out

@@ -59,17 +59,19 @@ class Graph:
 
     def __init__(self, n: int, a, b, w=None, directed: bool = False):
         self.n, self.weighted = n, w is not None
-        best: dict[tuple[int, int], float] = {}
+        a, b = np.asarray(a, np.int64), np.asarray(b, np.int64)
         ws = np.ones(len(a)) if w is None else np.asarray(w, float)
         if len(ws) and not (ws >= 0).all():
             raise ValueError("weights must be non-negative")
-        for x, y, d in zip(np.asarray(a).tolist(), np.asarray(b).tolist(), ws.tolist(), strict=True):
-            if x != y:
-                for e in ((x, y),) if directed else ((x, y), (y, x)):
-                    best[e] = min(d, best.get(e, np.inf))
-        self.near: list[list[tuple[int, float]]] = [[] for _ in range(n)]
-        for (x, y), d in sorted(best.items()):
-            self.near[x].append((y, d))
+        if not directed:
+            a, b, ws = np.concatenate([a, b]), np.concatenate([b, a]), np.concatenate([ws, ws])
+        order = np.lexsort((ws, b, a))
+        a, b, ws = a[order], b[order], ws[order]
+        keep = a != b
+        keep[1:] &= (a[1:] != a[:-1]) | (b[1:] != b[:-1])
+        a, ends = a[keep], list(zip(b[keep].tolist(), ws[keep].tolist(), strict=True))
+        cut = np.searchsorted(a, np.arange(n + 1)).tolist()
+        self.near: list[list[tuple[int, float]]] = [ends[x:y] for x, y in zip(cut[:-1], cut[1:], strict=True)]
 
     def search(self, sources, limit: float = np.inf, targets=None):
         """Distances, predecessors, owning sources and settle order of a multi-source search; limit inclusive."""
@@ -223,30 +225,50 @@ class Items:
                     heapq.heappush(heap, (d + w, y))
         return items, far
 
-    def farthest_seed(self, done) -> int | None:
-        """The open item farthest from all done ones; an unreached component's lowest item (largest first) where none is reached."""
-        closed = np.zeros(len(self.node), bool)
-        closed[list(done)] = True
+    def _labels(self) -> np.ndarray:
+        if not hasattr(self, "_label"):
+            a = np.repeat(np.arange(self.graph.n), [len(x) for x in self.graph.near])
+            self._label = labels(self.graph.n, a, [y for x in self.graph.near for y, _ in x])
+        return self._label
+
+    def _next(self, closed: np.ndarray, dist: np.ndarray) -> int | None:
+        """The open item farthest in the distance field; an unreached component's lowest item (largest first) where none is reached."""
         if closed.all():
             return None
-        dist = self.graph.search(sorted(set(self.node[closed].tolist())))[0][self.node]
-        reach = ~closed & np.isfinite(dist)
+        far = dist[self.node]
+        reach = ~closed & np.isfinite(far)
         if reach.any():
-            return int(np.argmax(np.where(reach, dist, -1)))
-        a = [x for x in range(self.graph.n) for _ in self.graph.near[x]]
-        b = [y for x in range(self.graph.n) for y, _ in self.graph.near[x]]
-        label = labels(self.graph.n, a, b)[self.node]
+            return int(np.argmax(np.where(reach, far, -1)))
+        label = self._labels()[self.node]
         count = np.bincount(label[~closed], minlength=self.graph.n)
         return int(np.flatnonzero(~closed & (label == int(np.argmax(count))))[0])
 
+    def farthest_seed(self, done) -> int | None:
+        """The open item farthest from all done ones."""
+        closed = np.zeros(len(self.node), bool)
+        closed[list(done)] = True
+        return self._next(closed, self.graph.search(sorted(set(self.node[closed].tolist())))[0])
+
     def spread(self, k: int) -> list[int]:
-        """Farthest-point sampling of up to k items."""
+        """Farthest-point sampling of up to k items. One distance field is kept: a new seed searches only where it is nearer."""
+        dist, closed = np.full(self.graph.n, np.inf), np.zeros(len(self.node), bool)
         out: list[int] = []
         while len(out) < k:
-            nxt = self.farthest_seed(out)
-            if nxt is None:
+            seed = self._next(closed, dist)
+            if seed is None:
                 break
-            out.append(nxt)
+            out.append(seed)
+            closed[seed] = True
+            heap = [(0.0, int(self.node[seed]))]
+            dist[heap[0][1]] = 0.0
+            while heap:
+                d, x = heapq.heappop(heap)
+                if d > dist[x]:
+                    continue
+                for y, w in self.graph.near[x]:
+                    if d + w < dist[y]:
+                        dist[y] = d + w
+                        heapq.heappush(heap, (d + w, y))
         return out
 
 

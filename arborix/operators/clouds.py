@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -36,17 +37,24 @@ def _packed(dots: DataFrame, *columns: str) -> DataFrame:
     return dots.groupBy("neuron_id").agg(F.array_sort(F.collect_list(F.struct(first, *have))).alias("points"))
 
 
-def _cloud(points) -> dict:
-    rows = [r.asDict() if hasattr(r, "asDict") else dict(r) for r in points]
-    get = lambda *c: np.array([[r[x] for x in c] for r in rows], float).reshape(len(rows), len(c))
-    out = {"p": get("x", "y", "z")}
-    if rows and "vx" in rows[0]:
-        out["v"] = get("vx", "vy", "vz")
-    out["alpha"] = get("alpha")[:, 0] if rows and "alpha" in rows[0] else np.ones(len(rows))
-    out["type"] = get("cn_type")[:, 0] if rows and "cn_type" in rows[0] else np.zeros(len(rows))
+def _cloud(points: pa.StructArray) -> dict:
+    """The points of one neuron as arrays, straight from the Arrow buffers."""
+    names = [points.type.field(i).name for i in range(points.type.num_fields)]
+    get = lambda c: points.field(c).to_numpy(zero_copy_only=False).astype(float)
+    out = {"p": np.column_stack([get(c) for c in "xyz"])}
+    if "vx" in names:
+        out["v"] = np.column_stack([get(c) for c in ("vx", "vy", "vz")])
+    out["alpha"] = get("alpha") if "alpha" in names else np.ones(len(points))
+    out["type"] = get("cn_type") if "cn_type" in names else np.zeros(len(points))
     return out
 
 
+def _clouds(ids: pa.ChunkedArray, points: pa.ChunkedArray) -> list[tuple[int, dict]]:
+    """(neuron, cloud) of each row; ``flatten`` of a one-row slice takes only its own points."""
+    points = points.combine_chunks() if isinstance(points, pa.ChunkedArray) else points
+    return [(i, _cloud(points.slice(k, 1).flatten())) for k, i in enumerate(ids.to_pylist())]
+
+
 def _grid(query: DataFrame, target: DataFrame, block: int) -> DataFrame:
     """Both sides dealt over the pairs of blocks: (qb, tb, side, neuron_id, points)."""
     nq, nt = (max(1, -(-df.select("neuron_id").distinct().count() // block)) for df in (query, target))
@@ -57,17 +65,20 @@ def _grid(query: DataFrame, target: DataFrame, block: int) -> DataFrame:
 
 
 def _scored(grid: DataFrame, score, own, normalize: bool, same: bool) -> DataFrame:
-    def fn(pdf):
-        clouds = {s: {r.neuron_id: _cloud(r.points) for r in pdf[pdf.side == s].itertuples()} for s in "qt"}
+    def fn(group: pa.Table) -> pa.Table:
+        side = np.array(group["side"].to_pylist())
+        of = {s: group.filter(pa.array(side == s)) for s in "qt"}
+        clouds = {s: dict(_clouds(t["neuron_id"], t["points"])) for s, t in of.items()}
         rows = []
         for q, a in sorted(clouds["q"].items()):
             top = own(a)
             for t, b in sorted(clouds["t"].items()):
                 s = top if same and q == t else score(a, b)
-                rows.append((q, t, s / top if normalize and top else s))
-        return pd.DataFrame(rows, columns=["q", "t", "score"])
+                rows.append((q, t, float(s / top if normalize and top else s)))
+        cols = list(zip(*rows, strict=True)) if rows else [()] * 3
+        return pa.table([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.float64()), strict=True)], names=["q", "t", "score"])
 
-    return grid.groupBy("qb", "tb").applyInPandas(fn, "q bigint, t bigint, score double")
+    return grid.groupBy("qb", "tb").applyInArrow(fn, "q bigint, t bigint, score double")
 
 
 def _fold(forward: DataFrame, backward: DataFrame | None, symmetry: str | None) -> DataFrame:
@@ -111,16 +122,15 @@ def nblast_pairs(query: DataFrame, pairs: DataFrame, table: k.ScoreTable, target
     met = pairs.select("q", "t").join(q.select(F.col("neuron_id").alias("q"), F.col("points").alias("qp")), "q").join(t.select(F.col("neuron_id").alias("t"), F.col("points").alias("tp")), "t").select("q", "t", "qp", "tp")
 
     def run(batches):
-        for pdf in batches:
+        for b in batches:
             out = []
-            for r in pdf.itertuples():
-                a = _cloud(r.qp)
-                top = k.self_score(a, table, use_alpha)
-                s = top if same and r.q == r.t else k.pair_score(a, _cloud(r.tp), table, use_alpha, limit)
-                out.append(s / top if normalize and top else s)
-            yield pd.DataFrame({"q": pdf.q, "t": pdf.t, "score": out})
-
-    return met.mapInPandas(run, "q bigint, t bigint, score double")
+            for (q, x), (u, y) in zip(_clouds(b.column("q"), b.column("qp")), _clouds(b.column("t"), b.column("tp")), strict=True):
+                top = k.self_score(x, table, use_alpha)
+                s = top if same and q == u else k.pair_score(x, y, table, use_alpha, limit)
+                out.append(float(s / top if normalize and top else s))
+            yield pa.RecordBatch.from_arrays([b.column("q"), b.column("t"), pa.array(out, pa.float64())], ["q", "t", "score"])
+
+    return met.mapInArrow(run, "q bigint, t bigint, score double")
 
 
 def nblast_smart(dots: DataFrame, table: k.ScoreTable, t: float = 90, criterion: str = "percentile", downsample: int = 10, symmetry: str | None = None, **options) -> DataFrame:

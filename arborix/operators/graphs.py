@@ -9,10 +9,11 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from arborix.kernels.graph import Graph, Items, bridges as _bridges, labels, spanning_forest
+from arborix.kernels.graph import Graph, Items, Union, bridges as _bridges, labels, spanning_forest
 from arborix.plans.closure import _cut
 from arborix.schema import only, per_object
 
@@ -123,22 +124,71 @@ def minimum_spanning_tree(edges: DataFrame, maximize: bool = False) -> DataFrame
     return _each(_rows(edges), fn, "ord bigint, edge_id bigint")
 
 
+HELD = 200_000  # edges whose local forest a task finds at once
+
+
+def _local_forests(batches):
+    """The edges of each task that its own spanning forest keeps: one that closes a circle of lighter ones is in no forest."""
+    held: list[pa.Table] = []
+    size = 0
+
+    def reduced() -> pa.Table:
+        t = pa.concat_tables(held).combine_chunks()
+        order = np.lexsort((t["edge_id"].to_numpy(), t["w"].to_numpy()))
+        t = t.take(pa.array(order))
+        g = t["graph_id"].to_numpy()
+        ends = np.stack([np.concatenate([g, g]), np.concatenate([t["a"].to_numpy(), t["b"].to_numpy()])])
+        code = np.unique(ends, axis=1, return_inverse=True)[1].ravel()
+        u = Union(int(code.max(initial=-1)) + 1)
+        keep = [k for k, (x, y) in enumerate(zip(code[: len(g)].tolist(), code[len(g) :].tolist(), strict=True)) if u.join(x, y)]
+        return t.take(pa.array(keep, pa.int64()))
+
+    for b in batches:
+        held.append(pa.Table.from_batches([b]))
+        size += b.num_rows
+        if size > HELD:
+            held = [reduced()]
+            size = held[0].num_rows
+            if size > HELD // 2:
+                yield from held[0].to_batches()
+                held, size = [], 0
+    if held:
+        yield from reduced().to_batches()
+
+
 def spanning_forest_at_scale(edges: DataFrame, maximize: bool = False) -> DataFrame:
-    """The same edges (graph_id, edge_id) by Boruvka rounds over DataFrames."""
+    """The same edges (graph_id, edge_id) for graphs larger than a task: Boruvka's rounds over DataFrames.
+
+    Each task first drops what its own forest drops. In a round every component picks its lightest edge; the picks point
+    along trees whose roots are the two components that picked the same edge, so pointer doubling over the picks names the new
+    components. Of parallel edges between two components only the lightest goes on.
+    """
     sign = -1.0 if maximize else 1.0
-    e = edges.select("graph_id", "edge_id", "src", "dst", (F.col("weight") * sign).alias("w")).where("src <> dst")
-    e = _cut(e.withColumns({"a": F.col("src"), "b": F.col("dst")}))
+    columns = "graph_id bigint, edge_id bigint, w double, a bigint, b bigint"
+    e = edges.select(F.col("graph_id").cast("long").alias("graph_id"), F.col("edge_id").cast("long").alias("edge_id"), (F.col("weight") * sign).cast("double").alias("w"), F.col("src").cast("long").alias("a"), F.col("dst").cast("long").alias("b"))
+    e = _cut(e.where("a <> b").mapInArrow(_local_forests, columns))
     chosen = None
     while True:
-        ends = e.select("graph_id", F.col("a").alias("c"), F.struct("w", "edge_id").alias("k")).unionByName(e.select("graph_id", F.col("b").alias("c"), F.struct("w", "edge_id").alias("k")))
-        pick = _cut(ends.groupBy("graph_id", "c").agg(F.min("k").alias("k")).select("graph_id", F.col("k.edge_id").alias("edge_id")).distinct())
+        key = lambda c, o: e.select("graph_id", F.col(c).alias("c"), F.struct("w", "edge_id", F.col(o).alias("to")).alias("k"))
+        pick = key("a", "b").unionByName(key("b", "a")).groupBy("graph_id", "c").agg(F.min("k").alias("k"))
+        pick = _cut(pick.select("graph_id", "c", F.col("k.edge_id").alias("edge_id"), F.col("k.to").alias("to")))
         if not pick.limit(1).count():
-            return chosen if chosen is not None else pick
-        chosen = pick if chosen is None else _cut(chosen.unionByName(pick))
-        label = components_at_scale(e.join(pick, ["graph_id", "edge_id"], "left_semi").select("graph_id", F.col("a").alias("src"), F.col("b").alias("dst")))
-        la = label.select("graph_id", F.col("node_id").alias("a"), F.col("component").alias("ca"))
-        lb = label.select("graph_id", F.col("node_id").alias("b"), F.col("component").alias("cb"))
-        e = _cut(e.join(la, ["graph_id", "a"]).join(lb, ["graph_id", "b"]).where("ca <> cb").select("graph_id", "edge_id", "src", "dst", "w", F.col("ca").alias("a"), F.col("cb").alias("b")))
+            return chosen if chosen is not None else pick.select("graph_id", "edge_id")
+        found = pick.select("graph_id", "edge_id").distinct()
+        chosen = found if chosen is None else chosen.unionByName(found)
+        back = pick.select("graph_id", F.col("c").alias("to"), F.col("to").alias("up"))
+        # two components that picked the same edge: the smaller is the root
+        point = pick.join(back, ["graph_id", "to"]).select("graph_id", "c", F.when((F.col("up") == F.col("c")) & (F.col("c") < F.col("to")), F.col("c")).otherwise(F.col("to")).alias("to"))
+        while True:
+            up = point.select("graph_id", F.col("c").alias("to"), F.col("to").alias("up"))
+            point = _cut(point.join(up, ["graph_id", "to"]).select("graph_id", "c", F.col("to").alias("old"), F.col("up").alias("to")))
+            if not point.where("old <> to").limit(1).count():
+                break
+            point = point.drop("old")
+        at = lambda c: point.select("graph_id", F.col("c").alias(c), F.col("to").alias(f"{c}_to"))
+        e = e.join(at("a"), ["graph_id", "a"]).join(at("b"), ["graph_id", "b"]).where("a_to <> b_to")
+        e = e.groupBy("graph_id", F.least("a_to", "b_to").alias("a"), F.greatest("a_to", "b_to").alias("b")).agg(F.min(F.struct("w", "edge_id")).alias("k"))
+        e = _cut(e.select("graph_id", F.col("k.edge_id").alias("edge_id"), F.col("k.w").alias("w"), "a", "b"))
 
 
 def bridges(edges: DataFrame) -> DataFrame:
@@ -248,7 +298,7 @@ def csgraph_components(matrix: DataFrame, nodes: DataFrame | None = None) -> Dat
 class GeodesicGraph:
     """A prepared set of graphs: edges partitioned by graph id once, with items attached to nodes.
 
-    Every method is one pass over the prepared partitions; nothing is mutated: ``set_weights`` and ``subset`` return new objects.
+    Every method is one pass over the prepared partitions, which ``close`` (or leaving a with block) lets go; nothing is mutated: ``set_weights`` and ``subset`` return new objects.
     """
 
     def __init__(self, edges: DataFrame, nodes: DataFrame | None = None, items: DataFrame | None = None, directed: bool = False, partitions: int | None = None):
@@ -256,6 +306,16 @@ class GeodesicGraph:
         edges = only(edges, *EDGE)
         self.edges = edges.repartition(partitions, "graph_id").persist() if partitions else edges.persist()
 
+    def close(self) -> None:
+        """Let go of the prepared partitions."""
+        self.edges.unpersist()
+
+    def __enter__(self) -> GeodesicGraph:
+        return self
+
+    def __exit__(self, *_) -> None:
+        self.close()
+
     def distances(self, **o) -> DataFrame:
         return geodesic_matrix(self.edges, nodes=self.nodes, directed=self.directed, **o)
 
@@ -290,13 +350,13 @@ class GeodesicGraph:
         return _each(_rows(self.edges, self.nodes, sources=sources), fn, "node_id bigint, dist double, source bigint, ord bigint", self.directed)
 
     def set_weights(self, changes: DataFrame) -> GeodesicGraph:
-        """Re-weight existing edges (graph_id, src, dst, weight, optional ord: the last write wins); an unknown edge is an error."""
+        """Re-weight existing edges (graph_id, src, dst, weight, optional ord: the last write wins; among equals the greatest weight); an unknown edge is an error."""
         if "weight" not in self.edges.columns:
             raise ValueError("the graph has no weights")
         key = lambda a, b: (a, b) if self.directed else (F.least(a, b), F.greatest(a, b))
         ka, kb = key(F.col("src"), F.col("dst"))
         rank = F.col("ord") if "ord" in changes.columns else F.lit(0)
-        new = changes.select("graph_id", ka.alias("ka"), kb.alias("kb"), F.struct(rank.alias("o"), F.col("weight").alias("w")).alias("k")).groupBy("graph_id", "ka", "kb").agg(F.max("k.w").alias("m"), F.max_by("k.w", "k.o").alias("new"))
+        new = changes.select("graph_id", ka.alias("ka"), kb.alias("kb"), F.struct(rank.alias("o"), F.col("weight").alias("w")).alias("k")).groupBy("graph_id", "ka", "kb").agg(F.max("k.w").alias("m"), F.max_by("k.w", "k").alias("new"))
         own = self.edges.withColumns({"ka": ka, "kb": kb})
         if new.join(own, ["graph_id", "ka", "kb"], "left_anti").limit(1).count():
             raise ValueError("set_weights names an edge that is not in the graph")

@@ -5,6 +5,7 @@ from __future__ import annotations
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from arborix.kernels.forest import bfs_rewire, stitch
 from arborix.operators.trees import NODE, _each, _with
@@ -56,15 +57,17 @@ def heal_skeleton(nodes: DataFrame, method: str = "ALL", max_dist: float | None
 
 
 def reroot_rewire(nodes: DataFrame, new_edges: DataFrame, roots: DataFrame | None = None) -> DataFrame:
-    """Breadth-first forest over old and new edges (skeleton_id, a, b [, ord]) from the root, then by row."""
-    edges = new_edges.select("skeleton_id", "a", "b")
-    if roots is not None:
-        from pyspark.sql import functions as F
+    """Breadth-first forest over old and new edges (skeleton_id, a, b [, ord]) from the root, then by row.
 
-        edges = edges.unionByName(roots.select("skeleton_id", F.col("node_id").alias("a"), F.lit(None).cast("bigint").alias("b")))
+    New edges count in the order of ``ord``; without it (and among equals) in the order of their ends.
+    """
+    order = F.col("ord").cast("bigint") if "ord" in new_edges.columns else F.lit(0).cast("bigint")
+    edges = new_edges.select("skeleton_id", "a", "b", order.alias("ord"))
+    if roots is not None:
+        edges = edges.unionByName(roots.select("skeleton_id", F.col("node_id").alias("a"), F.lit(None).cast("bigint").alias("b"), F.lit(0).cast("bigint").alias("ord")))
 
     def fn(f, left, right):
-        e = right.dropna().sort_values(["a", "b"], kind="stable")
+        e = right.dropna(subset=["a", "b"]).sort_values(["ord", "a", "b"], kind="stable")
         want = right[right.b.isna()].a
         return pd.DataFrame({"node_id": f.ids, "parent_id": bfs_rewire(f.ids, left.parent_id, list(zip(e.a.astype(int), e.b.astype(int), strict=True)), int(want.iloc[0]) if len(want) else None)})
 

@@ -95,37 +95,90 @@ def observations_from_condensed(m: int) -> int:
 METHODS = ("single", "complete", "average", "weighted", "ward", "centroid", "median")
 
 
+def _updated(method: str, x, y, dij: float, a: float, b: float, c: np.ndarray) -> np.ndarray:
+    """Distances of the union of two clusters (sizes a and b, distances x and y, dij apart) to all others (sizes c): Lance-Williams."""
+    if method == "single":
+        return np.minimum(x, y)
+    if method == "complete":
+        return np.maximum(x, y)
+    if method == "average":
+        return (a * x + b * y) / (a + b)
+    if method == "weighted":
+        return (x + y) / 2
+    if method == "ward":
+        return ((a + c) * x + (b + c) * y - c * dij) / (a + b + c)
+    if method == "centroid":
+        return (a * x + b * y) / (a + b) - a * b * dij / (a + b) ** 2
+    return (x + y) / 2 - dij / 4
+
+
 def linkage_matrix(d: np.ndarray, method: str) -> np.ndarray:
-    """Merges [c1, c2, distance, size] of a square distance matrix, by nearest pairs and the Lance-Williams update."""
+    """Merges [c1, c2, distance, size] of a square distance matrix.
+
+    Methods whose unions never come nearer follow a chain of nearest neighbours and merge where it turns back (n * n steps in all),
+    and the merges are sorted; centroid and median, whose unions may, merge the closest pair each time, from kept row minima.
+    """
     if method not in METHODS:
         raise ValueError(f"unknown method: {method}")
     n = len(d)
     squared = method in ("ward", "centroid", "median")
     d = (d**2 if squared else d).astype(float).copy()
     np.fill_diagonal(d, np.inf)
-    name, size, merges = np.arange(n), np.ones(n), []
-    live = np.ones(n, bool)
-    for step in range(n - 1):
-        i, j = divmod(int(np.argmin(d)), n)
-        i, j = min(i, j), max(i, j)
-        dij, a, b = d[i, j], size[i], size[j]
-        c = size
-        x, y = d[i], d[j]
-        new = {
-            "single": lambda: np.minimum(x, y),
-            "complete": lambda: np.maximum(x, y),
-            "average": lambda: (a * x + b * y) / (a + b),
-            "weighted": lambda: (x + y) / 2,
-            "ward": lambda: ((a + c) * x + (b + c) * y - c * dij) / (a + b + c),
-            "centroid": lambda: (a * x + b * y) / (a + b) - a * b * dij / (a + b) ** 2,
-            "median": lambda: (x + y) / 2 - dij / 4,
-        }[method]()
-        new = np.where(live, new, np.inf)
+    size, live = np.ones(n), np.ones(n, bool)
+    merges = np.zeros((max(n - 1, 0), 3))  # two members' slots and the distance
+
+    def union(i: int, j: int) -> None:
+        """Slot i takes over slot j."""
+        new = np.where(live, _updated(method, d[i], d[j], d[i, j], size[i], size[j], size), np.inf)
         new[[i, j]] = np.inf
-        merges.append([*sorted((name[i], name[j])), np.sqrt(max(dij, 0)) if squared else dij, a + b])
         d[i], d[:, i], d[j], d[:, j] = new, new, np.inf, np.inf
-        live[j], name[i], size[i] = False, n + step, a + b
-    return np.array(merges).reshape(-1, 4)
+        live[j] = False
+        size[i] += size[j]
+
+    if method in ("centroid", "median"):
+        low = d.argmin(1) if n else np.zeros(0, np.int64)
+        for step in range(n - 1):
+            best = np.where(live, d[np.arange(n), low], np.inf)
+            i = int(np.argmin(best))
+            i, j = sorted((i, int(low[i])))
+            merges[step] = i, j, d[i, j]
+            union(i, j)
+            stale = live & ((low == i) | (low == j) | (d[i] < d[np.arange(n), low]) | (d[i] == d[np.arange(n), low]) & (i < low))
+            stale[i] = live[i]
+            for k in np.flatnonzero(stale).tolist():
+                low[k] = int(np.argmin(d[k]))
+    else:
+        chain: list[int] = []
+        for step in range(n - 1):
+            if not chain:
+                chain = [int(np.argmax(live))]
+            while True:
+                x = chain[-1]
+                y = int(np.argmin(d[x]))
+                if len(chain) > 1 and d[x, chain[-2]] <= d[x, y]:
+                    y = chain[-2]
+                    break
+                chain.append(y)
+            del chain[-2:]
+            i, j = sorted((x, y))
+            merges[step] = i, j, d[i, j]
+            union(i, j)
+        merges = merges[np.argsort(merges[:, 2], kind="stable")]
+    # slots to cluster names, in the order of the merges
+    name, count, top, out = list(range(n)), [1] * n, list(range(n)), np.zeros((len(merges), 4))
+
+    def find(x: int) -> int:
+        while top[x] != x:
+            top[x] = top[top[x]]
+            x = top[x]
+        return x
+
+    for step, (i, j, h) in enumerate(merges.tolist()):
+        i, j = find(int(i)), find(int(j))
+        count[i] += count[j]
+        out[step] = *sorted((name[i], name[j])), np.sqrt(max(h, 0)) if squared else h, count[i]
+        top[j], name[i] = i, n + step
+    return out
 
 
 def leaf_order_of(z: np.ndarray) -> list[int]:

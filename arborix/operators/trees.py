@@ -13,7 +13,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from arborix.kernels.forest import Forest
+from arborix.kernels.forest import CycleError, Forest
 from arborix.plans import closure as plans
 from arborix.schema import NONE, euclid, need, only, per_object, per_pair
 
@@ -86,7 +86,7 @@ def parent_dist(nodes: DataFrame, root_dist: float | None = None) -> DataFrame:
 
 
 def contract_nodes(nodes: DataFrame, mapping: DataFrame) -> DataFrame:
-    """Survivors and their parents after each node is mapped (skeleton_id, node_id, target); a cycle is an error.
+    """Survivors and their parents after each node is mapped (skeleton_id, node_id, target); a cycle is an error when the result is read.
 
     A survivor maps to itself. Only its own parent edge is followed; an edge into itself makes it a root.
     """
@@ -94,7 +94,14 @@ def contract_nodes(nodes: DataFrame, mapping: DataFrame) -> DataFrame:
     own = nodes.select("skeleton_id", "node_id", "parent_id").join(stays, ["skeleton_id", "node_id"])
     to = mapping.select("skeleton_id", F.col("node_id").alias("parent_id"), F.col("target").alias("to"))
     out = own.join(to, ["skeleton_id", "parent_id"], "left")
-    return out.select("skeleton_id", "node_id", F.when(F.col("to").isNull() | (F.col("to") == F.col("node_id")), NONE).otherwise(F.col("to")).alias("parent_id"))
+    out = out.select("skeleton_id", "node_id", F.when(F.col("to").isNull() | (F.col("to") == F.col("node_id")), NONE).otherwise(F.col("to")).alias("parent_id"))
+
+    def checked(pdf: pd.DataFrame) -> pd.DataFrame:
+        if Forest(pdf.node_id, pdf.parent_id).has_cycles():
+            raise CycleError(f"contracting skeleton {pdf.skeleton_id.iloc[0]} makes a cycle")
+        return pdf
+
+    return per_object(out, "skeleton_id", checked, f"{NODE}, parent_id bigint")
 
 
 def adjacency(nodes: DataFrame, directed: bool = True, transpose: bool = False) -> DataFrame:

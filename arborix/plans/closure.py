@@ -2,11 +2,13 @@
 
 ``nodes`` has skeleton_id, node_id, parent_id and optionally weight (the edge to the parent).
 Each doubling round joins the pointer table to itself, so depth d takes log2(d) + 1 rounds whatever the width.
-Rounds are written by ``checkpoint`` where the session has a checkpoint folder, to cut the lineage.
+Each round is written by ``checkpoint``, to cut the lineage.
 """
 
 from __future__ import annotations
 
+import tempfile
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -23,12 +25,16 @@ def parents(nodes: DataFrame) -> DataFrame:
 
 
 def _cut(df: DataFrame) -> DataFrame:
+    """Checkpoint below ``spark.checkpoint.dir``; unset, in a fresh folder on a single machine and an error on a cluster."""
     spark = df.sparkSession
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if root and spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
-        spark.sparkContext.setCheckpointDir(root)
     if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
-        return df
+        root = spark.conf.get("spark.checkpoint.dir", None)
+        if not root:
+            master = spark.conf.get("spark.master", "")
+            if not (master == "local" or master.startswith("local[")):
+                raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+            root = "file://" + tempfile.mkdtemp(prefix="arborix-")
+        spark.sparkContext.setCheckpointDir(root)
     return df.checkpoint()
 
 
