@@ -8,11 +8,16 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+_CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: ``spark.checkpoint.dir``, or a fresh local one where unset (tests)."""
+    """The folder all executors share: ``spark.checkpoint.dir``. Unset, a fresh folder on a single machine and an error on a cluster."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        master = spark.conf.get("spark.master", "")
+        if not (master == "local" or master.startswith("local[")):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         root = "file://" + tempfile.mkdtemp(prefix="arborix-")
         spark.conf.set("spark.checkpoint.dir", root)
     return root.rstrip("/")
@@ -27,19 +32,36 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def write(df: DataFrame, path: str, compression: str = "zstd") -> None:
+    """Write Parquet; the shuffle files of this one query go with its end."""
+    conf = df.sparkSession.conf
+    before = conf.get(_CLEAN, None)
+    conf.set(_CLEAN, "true")
+    try:
+        df.write.option("compression", compression).parquet(path)
+    finally:
+        if before is None:
+            conf.unset(_CLEAN)
+        else:
+            conf.set(_CLEAN, before)
+
+
 def save(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: cuts the lineage and survives lost executors."""
     path = scratch(df.sparkSession, name)
-    df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
-def release(spark: SparkSession) -> None:
-    """Let Spark drop the shuffle files of queries that are over."""
-    import gc
-
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    write(df, path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._scratch = path
+    return out
+
+
+def discard(*saved: DataFrame) -> None:
+    """Delete what ``save`` wrote; nothing may read it any more."""
+    for df in saved:
+        spark, path = df.sparkSession, getattr(df, "_scratch", None)
+        if path:
+            p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+            p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
 def text_of(docs: DataFrame, *more: str) -> DataFrame:

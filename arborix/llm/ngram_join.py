@@ -3,8 +3,11 @@
 Equal sets are one class from the start. Candidates: similar sets share a shingle in the first quarter of a
 common order of all shingles; the order puts shingles of crowded counters last (a fixed-size count sketch over all
 documents; any order gives the same links, this one gives few candidates), then goes by hash. All pairs of a posting list must pass the size ratio and
-the bound by bit counts; equal lists are taken once, and lists longer than ``LONG`` only say that their documents belong together for now. The connected candidates are cut into size-banded tiles (a similarity of 0.75 stays within one band
-or two adjacent ones), each tile or pair of tiles of at most ``TILE`` members a side. There the bit counts of hashed bitmap
+the bound by bit counts; equal lists are taken once, and lists longer than ``LONG`` only say that their documents belong together for now:
+they become chains of neighbours, so no task meets such a list as a whole. A shingle whose counter holds more than ``CROWD`` documents is
+posted in parts by slice of the input, with one document of each slice in a list that ties the parts. The connected candidates
+are cut into size-banded tiles (a similarity of 0.75 stays within one band or two adjacent ones), each tile or pair of
+tiles of at most ``TILE`` members and about ``TILE_SIZE`` shingles a side. There the bit counts of hashed bitmap
 signatures bound the overlap from above: every member of x whose bit y lacks is missing from y. Pairs that may
 reach the threshold and are not yet linked through others are intersected exactly as sorted arrays.
 
@@ -21,12 +24,14 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
-from arborix.llm._spark import n_buckets, release, save, text_of
+from arborix.llm._spark import discard, n_buckets, save, text_of
 from arborix.llm._text import hash_words, mix, shingles, slices, words
-from arborix.llm.graph import components, local_labels
+from arborix.llm.graph import components, local_forest
 
-SKETCH_BITS, LONG, TILE = 22, 1024, 1024
+SKETCH_BITS, LONG, CROWD, TILE, TILE_SIZE = 22, 1024, 4096, 1024, 4 << 20
+_HOT, _CHAIN = np.uint64(1 << 63), np.uint64(1 << 62)  # marks of posted shingles: in size bands; always a chain
 _K48 = np.uint64((1 << 48) - 1)
 _BAND = np.log(4 / 3)
 
@@ -115,6 +120,7 @@ def _sketch(src: DataFrame) -> np.ndarray:
     return out
 
 
+PARTS = 64  # parts of a crowded shingle's postings
 _PASS = "rid bigint, doc_id bigint, n bigint, skey bigint, sig binary, bucket int, tiles binary, at binary"
 
 
@@ -143,9 +149,17 @@ def _passed(src: DataFrame, level: np.ndarray, nb: int) -> DataFrame:
                 use = order[(place < (n - -(-75 * n // 100) + 1)[doc]) & first[doc]]
                 tile, at, hot = keys[use], doc[use], crowd[use] > 0
                 band = np.floor(np.log(np.maximum(n, 1)) / _BAND).astype(np.int64)[at[hot]]
-                own, next_ = (mix(tile[hot] ^ mix((band + s).astype(np.uint64))) | np.uint64(1 << 63) for s in (1, 2))
-                tile = np.concatenate([tile[~hot], own, next_])
-                at = np.concatenate([at[~hot], at[hot], at[hot]])
+                tall = crowd[use][hot] > np.log2(CROWD)
+                banded = [(mix(tile[hot] ^ mix((band + s).astype(np.uint64))) & ~_CHAIN) | _HOT for s in (1, 2)]
+                heads, heads_at = [], []
+                for t in banded:
+                    t[tall] |= _CHAIN
+                    one = np.flatnonzero(tall)[np.unique(t[tall], return_index=True)[1]]
+                    heads.append(t[one])
+                    heads_at.append(at[hot][one])
+                    t[tall] = mix(t[tall] ^ mix(np.uint64([(base >> 16) % PARTS + 1]))) | _HOT | _CHAIN
+                tile = np.concatenate([tile[~hot], *banded, *heads])
+                at = np.concatenate([at[~hot], at[hot], at[hot], *heads_at])
                 where = (mix(tile) % np.uint64(nb)).astype(np.int64)
                 order = np.lexsort((at, where))
                 tile, at = tile[order], at[order]
@@ -168,7 +182,7 @@ def _passed(src: DataFrame, level: np.ndarray, nb: int) -> DataFrame:
 
 
 def _lists(group: pa.Table) -> pa.Table:
-    """The distinct posting lists of one bucket as (list, rid) rows; tokens with equal members share a list."""
+    """The distinct posting lists of one bucket as (list, rid, chain) rows; shingles with equal members share a list, a long one becomes a chain of pairs."""
     tiles = np.concatenate([np.frombuffer(t, np.uint64) for t in group["tiles"].to_pylist()])
     rid = np.concatenate([np.frombuffer(a, "<u2").astype(np.int64) + r for a, r in zip(group["at"].to_pylist(), group["rid"].to_pylist(), strict=True)])
     order = np.lexsort((rid, tiles))
@@ -176,11 +190,21 @@ def _lists(group: pa.Table) -> pa.Table:
     start = np.flatnonzero(np.concatenate([[True], tiles[1:] != tiles[:-1]]))
     size = np.diff(np.append(start, len(tiles)))
     name = mix(np.add.reduceat(mix(rid.astype(np.uint64)), start) ^ size.astype(np.uint64))
+    long = (size > LONG) | (tiles[start] & _HOT > 0) & (tiles[start] & _CHAIN > 0)
+    name[long] = mix(name[long])
     _, one = np.unique(name, return_index=True)
     one = one[size[one] > 1]
-    start, size, name = start[one], size[one], name[one].view(np.int64)
-    at = np.repeat(start - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))
-    return pa.table([pa.array(np.repeat(name, size)), pa.array(rid[at])], names=["list", "rid"])
+    start, size, name, long = start[one], size[one], name[one], long[one]
+
+    def members(start, size):
+        return np.repeat(start - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))
+
+    short = members(start[~long], size[~long])
+    first = members(start[long], size[long] - 1)
+    pair = mix(np.repeat(name[long], size[long] - 1) ^ mix(rid[first].astype(np.uint64)))
+    lists = np.concatenate([np.repeat(name[~long], size[~long]), pair, pair]).view(np.int64)
+    chain = np.repeat([False, True], [len(short), 2 * len(first)])
+    return pa.table([pa.array(lists), pa.array(np.concatenate([rid[short], rid[first], rid[first + 1]])), pa.array(chain)], names=["list", "rid", "chain"])
 
 
 def _survivors(n: np.ndarray, sigs: dict[int, np.ndarray], width: np.ndarray, row: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
@@ -202,43 +226,36 @@ def _survivors(n: np.ndarray, sigs: dict[int, np.ndarray], width: np.ndarray, ro
 
 
 def _candidates(batches):
-    """Edges (a, b) between set keys that share a list and may reach the threshold; very long lists are chained instead."""
+    """Edges (a, b) between set keys that share a list and may reach the threshold; the pairs of a chain as they are."""
     parts = [b for b in batches if b.num_rows]
     if not parts:
         return
     t = pa.Table.from_batches(parts)
-    name, skey, n = (t[c].to_numpy() for c in ("list", "skey", "n"))
+    name, skey, n, chain = (t[c].to_numpy() for c in ("list", "skey", "n", "chain"))
     order = np.lexsort((skey, name))
-    name, skey, n = name[order], skey[order], n[order]
+    name, skey, n, chain = name[order], skey[order], n[order], chain[order]
     raw = t["sig"].to_pylist()
-    raw = [raw[k] for k in order.tolist()]
+    raw = [raw[k] or b"" for k in order.tolist()]
     width = np.array([len(r) for r in raw])
     sigs, row = {}, np.zeros(len(raw), np.int64)
-    for w in np.unique(width).tolist():
+    for w in np.unique(width[width > 0]).tolist():
         at = np.flatnonzero(width == w)
         sigs[w] = np.frombuffer(b"".join(raw[k] for k in at.tolist()), np.uint64).reshape(len(at), -1)
         row[at] = np.arange(len(at))
     start = np.flatnonzero(np.concatenate([[True], name[1:] != name[:-1]]))
     size = np.diff(np.append(start, len(name)))
-    a, b = np.zeros(0, np.int64), np.zeros(0, np.int64)
-
-    def forest(a, b):
-        # which sets hang together is all that counts here: each points to the smallest of its group
-        node, root = local_labels(a, b)
-        return node[node != root], root[node != root]
-
+    tied = start[chain[start] & (size == 2)]
+    # which sets hang together is all that counts here: each points to the smallest of its group
+    a, b = local_forest(skey[tied], skey[tied + 1])
+    start, size = start[~chain[start]], size[~chain[start]]
     for m in np.unique(size[size > 1]).tolist():
         at = start[size == m]
-        if m > LONG:
-            i = (at[:, None] + np.arange(m - 1)).ravel()
-            a, b = forest(np.concatenate([a, skey[i]]), np.concatenate([b, skey[i + 1]]))
-            continue
         x, y = np.triu_indices(m, 1)
         for k in range(0, len(at), max(1, 500_000 // len(x))):
             some = at[k : k + max(1, 500_000 // len(x)), None]
             i, j = (some + x).ravel(), (some + y).ravel()
             ok = _survivors(n, sigs, width, row, i, j)
-            a, b = forest(np.concatenate([a, skey[i[ok]]]), np.concatenate([b, skey[j[ok]]]))
+            a, b = local_forest(np.concatenate([a, skey[i[ok]]]), np.concatenate([b, skey[j[ok]]]))
     yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
 
 
@@ -304,12 +321,11 @@ def links(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     nb = n_buckets(docs, 2, 32)
     passed = save(_passed(src, _sketch(src), nb), "shingle-sets")
     rows = passed.where("bucket is null").select("rid", "doc_id", "n", "skey", "sig")
-    met = passed.where("bucket is not null").select("bucket", "rid", "tiles", "at").groupBy("bucket").applyInArrow(_lists, "list bigint, rid bigint").distinct()
+    met = passed.where("bucket is not null").select("bucket", "rid", "tiles", "at").groupBy("bucket").applyInArrow(_lists, "list bigint, rid bigint, chain boolean").distinct()
     full = rows.where("n > 0")
-    met = met.join(full.select("rid", "skey", "n", "sig"), "rid").select("list", "skey", "n", "sig")
+    met = met.join(full.select("rid", "skey", "n", "sig"), "rid").select("list", "skey", "n", "chain", F.when(~F.col("chain"), F.col("sig")).alias("sig"))
     edges = met.repartition(nb, "list").dropDuplicates(["list", "skey"]).mapInArrow(_candidates, "a bigint, b bigint")
     group_of = save(components(edges), "candidates")  # node, root
-    release(docs.sparkSession)
     # one text for each set that has candidates
     own = full.groupBy("skey").agg(F.min(F.struct("rid", "doc_id")).alias("r"), F.first("n").alias("n"))
     wanted = group_of.join(own, group_of["node"] == own["skey"]).select("root", "skey", "n", F.coalesce(F.col("r.doc_id"), F.lit(_NO_ID)).alias("kid"))
@@ -329,7 +345,8 @@ def links(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     sets = texts.mapInArrow(arrays, "skey bigint, keys binary").dropDuplicates(["skey"])
     # tiles: bands of sizes, cut again by hash where a band of a candidate group is large
     tiled = wanted.withColumn("band", F.floor(F.log("n") / F.lit(float(_BAND)) + 1e-9).cast("int"))
-    wide = tiled.groupBy("root", "band").agg(F.ceil(F.count("*") / TILE).cast("int").alias("cuts"))
+    per = F.least(F.lit(float(TILE)), F.greatest(F.lit(8.0), F.floor(F.lit(float(TILE_SIZE)) / F.exp((F.col("band") + 1) * F.lit(float(_BAND))))))
+    wide = tiled.groupBy("root", "band").agg(F.ceil(F.count("*") / per).cast("int").alias("cuts"))
     tiled = tiled.join(wide, ["root", "band"]).withColumn("cut", F.pmod(F.xxhash64("skey"), F.col("cuts")).cast("int"))
     near = wide.select("root", (F.col("band") - 1).alias("band"), F.col("cuts").alias("up"))
     below = wide.select("root", (F.col("band") + 1).alias("band"), F.col("cuts").alias("down"))
@@ -345,18 +362,59 @@ def links(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
 _NO_ID = -(1 << 63)
 
 
-def join(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, component_id of every row."""
+def _named(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Per row (doc_id, n_shingles, skey), and per set key (k) the root and the smallest id of its component."""
     rows, found = links(docs)
     linked = components(found)
     classes = rows.where("n_shingles > 0").groupBy("skey").agg(F.min("doc_id").alias("least"))
     named = classes.join(linked, classes["skey"] == linked["node"], "left").select("skey", "least", F.coalesce("root", "skey").alias("root"))
-    names = named.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = named.join(names, "root").select(F.col("skey").alias("k"), "component_id")
+    names = named.groupBy("root").agg(F.min("least").alias("component_id"), F.min_by("skey", F.struct(F.col("least").isNull(), "least", "skey")).alias("first"))
+    return rows, named.join(names, "root").select(F.col("skey").alias("k"), "component_id", "first")
+
+
+def join(docs: DataFrame) -> DataFrame:
+    """doc_id, n_shingles, component_id of every row."""
+    rows, named = _named(docs)
     return (
         rows.join(named, (rows["skey"] == named["k"]) & (rows["n_shingles"] > 0), "left")
         .select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
     )
 
 
-__all__ = ["join", "links", "may_link", "set_keys", "sets_of", "signatures"]
+def keep_one(docs: DataFrame) -> DataFrame:
+    """One row of each component, all columns kept: the one with the smallest id (any, where ids are null or repeated); rows without words stay.
+
+    Rows are told apart by id and set key, so an unrelated text that shares an id with a dropped one stays. Only rows whose id is
+    null or repeated have their keys made anew.
+    """
+    rows, named = _named(docs)
+    rows = save(
+        rows.where("n_shingles > 0")
+        .join(named, rows["skey"] == named["k"])
+        .select("doc_id", "skey", ((F.col("skey") == F.col("first")) & F.col("doc_id").eqNullSafe(F.col("component_id"))).alias("kept")),
+        "kept-sets",
+    )
+    own = docs.withColumn("__id", F.col("doc_id").cast("bigint"))
+    many = save(docs.groupBy(F.col("doc_id").cast("bigint").alias("__id")).count().where("count > 1 and __id is not null").select("__id"), "repeated-ids")
+    once = own.where("__id is not null").join(many, "__id", "left_anti")
+    once = once.join(rows.where("not kept").select(F.col("doc_id").alias("__id")).distinct(), "__id", "left_anti")
+    twice = own.where("__id is null").unionByName(own.join(many, "__id", "left_semi").select(own.columns))
+    names = twice.columns
+
+    def keyed(batches):
+        for b in batches:
+            text = b.column(b.num_columns - 1)
+            for lo, hi in slices(text):
+                keys, off = sets_of(text.slice(lo, hi - lo))
+                skey = pa.array(set_keys(keys, off), mask=np.diff(off) == 0)
+                yield pa.RecordBatch.from_arrays([*(c.slice(lo, hi - lo) for c in b.columns[:-1]), skey], [*names, "__skey"])
+
+    twice = twice.withColumn("__text", F.coalesce(F.col("text"), F.lit(""))).mapInArrow(keyed, StructType([*twice.schema.fields, StructField("__skey", LongType())]))
+    good = rows.where("kept").select(F.col("doc_id").alias("__k"), F.col("skey").alias("__s")).distinct()
+    same = twice.join(good, twice["__id"].eqNullSafe(good["__k"]) & (twice["__skey"] == good["__s"]), "left_semi")
+    # copies of one id and set: any row of them, combined before the shuffle
+    same = same.groupBy("__id", "__skey").agg(F.first(F.struct(*names)).alias("__row")).select("__row.*")
+    return once.select(docs.columns).unionByName(same.select(docs.columns)).unionByName(twice.where("__skey is null").select(docs.columns))
+
+
+__all__ = ["join", "keep_one", "links", "may_link", "set_keys", "sets_of", "signatures"]
