@@ -45,10 +45,10 @@ QUERIES = {
     "dotprops": _q(lambda d: c.dotprops(d.select("neuron_id", "point_id", "x", "y", "z"), 10)),
     "nblast_allbyall": _q(lambda d: _rounded(c.nblast_allbyall(d, TABLE))),
     "nblast_allbyall_mean": _q(lambda d: _rounded(c.nblast_allbyall(d, TABLE, symmetry="mean", limit_dist="auto"))),
-    "nblast": _q(lambda d: c.nblast(d, d, TABLE, symmetry="min")),
+    "nblast": _q(lambda d: _rounded(c.nblast(d, d, TABLE, symmetry="min"))),
     "nblast_pairs": _q(lambda d: _rounded(c.nblast_pairs(d, _pairs(d), TABLE))),
-    "nblast_smart": _q(lambda d: c.nblast_smart(d, TABLE, 50, downsample=3)),
-    "nblast_knn": _q(lambda d: c.nblast_knn(d, TABLE, 3, voxel=0.2)),
+    "nblast_smart": _q(lambda d: _rounded(c.nblast_smart(d, TABLE, 50, downsample=3))),
+    "nblast_knn": _q(lambda d: _rounded(c.nblast_knn(d, TABLE, 3, voxel=0.2))),
     "synblast": _q(lambda d: _rounded(c.synblast(d, TABLE)), connectors),
 }
 
@@ -60,7 +60,25 @@ _DOTSQL = """WITH v AS (SELECT label::BIGINT AS n, vec_id AS id, embedding[1]::D
     raw AS (SELECT q, t, sum(10 - 3 * (""" + _BIN(_EDGES, "m.d") + ") + 2 * (" + _BIN(_DOTS, "m.p") + """))::DOUBLE AS s FROM best GROUP BY ALL),
     fwd AS (SELECT q, t, raw.s / own.s AS score FROM raw JOIN own ON own.n = q UNION ALL SELECT n, n, 1 FROM own)
 """
+def _forward(d, name, limit=None):
+    """CTEs for the forward scores among the points of ``d``; beyond a limit the score is that of its distance at a dot product of 0."""
+    far = f"CASE WHEN m.d > {limit} THEN 10 - 3 * 5 ELSE 10 - 3 * ({_BIN(_EDGES, 'm.d')}) + 2 * ({_BIN(_DOTS, 'm.p')}) END" if limit else f"10 - 3 * ({_BIN(_EDGES, 'm.d')}) + 2 * ({_BIN(_DOTS, 'm.p')})"
+    gap = "(q.x-t.x)*(q.x-t.x)+(q.y-t.y)*(q.y-t.y)+(q.z-t.z)*(q.z-t.z)"
+    return f""", {name}_best AS (SELECT q.n AS q, t.n AS t, q.id, min_by({{'d': sqrt({gap}), 'p': abs(q.vx*t.vx+q.vy*t.vy+q.vz*t.vz)}}, ({gap}, t.id)) AS m FROM {d} q JOIN {d} t ON q.n <> t.n GROUP BY q.n, t.n, q.id),
+        {name}_own AS (SELECT n, count(*) * 16 AS s FROM {d} GROUP BY n),
+        {name} AS (SELECT q, t, sum({far})::DOUBLE / any_value(o.s) AS score FROM {name}_best JOIN {name}_own o ON o.n = q GROUP BY q, t UNION ALL SELECT n, n, 1 FROM {name}_own)
+    """
+
+
 ORACLES = {
+    "nblast_allbyall_mean": _DOTSQL + _forward("d", "near", 0.84) + "SELECT a.q, a.t, round((a.score + b.score) / 2, 6) AS score FROM near a JOIN near b ON b.q = a.t AND b.t = a.q",
+    "nblast": _DOTSQL + "SELECT a.q, a.t, round(least(a.score, b.score), 6) AS score FROM fwd a JOIN fwd b ON b.q = a.t AND b.t = a.q",
+    "nblast_smart": _DOTSQL + ", third AS (SELECT * EXCLUDE (k) FROM (SELECT *, row_number() OVER (PARTITION BY n ORDER BY id) - 1 AS k FROM d) WHERE k % 3 = 0)" + _forward("third", "coarse") + """,
+        pick AS (SELECT *, score >= quantile_cont(score, 0.5) OVER (PARTITION BY q) AS exact FROM coarse)
+        SELECT p.q, p.t, round(CASE WHEN exact THEN f.score ELSE p.score END, 6) AS score, exact FROM pick p JOIN fwd f USING (q, t)""",
+    # every pair is a candidate here, so the three best of all are found
+    "nblast_knn": _DOTSQL + """, mean AS (SELECT a.q, a.t, (a.score + b.score) / 2 AS score FROM fwd a JOIN fwd b ON b.q = a.t AND b.t = a.q WHERE a.q <> a.t)
+        SELECT q, rank::INT AS rank, t, round(score, 6) AS score FROM (SELECT *, row_number() OVER (PARTITION BY q ORDER BY score DESC, t) AS rank FROM mean) WHERE rank <= 3""",
     "nblast_allbyall": _DOTSQL + "SELECT q, t, round(score, 6) AS score FROM fwd",
     "nblast_pairs": _DOTSQL + "SELECT q, t, round(score, 6) AS score FROM fwd WHERE t = q + 1",
     "synblast": """WITH d AS (SELECT user_id % 40 AS n, event_id AS id, event_id % 101 / 100.0::DOUBLE AS x, event_id % 37 / 50.0::DOUBLE AS y, user_id % 11 / 20.0::DOUBLE AS z, len(event_type) % 3 AS k FROM events),

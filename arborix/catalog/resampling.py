@@ -48,6 +48,9 @@ ORACLES = {
     # kept: both ends, and every third counted from the distal (last) one
     "downsample_skeleton": CHAINS + """, kept AS (SELECT *, lag(k) OVER (PARTITION BY skeleton_id ORDER BY k) AS pk, lag(node_id, 1, -1) OVER (PARTITION BY skeleton_id ORDER BY k) AS p FROM chains WHERE k = 1 OR (n - k) % 3 = 0)
         SELECT skeleton_id, node_id, p AS parent_id, coalesce(k - pk, 0)::DOUBLE AS weight FROM kept""",
+    "downsample_node_map": CHAINS + """, mark AS (SELECT *, CASE WHEN k = 1 OR (n - k) % 3 = 0 THEN k END AS here FROM chains),
+        ends AS (SELECT *, max(here) OVER (PARTITION BY skeleton_id ORDER BY k) AS up, min(here) OVER (PARTITION BY skeleton_id ORDER BY k DESC) AS down FROM mark)
+        SELECT e.skeleton_id, e.node_id, t.node_id AS target FROM ends e JOIN chains t ON t.skeleton_id = e.skeleton_id AND t.k = CASE WHEN e.k - e.up <= e.down - e.k THEN e.up ELSE e.down END""",
     "smooth_skeleton": CHAINS + """, h AS (SELECT *, least(2, k - 1, n - k) AS h FROM chains)
         SELECT a.skeleton_id, a.node_id, round(avg(b.x), 6) AS x, round(avg(b.y), 6) AS y, round(avg(b.z), 6) AS z
         FROM h a JOIN h b ON b.skeleton_id = a.skeleton_id AND b.k BETWEEN a.k - a.h AND a.k + a.h GROUP BY ALL""",

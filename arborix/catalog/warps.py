@@ -87,7 +87,42 @@ QUERIES = {
 }
 
 _AFFINE = "SELECT vec_id AS point_id, round(embedding[1]::DOUBLE * 2 + 1, 5) AS x, round(embedding[2]::DOUBLE * 2 - 1, 5) AS y, round(embedding[3]::DOUBLE * 2 + 0.5, 5) AS z FROM embeddings"
+_P = "p AS (SELECT vec_id AS point_id, embedding[1]::DOUBLE AS x, embedding[2]::DOUBLE AS y, embedding[3]::DOUBLE AS z FROM embeddings)"
+
+
+def _spline(source, target) -> str:
+    """The spline's formula, its weights from the defining equations: it meets all landmarks and carries no moments."""
+    n = len(source)
+    far = np.linalg.norm(source[:, None] - source[None], axis=2)
+    flat = np.hstack([np.ones((n, 1)), source])
+    k = np.linalg.lstsq(np.vstack([np.hstack([far, flat]), np.hstack([flat.T, np.zeros((4, 4))])]), np.vstack([target, np.zeros((4, 3))]), rcond=None)[0].tolist()
+    term = lambda d: " + ".join(
+        [f"({k[n][d]!r}) + ({k[n + 1][d]!r}) * x + ({k[n + 2][d]!r}) * y + ({k[n + 3][d]!r}) * z", *(f"({k[i][d]!r}) * sqrt((x - ({p[0]!r}))**2 + (y - ({p[1]!r}))**2 + (z - ({p[2]!r}))**2)" for i, p in enumerate(source.tolist()))]
+    )
+    return f"WITH {_P} SELECT point_id, " + ", ".join(f"round({term(d)}, 5) AS {c}" for d, c in enumerate("xyz")) + " FROM p"
+
+
+def _least_squares(source, target) -> str:
+    """Each point's own affine map by weighted normal equations and Cramer's rule."""
+    marks = ", ".join("(" + ", ".join(repr(float(v)) for v in (*a, *b)) + ")" for a, b in zip(source, target, strict=True))
+    det = lambda a, b, c: f"({a}1*({b}2*{c}3-{b}3*{c}2)-{a}2*({b}1*{c}3-{b}3*{c}1)+{a}3*({b}1*{c}2-{b}2*{c}1))"
+    solved = lambda j: [f"{det(*[f'r{j}' if m == i else f'c{m}' for m in (1, 2, 3)])} / {det('c1', 'c2', 'c3')}" for i in (1, 2, 3)]
+    # c(i)(k): sum of weight * source i * source k; r(j)(k): sum of weight * target j * source k, about the weighted means
+    sums = ", ".join([f"sum(w*(a{i}-m{i})*(a{k}-m{k})) AS c{i}{k}" for i in (1, 2, 3) for k in (1, 2, 3)] + [f"sum(w*(b{j}-q{j})*(a{k}-m{k})) AS r{j}{k}" for j in (1, 2, 3) for k in (1, 2, 3)])
+    means = ", ".join([f"sum(w*a{i})/sum(w) AS m{i}" for i in (1, 2, 3)] + [f"sum(w*b{i})/sum(w) AS q{i}" for i in (1, 2, 3)])
+    out = ", ".join(f"round(q{j} + " + " + ".join(f"({c} - m{i}) * {s}" for i, c, s in zip((1, 2, 3), "xyz", solved(j), strict=True)) + f", 5) AS {'xyz'[j - 1]}" for j in (1, 2, 3))
+    return f"""WITH {_P}, l(a1, a2, a3, b1, b2, b3) AS (VALUES {marks}),
+        near AS (SELECT p.*, l.*, 1 / ((x-a1)**2 + (y-a2)**2 + (z-a3)**2 + 2.220446049250313e-16) AS w FROM p, l),
+        mean AS (SELECT point_id, {means} FROM near GROUP BY point_id),
+        sums AS (SELECT point_id, x, y, z, m1, m2, m3, q1, q2, q3, {sums} FROM near JOIN mean USING (point_id) GROUP BY ALL)
+        SELECT point_id, {out} FROM sums"""
+
+
 ORACLES = {
+    "tps_xform": _spline(SOURCE, TARGET),
+    "tps_inverse": _spline(TARGET, SOURCE),
+    "mls_xform": _least_squares(SOURCE, TARGET),
+    "mls_reverse": _least_squares(TARGET, SOURCE),
     "tps_affine": _AFFINE,
     "mls_affine": _AFFINE,
     "cmtk_round_trip": "SELECT vec_id AS point_id, round(embedding[1]::DOUBLE * 2 + 4, 5) AS x, round(embedding[2]::DOUBLE * 2 + 4, 5) AS y, round(embedding[3]::DOUBLE * 2 + 4, 5) AS z FROM embeddings",

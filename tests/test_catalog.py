@@ -8,8 +8,7 @@ import pytest
 from arborix import catalog
 
 SF = "/root/testdata/sf0.001"
-# a sample of each family; the driver runs them all
-NAMES = ["classify_nodes", "connected_components", "break_segments", "simplify_skeleton", "geodesic_nearest", "downsample_skeleton", "level_set_components", "contract_vertices", "unique_edges", "exposed_halfedges", "top_matches", "matches_above", "nblast_allbyall", "tps_affine", "cmtk_affine"]
+NAMES = sorted(catalog.oracles())
 
 
 @pytest.fixture(scope="module")
