@@ -1,17 +1,18 @@
-"""Benchmark decontamination: a BM25 index of the test items, block-max WAND, verified overlaps.
+"""Benchmark decontamination: a BM25 inverted index of the test items, block-max WAND, verified overlaps.
 
 Words are folded for all letters and stripped of outer punctuation and symbols, in items and documents.
-Test items make a block inverted index: items in blocks of ``BLOCK``, each term with
-its impact in every item and its largest impact in every block. Each training document is a sequence of
-overlapping passages, each at least twice as long as the longest item, so that an item lies whole in one of them.
-Every passage is a query: a passage whose terms' largest impacts do not sum to the least threshold of any item is
-skipped at once, then blocks whose block maxima do not reach the least threshold among their items are skipped, and
-the rest is scored exactly. Item i is retrieved where its BM25 score reaches ``share`` of the score it gives itself.
+Lengths and document frequencies are those of the whole benchmark. The index holds posting lists (item and
+impact, by item) and, for each list, the largest impact in every block of ``BLOCK`` items that it reaches. Each training
+document is a sequence of passages of two halves of ``span`` words that overlap by one half, so an item of at most ``span`` words lies whole in
+one of them; longer items have an index and longer passages of their own (``SPAN``, 4 ``SPAN``, 16 ``SPAN`` ... words).
+Every passage is a query. The block maxima of its terms are summed block by block; a block is a pivot where the sum reaches
+the least threshold among its items, and only there the postings are read and items scored. All pivots of
+all passages of a slice are found at once. Item i is retrieved where its BM25 score reaches ``share`` of the score it gives itself.
 Retrieved pairs are verified: 75 % of the item's five-word shingles must be in the document. Where the table of
 items has the columns question and answer, each of the two must have 75 % of its own.
 
-The index is broadcast; items are taken in blocks of ``max_items`` (a stated bound), one pass over the documents for each,
-so the broadcast never grows with the benchmark.
+Items reach the driver one after the other and are broadcast in groups of about ``max_bytes``, one pass over the documents for each;
+scores and pairs are the same for every ``max_bytes``.
 
 Edge cases: null or empty items and those without a letter or digit match nothing; items without a question or an
 answer, though the table has the columns, count as a whole; items with fewer than five words count as one shingle;
@@ -31,10 +32,10 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from arborix.llm._spark import text_of
+from arborix.llm._spark import save, text_of
 from arborix.llm._text import Words, buffers, hash_words, shingles, slices, words
 
-BLOCK, K1, B = 16, 1.2, 0.75
+BLOCK, K1, B, SPAN = 2, 1.2, 0.75, 64
 _PUNCTUATION = np.zeros(256, bool)
 _PUNCTUATION[list(string.punctuation.encode())] = True
 
@@ -78,116 +79,196 @@ class _Seq:
         self.counts = np.array([len(h)])
 
 
-class Index:
-    """BM25 index of one block of items."""
+def _ranges(start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    return np.repeat(start - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))
 
-    def __init__(self, item_ids: list, texts: list[str], share: float, halves: list[tuple] | None = None):
-        arr = pa.array(texts, pa.string())
-        w = folded_words(arr)
-        h = hash_words(w)
-        n = len(texts)
-        self.items = item_ids
-        length = w.counts.astype(np.float64)
-        item = np.repeat(np.arange(n), w.counts)
-        self.terms, term = np.unique(h, return_inverse=True)
-        tf = np.zeros((len(self.terms), n), np.float32)
-        np.add.at(tf, (term, item), 1)
-        df = (tf > 0).sum(1)
-        idf = np.log(1 + (n - df + 0.5) / (df + 0.5))
-        norm = K1 * (1 - B + B * length / max(length.mean() if n else 1, 1e-9))
-        self.impact = (idf[:, None] * tf * (K1 + 1) / (tf + norm[None, :])).astype(np.float32)
-        self.own = np.array([self.impact[np.unique(term[item == i]), i].sum() for i in range(n)])
-        self.least = np.where(length > 0, share * self.own, np.inf)
-        self.cuts = np.arange(0, n, BLOCK)
-        self.block_max = np.maximum.reduceat(self.impact, self.cuts, axis=1) if n else np.zeros((0, 0), np.float32)
-        self.block_least = np.minimum.reduceat(self.least, self.cuts) if n else np.zeros(0)
-        self.most = self.impact.max(1, initial=0)
-        self.lowest = self.least.min(initial=np.inf)
-        # shingles of the whole item, and of its question and its answer where it has both
-        self.whole = [_shingle_set(h[w.docs[i] : w.docs[i + 1]]) for i in range(n)]
-        self.halves = [tuple(map(_text_set, x)) if all(x) else () for x in halves or [(None, None)] * n]
-        self.halves = [x if len(x) and all(map(len, x)) else () for x in self.halves]
-        self.window = int(max(64, 2 * length.max(initial=0)))
-        # direct-mapped term table: slot -> first term, with the rest by search
-        self.bits = max(12, int(np.ceil(np.log2(max(1, len(self.terms)) * 16))))
+
+class Index:
+    """Posting lists with block maxima for items of at most ``span`` words.
+
+    ``rows``: (id, words, terms, counts, document frequencies, shingles, shingles of question and answer or ()) of each item;
+    ``total`` and ``mean``: number and mean words of all items of the benchmark.
+    """
+
+    def __init__(self, rows: list[tuple], total: int, mean: float, span: int, share: float):
+        self.items, self.span = [r[0] for r in rows], span
+        self.whole, self.halves = [r[5] for r in rows], [r[6] for r in rows]
+        n, size = len(rows), np.array([len(r[2]) for r in rows], np.int64)
+        words_, tf, df = (np.concatenate([np.asarray(x, t) for x in c]) for c, t in ((([r[1]] for r in rows), float), ((r[3] for r in rows), float), ((r[4] for r in rows), float)))
+        item = np.repeat(np.arange(n), size)
+        idf = np.log(1 + (total - df + 0.5) / (df + 0.5))
+        impact = idf * tf * (K1 + 1) / (tf + (K1 * (1 - B + B * words_ / max(mean, 1e-9)))[item])
+        self.own = np.bincount(item, impact, n)
+        self.least = share * self.own
+        self.terms, term = np.unique(np.concatenate([np.asarray(r[2], np.uint64) for r in rows]), return_inverse=True)
+        order = np.lexsort((item, term))
+        self.item, self.impact = item[order], impact[order]
+        key = term[order] * np.int64(n) + self.item // BLOCK
+        edge = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+        self.edge = np.append(edge, len(key))
+        self.block, self.block_most = self.item[edge] // BLOCK, np.maximum.reduceat(self.impact, edge)
+        self.block_start = np.searchsorted(term[order][edge], np.arange(len(self.terms) + 1))
+        self.block_least = np.minimum.reduceat(self.least, np.arange(0, n, BLOCK))
+        # direct-mapped term table: slot -> maybe there, with the rest by search
+        self.bits = max(12, int(np.ceil(np.log2(len(self.terms) * 16))))
         self.slots = np.zeros(1 << self.bits, bool)
         self.slots[(self.terms >> np.uint64(64 - self.bits)).astype(np.int64)] = True
 
     def lookup(self, h: np.ndarray) -> np.ndarray:
         out = np.full(len(h), -1, np.int64)
         maybe = np.flatnonzero(self.slots[(h >> np.uint64(64 - self.bits)).astype(np.int64)])
-        i = np.minimum(np.searchsorted(self.terms, h[maybe]), max(len(self.terms) - 1, 0))
-        hit = self.terms[i] == h[maybe] if len(self.terms) else np.zeros(0, bool)
+        i = np.minimum(np.searchsorted(self.terms, h[maybe]), len(self.terms) - 1)
+        hit = self.terms[i] == h[maybe]
         out[maybe[hit]] = i[hit]
         return out
 
     def search(self, term: np.ndarray, docs: np.ndarray) -> list[tuple[int, int, float, int]]:
         """(document, item, best score, passages) of all passages at or above an item's threshold."""
-        step = self.window // 2
-        most = np.concatenate([[0.0], np.cumsum(np.where(term >= 0, self.most[np.maximum(term, 0)], 0))])
         size = np.diff(docs)
-        per = np.maximum(1, -(-np.maximum(size - self.window, 0) // step) + 1)
-        doc = np.repeat(np.arange(len(size)), per)
-        lo = docs[:-1][doc] + (np.arange(len(doc)) - np.repeat(np.cumsum(per) - per, per)) * step
-        hi = np.minimum(lo + self.window, docs[1:][doc])
-        # repeated terms only raise this bound
-        alive = np.flatnonzero(most[hi] - most[lo] >= self.lowest)
+        halves = -(-size // self.span)
+        doc = np.repeat(np.arange(len(size)), halves)  # of each half
+        first = np.cumsum(halves) - halves
+        at = np.flatnonzero(term >= 0)
+        d = np.searchsorted(docs, at, "right") - 1
+        half = first[d] + (at - docs[d]) // self.span
+        pair = np.unique(half * np.int64(len(self.terms)) + term[at])
+        half, term = pair // len(self.terms), pair % len(self.terms)
+        cut = np.searchsorted(half, np.arange(len(doc) + 1))
+        # a passage is a half and the next one of its document; a document of one half is one passage
+        two = np.append(doc[1:] == doc[:-1], False)
+        head = np.flatnonzero(two | (halves[doc] == 1))
+        # terms that the next half has too count once
+        again = np.flatnonzero(two[half])
+        again = again[np.isin(pair[again] + len(self.terms), pair, assume_unique=True)]
         found: dict[tuple[int, int], list] = {}
-        for d, a, b in zip(doc[alive].tolist(), lo[alive].tolist(), hi[alive].tolist(), strict=True):
-            t = np.unique(term[a:b])
-            t = t[1:] if t[0] < 0 else t
-            if self.most[t].sum() < self.lowest:
-                continue
-            blocks = np.flatnonzero(self.block_max[t].sum(0) >= self.block_least - 1e-4)
-            for k in blocks.tolist():
-                x, y = self.cuts[k], self.cuts[k] + BLOCK
-                scores = self.impact[t, x:y].sum(0, dtype=np.float64)
-                for i in np.flatnonzero(scores >= self.least[x:y] - 1e-6).tolist():
-                    got = found.setdefault((d, int(x) + i), [0.0, 0])
-                    got[0], got[1] = max(got[0], float(scores[i])), got[1] + 1
+        nb = len(self.block_least)
+        step = max(1, (1 << 22) // nb)
+        for k in range(0, len(head), step):
+            x = head[k : k + step]
+            lo, hi = int(x[0]), int(x[-1]) + 1 + int(two[x[-1]])
+
+            def most(at, lo=lo, hi=hi):
+                n = self.block_start[term[at] + 1] - self.block_start[term[at]]
+                use = _ranges(self.block_start[term[at]], n)
+                return np.bincount(np.repeat(half[at] - lo, n) * nb + self.block[use], self.block_most[use], (hi - lo) * nb).reshape(-1, nb)
+
+            own = most(np.arange(cut[lo], cut[hi]))
+            i, j = np.searchsorted(again, [cut[lo], cut[hi]])
+            bound = own[x - lo] - most(again[i:j])[x - lo]
+            bound[two[x]] += own[x[two[x]] - lo + 1]
+            pivot = bound >= self.block_least - 1e-6
+            some = np.flatnonzero(pivot.any(1))
+            for m in range(0, len(some), 4096):
+                self._score(found, doc, x[some[m : m + 4096]], two, pivot[some[m : m + 4096]], cut, term)
         return [(d, i, s, n) for (d, i), (s, n) in sorted(found.items())]
 
+    def _score(self, found: dict, doc: np.ndarray, head: np.ndarray, two: np.ndarray, pivot: np.ndarray, cut: np.ndarray, term: np.ndarray) -> None:
+        """Score the items of the pivot blocks of some passages."""
+        size = cut[head + 1 + two[head]] - cut[head]
+        key = np.unique(np.repeat(np.arange(len(head)), size) * np.int64(len(self.terms)) + term[_ranges(cut[head], size)])
+        row, t = key // len(self.terms), key % len(self.terms)
+        n = self.block_start[t + 1] - self.block_start[t]
+        use, row = _ranges(self.block_start[t], n), np.repeat(row, n)
+        keep = pivot[row, self.block[use]]
+        use, row = use[keep], row[keep]
+        n = self.edge[use + 1] - self.edge[use]
+        use, row = _ranges(self.edge[use], n), np.repeat(row, n)
+        at, back = np.unique(row * np.int64(len(self.items)) + self.item[use], return_inverse=True)
+        scores = np.bincount(back, self.impact[use], len(at))
+        row, item = at // len(self.items), at % len(self.items)
+        good = np.flatnonzero(scores >= self.least[item] - 1e-6)
+        for d, i, s in zip(doc[head[row[good]]].tolist(), item[good].tolist(), scores[good].tolist(), strict=True):
+            got = found.setdefault((d, i), [0.0, 0])
+            got[0], got[1] = max(got[0], s), got[1] + 1
+
 
 def overlap(item: np.ndarray, there: np.ndarray) -> float:
     return float(np.isin(item, there).mean()) if len(item) else 0.0
 
 
-def contaminated(docs: DataFrame, items: DataFrame, share: float = 0.6, least_overlap: float = 0.75, max_items: int = 2048) -> DataFrame:
+_FOUND = "doc_id bigint, item_id bigint, score double, n_passages bigint, overlap double, question_overlap double, answer_overlap double"
+
+
+def _matches(col: pa.Array, indexes: list[Index], least_overlap: float):
+    """(row, item id, score, passages, overlap, question overlap, answer overlap) of the verified pairs of some texts."""
+    for lo, hi in slices(col, 1 << 20):
+        w = folded_words(col.slice(lo, hi - lo))
+        h = hash_words(w)
+        sets: dict[int, np.ndarray] = {}
+        for index in indexes:
+            for d, i, s, n in index.search(index.lookup(h), w.docs):
+                if d not in sets:
+                    sets[d] = _doc_shingles(h[w.docs[d] : w.docs[d + 1]])
+                whole = overlap(index.whole[i], sets[d])
+                q, a = (overlap(x, sets[d]) for x in index.halves[i]) if index.halves[i] else (None, None)
+                if whole >= least_overlap if q is None else min(q, a) >= least_overlap:
+                    yield lo + d, index.items[i], s, n, whole, q, a
+
+
+def contaminated(docs: DataFrame, items: DataFrame, share: float = 0.6, least_overlap: float = 0.75, max_bytes: int = 32 << 20) -> DataFrame:
     """doc_id, item_id, score, n_passages, overlap, question_overlap, answer_overlap (null without both) of every verified pair."""
-    spark = docs.sparkSession
-    schema = "doc_id bigint, item_id bigint, score double, n_passages bigint, overlap double, question_overlap double, answer_overlap double"
-    halves = [F.col(c) if {"question", "answer"} <= set(items.columns) else F.lit(None).cast("string") for c in ("question", "answer")]
-    text = F.col("text") if "text" in items.columns else F.concat_ws(" ", *halves)
-    good = items.select("item_id", text.alias("text"), halves[0].alias("question"), halves[1].alias("answer")).where("text is not null and trim(text) <> ''")
     src = text_of(docs, F.col("doc_id").cast("bigint").alias("doc_id"))
+    types = [pa.int64(), pa.int64(), pa.float64(), pa.int64(), *[pa.float64()] * 3]
+    names = [f.split()[0] for f in _FOUND.split(", ")]
     parts = []
-    for block in _blocks(good, max_items):
-        shared = spark.sparkContext.broadcast(Index([r[0] for r in block], [r[1] for r in block], share, [r[2:] for r in block]))
+    for shared in _broadcasts(items, share, max_bytes):
 
         def run(batches, shared=shared):
-            index = shared.value
             for b in batches:
-                col, ids = b.column("text"), b.column("doc_id")
-                for lo, hi in slices(col):
-                    w = folded_words(col.slice(lo, hi - lo))
-                    h = hash_words(w)
-                    term = index.lookup(h)
-                    rows = []
-                    sets: dict[int, np.ndarray] = {}
-                    for d, i, s, n in index.search(term, w.docs):
-                        if d not in sets:
-                            sets[d] = _doc_shingles(h[w.docs[d] : w.docs[d + 1]])
-                        whole = overlap(index.whole[i], sets[d])
-                        q, a = (overlap(x, sets[d]) for x in index.halves[i]) if index.halves[i] else (None, None)
-                        if whole >= least_overlap if q is None else min(q, a) >= least_overlap:
-                            rows.append((ids[lo + d].as_py(), index.items[i], s, n, whole, q, a))
-                    names = ["doc_id", "item_id", "score", "n_passages", "overlap", "question_overlap", "answer_overlap"]
-                    cols = list(zip(*rows, strict=True)) if rows else [()] * len(names)
-                    types = [pa.int64(), pa.int64(), pa.float64(), pa.int64(), *[pa.float64()] * 3]
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], names)
-
-        parts.append(src.mapInArrow(run, schema))
-    return reduce(DataFrame.unionByName, parts) if parts else spark.createDataFrame([], schema)
+                rows = list(_matches(b.column("text"), shared.value, least_overlap))
+                cols = list(zip(*rows, strict=True)) if rows else [()] * len(names)
+                ids = b.column("doc_id").take(pa.array(cols[0], pa.int64()))
+                yield pa.RecordBatch.from_arrays([ids, *(pa.array(c, t) for c, t in zip(cols[1:], types[1:], strict=True))], names)
+
+        parts.append(src.mapInArrow(run, _FOUND))
+    return reduce(DataFrame.unionByName, parts) if parts else docs.sparkSession.createDataFrame([], _FOUND)
+
+
+_ITEM = "item_id bigint, text string, question string, answer string, words bigint, terms array<bigint>, counts array<bigint>"
+
+
+def _broadcasts(items: DataFrame, share: float, max_bytes: int):
+    """Broadcasts of indexes, one index for each class of item lengths, about ``max_bytes`` of items in each."""
+    halves = [F.col(c) if {"question", "answer"} <= set(items.columns) else F.lit(None).cast("string") for c in ("question", "answer")]
+    text = F.col("text") if "text" in items.columns else F.concat_ws(" ", *halves)
+    good = items.select(F.col("item_id").cast("bigint").alias("item_id"), text.alias("text"), halves[0].alias("question"), halves[1].alias("answer")).where("text is not null")
+
+    def counted(batches):
+        for b in batches:
+            for lo, hi in slices(b.column("text"), 1 << 20):
+                part = b.slice(lo, hi - lo)
+                w = folded_words(part.column("text"))
+                h = hash_words(w)
+                found = [np.unique(h[x:y], return_counts=True) for x, y in zip(w.docs[:-1].tolist(), w.docs[1:].tolist(), strict=True)]
+                cols = [pa.array(w.counts), *(pa.array([f[k].astype(np.int64) for f in found], pa.list_(pa.int64())) for k in (0, 1))]
+                yield pa.RecordBatch.from_arrays([*part.columns, *cols], [f.split()[0] for f in _ITEM.split(", ")])
+
+    rows = good.mapInArrow(counted, _ITEM).where("words > 0").withColumn("row", F.monotonically_increasing_id())
+    rows = save(rows, "items")  # written: the row numbers must stay as they are
+    stats = rows.agg(F.count("*").alias("n"), F.avg("words").alias("mean")).first()
+    if not stats["n"]:
+        return
+    postings = rows.select("row", F.explode("terms").alias("term"))
+    often = postings.groupBy("term").agg(F.count("*").alias("df"))
+    often = postings.join(often, "term").groupBy("row").agg(F.map_from_entries(F.collect_list(F.struct("term", "df"))).alias("df"))
+    rows = rows.join(often, "row").withColumn("df", F.expr("transform(terms, t -> df[t])"))
+    span = F.expr(f"{SPAN} * pow(4, greatest(0, ceil(round(log(4, words / {SPAN}), 9))))").cast("bigint")
+    spark, group, size = items.sparkSession, [], 0
+
+    def broadcast():
+        spans = sorted({g[0] for g in group})
+        return spark.sparkContext.broadcast([Index([g[1] for g in group if g[0] == k], stats["n"], stats["mean"], k, share) for k in spans])
+
+    for r in rows.withColumn("span", span).orderBy("span", "item_id", "row").toLocalIterator():
+        parts = tuple(map(_text_set, (r["question"], r["answer"]))) if r["question"] and r["answer"] else ()
+        row = (r["item_id"], r["words"], np.array(r["terms"], np.int64).view(np.uint64), r["counts"], r["df"], _text_set(r["text"]), parts if all(map(len, parts)) else ())
+        group.append((r["span"], row))
+        size += 200 + 64 * len(row[2]) + 8 * sum(map(len, (row[5], *row[6])))
+        if size >= max_bytes:
+            yield broadcast()
+            group, size = [], 0
+    if group:
+        yield broadcast()
 
 
 def _doc_shingles(h: np.ndarray) -> np.ndarray:
@@ -209,22 +290,20 @@ def _runs(seq: np.ndarray, n: int) -> np.ndarray:
     return mix(extra ^ np.uint64(n))
 
 
-def _blocks(items: DataFrame, size: int):
-    """The items, ``size`` at a time in order of id."""
-    block = []
-    for r in items.orderBy("item_id").toLocalIterator():
-        block.append(tuple(r))
-        if len(block) == size:
-            yield block
-            block = []
-    if block:
-        yield block
+def drop_contaminated(docs: DataFrame, items: DataFrame, share: float = 0.6, least_overlap: float = 0.75, max_bytes: int = 32 << 20) -> DataFrame:
+    """The rows of ``docs`` without any verified pair, judged row by row, all columns kept."""
+    schema = docs.schema
+    for shared in _broadcasts(items, share, max_bytes):
 
+        def run(batches, shared=shared):
+            for b in batches:
+                keep = np.ones(b.num_rows, bool)
+                for row, *_ in _matches(b.column(b.num_columns - 1), shared.value, least_overlap):
+                    keep[row] = False
+                yield pa.RecordBatch.from_arrays(b.columns[:-1], schema.names).filter(pa.array(keep))
 
-def drop_contaminated(docs: DataFrame, items: DataFrame, **options) -> DataFrame:
-    """The rows of ``docs`` without any verified pair; rows with a null id are kept."""
-    bad = contaminated(docs, items, **options).select("doc_id").where("doc_id is not null").distinct()
-    return docs.join(bad, "doc_id", "left_anti").select(*docs.columns)
+        docs = docs.select("*", F.coalesce(F.col("text"), F.lit("")).alias("__text")).mapInArrow(run, schema)
+    return docs
 
 
 __all__ = ["Index", "contaminated", "drop_contaminated", "overlap"]
