@@ -63,7 +63,7 @@ QUERIES = {
     "edge_inverse": _q(lambda v, f: m.edge_inverse(f)),
     "geodesic_matrix_mesh": _q(lambda v, f: m.geodesic_matrix_mesh(f, None, _marks(v, 36, 5), None, 6.0)),
     # every vertex as source and target, without a limit
-    "geodesic_matrix_mesh_all": _q(lambda v, f: m.geodesic_matrix_mesh(f, v)),
+    "geodesic_matrix_mesh_all": _q(lambda v, f: _rounded(m.geodesic_matrix_mesh(f, v), "dist")),
     "geodesic_nearest_mesh": _q(lambda v, f: _rounded(m.geodesic_nearest_mesh(f, _marks(v, 7, 1), _marks(v, 11, 3), v), "dist").drop("target")),
     "geodesic_nearest_mesh_hops": _q(lambda v, f: m.geodesic_nearest_mesh(f, _marks(v, 7, 1), _marks(v, 11, 3))),
     "geodesic_farthest_mesh": _q(lambda v, f: m.geodesic_farthest_mesh(f, _marks(v, 7, 1), _marks(v, 11, 3))),
@@ -105,6 +105,7 @@ ORACLES = {
             reach AS (SELECT mesh_id, vertex_id, vertex_id AS c FROM vertices UNION SELECT r.mesh_id, t.b, r.c FROM reach r JOIN two t ON t.mesh_id = r.mesh_id AND t.a = r.vertex_id),
             least AS (SELECT mesh_id, vertex_id, min(c) AS c FROM reach GROUP BY ALL)
             SELECT mesh_id, vertex_id, c AS component FROM least""",
+        "geodesic_matrix_mesh_all": _LENGTH + _FAR.format("true") + " SELECT mesh_id, s AS source, t AS target, round(d, 6) AS dist FROM far",
         "geodesic_nearest_mesh": _LENGTH + _FAR.format("vertex_id % 7 = 1") + " SELECT mesh_id, s AS node_id, round(min(d), 6) AS dist FROM far WHERE t % 11 = 3 AND s <> t GROUP BY ALL",
         "geodesic_nearest_mesh_hops": _HOPS + _FAR.format("vertex_id % 7 = 1") + _BEST.format("node_id", "min", ""),
         "geodesic_farthest_mesh": _HOPS + _FAR.format("vertex_id % 7 = 1") + _BEST.format("node_id", "max", "-"),

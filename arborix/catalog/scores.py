@@ -32,6 +32,7 @@ QUERIES = {
     "symmetrize": _q(lambda x: s.symmetrize(x, "mean")),
     "condensed_distances": _q(lambda x: s.condensed_distances(x, "max")),
     "linkage": _q(lambda x: s.linkage(_sets(x), "average")),
+    "linkage_single": _q(lambda x: s.linkage(_sets(x), "single").select("cluster_set", "step", "distance")),
     "linkage_ward": _q(lambda x: s.linkage(_sets(x), "ward")),
     "leaf_order": _q(lambda x: s.leaf_order(s.linkage(_sets(x), "single"))),
 }
@@ -43,5 +44,10 @@ ORACLES = {
         SELECT q AS grp, row_number() OVER (PARTITION BY q ORDER BY score DESC, t)::INT AS rank, t AS other, score FROM b WHERE score >= best - abs(best * 0.1::DOUBLE)""",
     "count_matches": SQUARE + " SELECT q AS grp, count(*) FILTER (score >= 0.8) AS n FROM scores GROUP BY ALL",
     "symmetrize": SQUARE + " SELECT a.q, a.t, (a.score + b.score) / 2 AS score FROM scores a JOIN scores b ON b.q = a.t AND b.t = a.q",
+    # the heights of single linkage are the edges of the minimum spanning tree
+    "linkage_single": SQUARE.replace("WITH", "WITH RECURSIVE") + """, pairs AS (SELECT a.q AS p, a.t AS q, ((a.score + b.score) / 2, a.q, a.t) AS k FROM scores a JOIN scores b ON b.q = a.t AND b.t = a.q WHERE a.q < a.t),
+        links AS (SELECT p, q, k FROM pairs UNION ALL SELECT q, p, k FROM pairs),
+        way AS (SELECT k, p AS place FROM pairs UNION SELECT w.k, l.q FROM way w JOIN links l ON l.p = w.place AND l.k < w.k)
+        SELECT 0::BIGINT AS cluster_set, row_number() OVER (ORDER BY k) - 1 AS step, k[1] AS distance FROM pairs n WHERE NOT EXISTS (FROM way w WHERE w.k = n.k AND w.place = n.q)""",
     "condensed_distances": SQUARE + " SELECT a.q AS a, a.t AS b, 1 - greatest(a.score, b.score) AS distance FROM scores a JOIN scores b ON b.q = a.t AND b.t = a.q WHERE a.q < a.t",
 }

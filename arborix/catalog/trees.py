@@ -69,7 +69,7 @@ QUERIES = {
     "betweenness_undirected": _q(lambda n: trees.betweenness(n, directed=False)),
     "geodesic_matrix": _q(lambda n: trees.geodesic_matrix(n, marked(n, 23, 3), marked(n, 29, 4))),
     "geodesic_matrix_directed": _q(lambda n: trees.geodesic_matrix(n, marked(n, 23, 3), marked(n, 3, 0), directed=True)),
-    # all nodes by all nodes; beyond SQL, held against brute force in the tests
+    # all nodes by all nodes
     "geodesic_matrix_all": _q(trees.geodesic_matrix),
     "geodesic_matrix_directed_all": _q(lambda n: trees.geodesic_matrix(n, directed=True)),
     "geodesic_pairs": _q(lambda n: trees.geodesic_pairs(n, n.select("skeleton_id", F.col("node_id").alias("source"), F.expr("node_id div 3").alias("target")))),
@@ -155,6 +155,8 @@ ORACLES = {"region_distance": REGION_DISTANCE} | {
             FROM whole w LEFT JOIN kid USING (skeleton_id, node_id)""",
         "geodesic_matrix": _BLOCK.format(s="a.node_id % 23 = 3", t="b.node_id % 29 = 4", d=_LCA.format("s.node % 23 = 3 AND t.node % 29 = 4")),
         "geodesic_matrix_directed": _BLOCK.format(s="a.node_id % 23 = 3", t="b.node_id % 3 = 0", d="SELECT skeleton_id, node AS source, anc AS target, dist FROM clo"),
+        "geodesic_matrix_all": _BLOCK.format(s="true", t="true", d=_LCA.format("true")),
+        "geodesic_matrix_directed_all": _BLOCK.format(s="true", t="true", d="SELECT skeleton_id, node AS source, anc AS target, dist FROM clo"),
         "geodesic_pairs": "SELECT f.skeleton_id, f.node_id AS source, f.node_id // 3 AS target, coalesce(d.dist, -1) AS dist FROM forest f LEFT JOIN (" + _LCA.format("t.node = s.node // 3") + ") d ON d.skeleton_id = f.skeleton_id AND d.source = f.node_id",
         "geodesic_nearest": _EXTREME.format("min", ""),
         "geodesic_farthest": _EXTREME.format("max", "-"),

@@ -36,10 +36,10 @@ registration {
 """
 _ELASTIX = """(Transform "BSplineTransform")
 (HowToCombineTransforms "Compose")
-(GridSize 6 6 6)
+(GridSize 10 10 10)
 (GridIndex 0 0 0)
 (GridSpacing 4 4 4)
-(GridOrigin -8 -8 -8)
+(GridOrigin -18 -18 -18)
 (TransformParameters %s)
 """
 _EULER = """(Transform "EulerTransform")
@@ -55,7 +55,7 @@ def cmtk() -> Chain:
 
 
 def elastix() -> ElastixTransform:
-    numbers = " ".join(f"{np.sin(i):.6f}" for i in range(648))
+    numbers = " ".join(f"{0.3 * np.sin(i):.6f}" for i in range(3000))
     return ElastixTransform([Step(parse(_EULER)), Step(parse(_ELASTIX % numbers))])
 
 
@@ -125,6 +125,7 @@ ORACLES = {
     "mls_reverse": _least_squares(TARGET, SOURCE),
     "tps_affine": _AFFINE,
     "mls_affine": _AFFINE,
+    "elastix_round_trip": "SELECT vec_id AS point_id, round(embedding[1]::DOUBLE * 4, 5) AS x, round(embedding[2]::DOUBLE * 4, 5) AS y, round(embedding[3]::DOUBLE * 4, 5) AS z FROM embeddings",
     "cmtk_round_trip": "SELECT vec_id AS point_id, round(embedding[1]::DOUBLE * 2 + 4, 5) AS x, round(embedding[2]::DOUBLE * 2 + 4, 5) AS y, round(embedding[3]::DOUBLE * 2 + 4, 5) AS z FROM embeddings",
     "cmtk_affine": """WITH p AS (SELECT vec_id AS point_id, embedding[1]::DOUBLE * 2 + 4 AS x, embedding[2]::DOUBLE * 2 + 4 AS y, embedding[3]::DOUBLE * 2 + 4 AS z FROM embeddings),
         a AS (SELECT sin(radians(10)) AS sa, cos(radians(10)) AS ca, sin(radians(20)) AS sb, cos(radians(20)) AS cb, sin(radians(30)) AS sg, cos(radians(30)) AS cg),
