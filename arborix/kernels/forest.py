@@ -477,8 +477,9 @@ def bfs_rewire(ids, parent_id, new_edges, root=None) -> np.ndarray:
 def stitch(coords: np.ndarray, label: np.ndarray, allowed: np.ndarray, max_dist: float = np.inf):
     """Bridges (row, row, length) joining fragments at minimal total length: Boruvka over closest pairs.
 
-    In each round all but the largest fragment look for their nearest point outside, in a ``PointIndex`` that skips whole leaves of
-    their own fragment.
+    Each point remembers its nearest point outside its fragment. That stays the answer while the two are apart, and later its
+    distance is a lower bound, so a round only asks anew for points that could still beat their fragment's best. The largest
+    fragment waits for the others, who find it.
     """
     rows = np.flatnonzero(allowed)
     if not len(rows):
@@ -487,15 +488,22 @@ def stitch(coords: np.ndarray, label: np.ndarray, allowed: np.ndarray, max_dist:
     xyz = coords[rows]
     index = PointIndex(xyz)
     out = []
+    low, near = np.zeros(len(rows)), np.full(len(rows), -1, np.int64)
     while len(np.unique(group)) > 1:
-        # the largest fragment waits for the others, who find it
         size = np.bincount(group)
         some = np.flatnonzero(group != int(np.argmax(size)))
-        d, j = index.nearest(xyz[some], group, group[some])
-        ok = np.isfinite(d) & (np.sqrt(d) <= np.nextafter(max_dist, np.inf))
-        some, j, d = some[ok], j[ok], d[ok]
+        known = (near[some] >= 0) & (group[near[some]] != group[some])
+        best = np.full(len(size), np.inf)
+        np.minimum.at(best, group[some[known]], low[some[known]])
+        # no answer at infinity: nothing is outside, or all is too far
+        ask = some[~known & (low[some] <= best[group[some]]) & np.isfinite(low[some])]
+        low[ask], near[ask] = index.nearest(xyz[ask], group, group[ask])
+        some = some[(near[some] >= 0) & (low[some] < np.inf)]
+        some = some[group[near[some]] != group[some]]
+        some = some[np.sqrt(low[some]) <= np.nextafter(max_dist, np.inf)]
         if not len(some):
             break
+        j, d = near[some], low[some]
         a, b = np.minimum(some, j), np.maximum(some, j)
         order = np.lexsort((b, a, d, group[some]))
         first = order[np.concatenate([[True], np.diff(group[some[order]]) != 0])]
