@@ -5,10 +5,12 @@ words (leftmost of equals), kept with its place; windows with equal words have e
 about an eighth of all places carry one, so the index stays small. The index is a set of immutable runs, each sorted
 by fingerprint within buckets. A new batch is fingerprinted into a run of its own, merge-joined with all live runs,
 and every fingerprint seen twice is verified: the texts on both sides are read and the 96-bit hashes of
-the whole windows compared, the earliest (doc_id, start) of each staying. When ``FAN`` runs of a level exist they are
-compacted into one of the next level.
+the whole windows compared, the earliest (doc_id, start) of each staying. Of equal windows within one slice of the input only the
+earliest is compared with other slices, so a passage that many documents share is summed up before it is dealt out. When ``FAN``
+runs of a level exist they are compacted into one of the next level.
 
-``dedup`` feeds ``documents`` to an index in ``batches`` ranges of ids, so that later batches meet the history of earlier ones.
+``dedup`` feeds ``documents`` to an index in ``batches`` ranges of ids, so that later batches meet the history of earlier ones
+and the last one's run completes a level, which is compacted.
 
 Edge cases: null or empty texts have no words (their checksum is that of no bytes); documents shorter than a window lose nothing; null
 ids come first and count as one id; rows that repeat an id count as the same document, and each
@@ -26,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from arborix.llm._spark import n_buckets, release, save, scratch, text_of
+from arborix.llm._spark import discard, n_buckets, save, scratch, text_of, write
 from arborix.llm._text import NULL_ID, Words, hash_words, ids_of, mix, rolling, slices, words
 
 WINDOW, GRAM, FAN = 20, 6, 4
@@ -95,7 +97,7 @@ class FingerprintIndex:
 
     def _write(self, df: DataFrame, level: int) -> tuple[int, int]:
         run = (level, 1 + max((n for _, n in self.runs()), default=0))
-        df.write.parquet(f"{self.root}/run-{run[0]}-{run[1]}")
+        write(df, f"{self.root}/run-{run[0]}-{run[1]}")
         return run
 
     def add(self, docs: DataFrame) -> tuple[int, int]:
@@ -165,7 +167,10 @@ _HITS = "bucket int, key binary, check binary, kid binary, start binary"
 
 
 def _windows(texts: DataFrame, nb: int) -> DataFrame:
-    """Packed windows around the places to verify, dealt by fingerprint. ``texts``: kid, text, places."""
+    """Packed windows around the places to verify. ``texts``: kid, text, places.
+
+    Of equal windows in a slice the earliest is dealt by fingerprint; the others repeat for certain and have no key.
+    """
 
     def run(batches):
         for b in batches:
@@ -181,16 +186,21 @@ def _windows(texts: DataFrame, nb: int) -> DataFrame:
                 use = wanted[at]
                 start, doc, at, key = start[use], doc[use], at[use], key[use]
                 full, check = rolling(h, WINDOW, 9)[start], (rolling(h ^ np.uint64(0x5DEECE66D), WINDOW, 21)[start] >> np.uint64(32)).astype("<u4")
-                where = (mix(key) % np.uint64(nb)).astype(np.int64)
+                kid, begin = ids[lo:hi][doc], start - w.docs[:-1][doc]
+                order = np.lexsort((begin, kid, check, full))
+                lead = np.ones(len(order), bool)
+                lead[1:] = (full[order][1:] != full[order][:-1]) | (check[order][1:] != check[order][:-1])
+                first, rest = order[lead], order[~lead]
+                where = (mix(key[first]) % np.uint64(nb)).astype(np.int64)
                 order = np.argsort(where, kind="stable")
                 cut = np.searchsorted(where[order], np.arange(nb + 1))
-                kid, begin = ids[lo:hi][doc], start - w.docs[:-1][doc]
-                # ids travel as differences, which compress
-                some = np.flatnonzero(np.diff(cut)).tolist()
-                cols = [pa.array(some, pa.int32())]
+                first = first[order]
+                some, n = np.flatnonzero(np.diff(cut)).tolist(), int(len(rest) > 0)
+                # the certain repeats of a slice go to any bucket of their own
+                cols = [pa.array([*some, *[nb + int(abs(int(ids[lo]))) % nb] * n], pa.int32())]
                 for x, t in ((full, "<u8"), (check, "<u4"), (kid, "<i8"), (begin, "<u4")):
-                    x = x[order]
-                    cols.append(pa.array([x[cut[j] : cut[j + 1]].astype(t).tobytes() for j in some], pa.binary()))
+                    last = [None if x is full or x is check else x[rest].astype(t).tobytes()] * n
+                    cols.append(pa.array([*(x[first[cut[j] : cut[j + 1]]].astype(t).tobytes() for j in some), *last], pa.binary()))
                 yield pa.RecordBatch.from_arrays(cols, ["bucket", "key", "check", "kid", "start"])
 
     return texts.mapInArrow(run, _HITS)
@@ -198,14 +208,17 @@ def _windows(texts: DataFrame, nb: int) -> DataFrame:
 
 def _repeats(group: pa.Table) -> pa.Table:
     """kid, start, n: runs of windows whose words also start earlier."""
-    key, check, kid, start = (np.concatenate([np.frombuffer(x, t) for x in group[c].to_pylist()]) for c, t in (("key", "<u8"), ("check", "<u4"), ("kid", "<i8"), ("start", "<u4")))
-    order = np.lexsort((start, kid, check, key))
-    key, check, kid, start = key[order], check[order], kid[order], start[order].astype(np.int64)
-    lead = np.concatenate([[True], (key[1:] != key[:-1]) | (check[1:] != check[:-1])])
-    edge = np.flatnonzero(lead)
-    first = np.repeat(edge, np.diff(np.append(edge, len(key))))
-    later = (kid != kid[first]) | (start != start[first])
-    kid, start = kid[later], start[later]
+    kid, start = (np.concatenate([np.frombuffer(x, t) for x in group[c].to_pylist()]) for c, t in (("kid", "<i8"), ("start", "<u4")))
+    start = start.astype(np.int64)
+    if group["key"].null_count == 0:
+        key, check = (np.concatenate([np.frombuffer(x, t) for x in group[c].to_pylist()]) for c, t in (("key", "<u8"), ("check", "<u4")))
+        order = np.lexsort((start, kid, check, key))
+        key, check, kid, start = key[order], check[order], kid[order], start[order]
+        lead = np.concatenate([[True], (key[1:] != key[:-1]) | (check[1:] != check[:-1])])
+        edge = np.flatnonzero(lead)
+        first = np.repeat(edge, np.diff(np.append(edge, len(key))))
+        later = (kid != kid[first]) | (start != start[first])
+        kid, start = kid[later], start[later]
     order = np.lexsort((start, kid))
     kid, start = kid[order], start[order]
     if len(kid):
@@ -225,8 +238,8 @@ def append(index: FingerprintIndex, batch: DataFrame, history: DataFrame | None
         texts = texts.unionByName(history.join(twice, "kid"))
     found = _windows(texts, index.buckets).groupBy("bucket").applyInArrow(_repeats, "kid bigint, start bigint, n bigint")
     spans = save(found.groupBy("kid").agg(F.collect_list(F.struct("start", "n")).alias("spans")), "spans")
+    discard(twice)
     index.compact()
-    release(index.spark)
     return spans
 
 
@@ -285,7 +298,7 @@ def apply(docs: DataFrame, spans: DataFrame, with_text: bool = False) -> DataFra
     return src.mapInArrow(run, f"doc_id {kind}, n_words bigint, n_removed bigint, kept_sha256 string")
 
 
-def find(docs: DataFrame, batches: int = 2, root: str | None = None) -> DataFrame:
+def find(docs: DataFrame, batches: int = FAN, root: str | None = None) -> DataFrame:
     """kid, spans of all rows, batch after batch of ids."""
     spark = docs.sparkSession
     src = text_of(docs, F.coalesce(F.col("doc_id").cast("bigint"), F.lit(NULL_ID)).alias("kid"))
@@ -303,11 +316,11 @@ def find(docs: DataFrame, batches: int = 2, root: str | None = None) -> DataFram
     return reduce(DataFrame.unionByName, out).groupBy("kid").agg(F.flatten(F.collect_list("spans")).alias("spans"))
 
 
-def dedup(docs: DataFrame, batches: int = 2) -> DataFrame:
+def dedup(docs: DataFrame, batches: int = FAN) -> DataFrame:
     """doc_id, n_words, n_removed, kept_sha256 of every row."""
     return apply(docs, find(docs, batches))
 
 
-def without_repeats(docs: DataFrame, batches: int = 2) -> DataFrame:
+def without_repeats(docs: DataFrame, batches: int = FAN) -> DataFrame:
     """``docs`` with the repeated words taken out of the texts, all columns kept."""
     return apply(docs, find(docs, batches), with_text=True)
