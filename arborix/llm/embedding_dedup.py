@@ -4,8 +4,10 @@ Vectors are scaled to length one; those with equal components (after scaling, bi
 start. For each of ``tables`` tables three rounds of random signs and a fast Hadamard transform rotate the
 classes; the hash is the axis (and sign) of the largest coordinate of each half of the rotated vector, so a bucket is a pair of them. A
 class is stored in its own bucket and probes the buckets of its next best axes too. Classes that meet in a bucket are compared
-by cosine in double precision, block by block, and the pairs at or above the threshold stay, each once.
-A bucket holds any number of classes: large ones are cut into blocks, and all pairs of blocks are compared in tasks of their own.
+by cosine in double precision, block by block. A bucket holds any number of classes: large ones are cut into blocks, and all
+pairs of blocks are compared in tasks of their own. Pairs are not written: a pair counts in the first table and bucket in which it
+meets (each class carries its buckets), and a task returns for each class the number of its links that count there and one
+link to a smaller class that it hangs together with, so a group of m near copies makes some m rows and not m * m.
 
 Edge cases: vectors that are null, empty, zero, or hold null or non-finite components link with nothing and are kept
 as their own component; vectors of different lengths never link; a null id links like others and never names a component;
@@ -22,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from arborix.llm._spark import save
-from arborix.llm.graph import components
+from arborix.llm.graph import components, local_forest
 
 TABLES, PROBES, BLOCK = 12, 3, 512
 
@@ -36,15 +38,20 @@ def unit(rows: list) -> tuple[np.ndarray, list[np.ndarray]]:
         v = np.asarray(r, dtype=np.float64)
         if not np.isfinite(v).all():
             continue
-        top = np.abs(v).max()
-        if top == 0:
+        if not v.any():
             continue
-        v = v / top
         at.append(i)
-        out.append(v / np.sqrt(v @ v))
+        out.append(scaled(v[None])[0])
     return np.array(at, np.int64), out
 
 
+def scaled(x: np.ndarray) -> np.ndarray:
+    """Rows scaled to length one, in double precision."""
+    x = x.astype(np.float64)
+    x = x / np.abs(x).max(1, keepdims=True)
+    return x / np.sqrt((x * x).sum(1, keepdims=True))
+
+
 def hadamard(x: np.ndarray) -> np.ndarray:
     """The fast Walsh-Hadamard transform of each row (the width is a power of two)."""
     n, h = x.shape[1], 1
@@ -82,85 +89,116 @@ def buckets(x: np.ndarray, table: int, probes: int = PROBES) -> tuple[np.ndarray
     return own, np.take_along_axis(options, pick, 1)
 
 
-def _classes(vectors: DataFrame) -> DataFrame:
-    """vec_id, class (null for vectors that cannot link), v (the unit vector) of every row."""
+def _classes(vectors: DataFrame) -> tuple[DataFrame, type]:
+    """vec_id, class (null for vectors that cannot link), v (the vector as it came) of every row; the components' type."""
+    kind = np.float32 if vectors.schema["embedding"].dataType.simpleString() == "array<float>" else np.float64
 
     def run(batches):
         for b in batches:
-            at, vs = unit(b.column("embedding").to_pylist())
+            rows = b.column("embedding").to_pylist()
+            at, vs = unit(rows)
             key: list = [None] * b.num_rows
             raw: list = [None] * b.num_rows
             for i, v in zip(at.tolist(), vs, strict=True):
-                raw[i] = v.tobytes()
-                key[i] = int.from_bytes(hashlib.blake2b(raw[i], digest_size=8).digest(), "little", signed=True)
+                raw[i] = np.array(rows[i], kind).tobytes()
+                key[i] = int.from_bytes(hashlib.blake2b(v.tobytes(), digest_size=8).digest(), "little", signed=True)
             yield pa.RecordBatch.from_arrays([b.column("vec_id"), pa.array(key, pa.int64()), pa.array(raw, pa.binary())], ["vec_id", "class", "v"])
 
-    return vectors.select(F.col("vec_id").cast("bigint").alias("vec_id"), "embedding").mapInArrow(run, "vec_id bigint, class bigint, v binary")
+    return vectors.select(F.col("vec_id").cast("bigint").alias("vec_id"), "embedding").mapInArrow(run, "vec_id bigint, class bigint, v binary"), kind
 
 
-def _hashed(classes: DataFrame, tables: int, probes: int) -> DataFrame:
-    """A row per class and bucket: class, table, bucket, home."""
+def _hashed(classes: DataFrame, kind: type, tables: int, probes: int) -> DataFrame:
+    """class, v, size, cells: per table the own bucket (first) and those probed, as one array."""
 
     def run(batches):
         for b in batches:
-            raws, ids = b.column("v").to_pylist(), b.column("class").to_numpy()
-            sizes = np.array([len(r) for r in raws])
+            raws = b.column("v").to_pylist()
+            sizes = np.array([len(r) for r in raws], np.int64)
             for size in np.unique(sizes).tolist():
                 rows = np.flatnonzero(sizes == size)
-                x = np.stack([np.frombuffer(raws[i]) for i in rows])
-                for t in range(tables):
-                    own, more = buckets(x, t, probes)
-                    all_ = np.concatenate([own[:, None], more], axis=1)
-                    n, m = all_.shape
-                    home = np.zeros((n, m), bool)
-                    home[:, 0] = True
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(np.repeat(ids[rows], m)), pa.array(np.full(n * m, t * 1_000_003 + size, np.int64)), pa.array(all_.ravel().astype(np.int64)), pa.array(home.ravel())],
-                        ["class", "table", "bucket", "home"],
-                    )
-
-    return classes.mapInArrow(run, "class bigint, table bigint, bucket bigint, home boolean")
-
-
-def _compared(threshold: float):
+                x = scaled(np.stack([np.frombuffer(raws[i], kind) for i in rows]))
+                cells = np.concatenate([np.column_stack(buckets(x, t, probes)) for t in range(tables)], axis=1).astype(np.int32)
+                part = b.take(pa.array(rows))
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(np.full(len(rows), size)), pa.array(list(cells), pa.list_(pa.int32()))], ["class", "v", "copies", "size", "cells"])
+
+    return classes.select("class", "v", "copies").mapInArrow(run, "class bigint, v binary, copies bigint, size bigint, cells array<int>")
+
+
+def _first_meeting(a: np.ndarray, b: np.ndarray, tables: int) -> np.ndarray:
+    """Per row of cells the first number table * width + place in ``a`` of a bucket where both are and one is at home."""
+    m = a.shape[1] // tables
+    out = np.full(len(a), a.shape[1], np.int64)
+    for t in range(tables - 1, -1, -1):
+        for k in range(m - 1, -1, -1):
+            # at home in a's place 0 with b anywhere; a's probes only where b is at home
+            own = a[:, t * m + k : t * m + k + 1]
+            there = (own == b[:, t * m : (t + 1) * m]).any(1) if k == 0 else own[:, 0] == b[:, t * m]
+            out[there] = t * m + k
+    return out
+
+
+def _compared(threshold: float, kind: type, tables: int):
+    """For one bucket (or two blocks of it): class, links (copies linked there first), up (a smaller class it hangs together with)."""
+
     def run(group: pa.Table) -> pa.Table:
-        side, ids = group["side"].to_numpy(), group["class"].to_numpy()
-        home = group["home"].to_numpy(zero_copy_only=False)
-        x = np.stack([np.frombuffer(v) for v in group["v"].to_pylist()])
+        side, ids, copies = (group[c].to_numpy() for c in ("side", "class", "copies"))
+        table, bucket = group["table"][0].as_py(), group["bucket"][0].as_py()
+        x = scaled(np.stack([np.frombuffer(v, kind) for v in group["v"].to_pylist()]))
+        cells = group["cells"].combine_chunks().flatten().to_numpy().reshape(len(ids), -1)
+        m = cells.shape[1] // tables
+        mine = cells[:, table * m : (table + 1) * m] == bucket
+        home, place = mine[:, 0], table * m + mine.argmax(1)
         left, right = np.flatnonzero(side != 1), np.flatnonzero(side != 0)
-        out = []
+        links = np.zeros(len(ids), np.int64)
+        a, b = np.zeros(0, np.int64), np.zeros(0, np.int64)
         for k in range(0, len(left), BLOCK):
             rows = left[k : k + BLOCK]
-            i, j = np.nonzero(x[rows] @ x[right].T >= threshold - 1e-9)
-            i, j = rows[i], right[j]
-            ok = (ids[i] != ids[j]) & (home[i] | home[j])
-            i, j = i[ok], j[ok]
-            # the product's rounding depends on the block; the sum of one pair does not
-            ok = (x[i] * x[j]).sum(1) >= threshold
-            out.append(np.stack([np.minimum(ids[i], ids[j])[ok], np.maximum(ids[i], ids[j])[ok]], axis=1))
-        pair = np.unique(np.concatenate(out), axis=0) if out else np.zeros((0, 2), np.int64)
-        return pa.table([pa.array(pair[:, 0]), pa.array(pair[:, 1])], names=["a", "b"])
+            for q in range(0, len(right), 4 * BLOCK):
+                cols = right[q : q + 4 * BLOCK]
+                i, j = np.nonzero(x[rows] @ x[cols].T >= threshold - 1e-9)
+                i, j = rows[i], cols[j]
+                # the smaller class first; within one block each pair is met twice
+                ok = (ids[i] < ids[j]) & (home[i] | home[j]) if (side == 2).all() else (ids[i] != ids[j]) & (home[i] | home[j])
+                i, j = i[ok], j[ok]
+                swap = ids[i] > ids[j]
+                i, j = np.where(swap, j, i), np.where(swap, i, j)
+                for u in range(0, len(i), 20_000):
+                    p, r = i[u : u + 20_000], j[u : u + 20_000]
+                    # the product's rounding depends on the block; the sum of one pair does not
+                    good = (x[p] * x[r]).sum(1) >= threshold
+                    p, r = p[good], r[good]
+                    # counted where the pair meets first, by the smaller class's cells
+                    first = _first_meeting(cells[p], cells[r], tables) == place[p]
+                    links += np.bincount(p[first], copies[r[first]], len(ids)).astype(np.int64) + np.bincount(r[first], copies[p[first]], len(ids)).astype(np.int64)
+                    a, b = local_forest(np.concatenate([a, ids[p]]), np.concatenate([b, ids[r]]))
+        up = dict(zip(a.tolist(), b.tolist(), strict=True))
+        some = np.flatnonzero((links > 0) | np.isin(ids, a))
+        return pa.table([pa.array(ids[some]), pa.array(links[some]), pa.array([up.get(c) for c in ids[some].tolist()], pa.int64())], names=["class", "links", "up"])
 
     return run
 
 
 def near_duplicates(vectors: DataFrame, threshold: float = 0.95, tables: int = TABLES, probes: int = PROBES, tile: int = 2048) -> DataFrame:
     """vec_id, n_links, component_id, kept of every row."""
-    rows = save(_classes(vectors), "vectors")
+    rows, kind = _classes(vectors)
+    rows = save(rows, "vectors")
     good = rows.where("class is not null")
-    classes = save(good.groupBy("class").agg(F.first("v").alias("v"), F.count("*").alias("copies"), F.min("vec_id").alias("least")), "vector-classes")
-    dealt = _hashed(classes.select("class", "v"), tables, probes)
-    size = dealt.groupBy("table", "bucket").agg(F.count("*").alias("m"), F.count_if("home").alias("homes")).where("m > 1 and homes > 0")
-    dealt = dealt.join(size.select("table", "bucket", F.ceil(F.col("m") / tile).cast("int").alias("cuts")), ["table", "bucket"])
+    classes = good.groupBy("class").agg(F.first("v").alias("v"), F.count("*").alias("copies"), F.min("vec_id").alias("least"))
+    classes = save(classes, "vector-classes")
+    hashed = save(_hashed(classes, kind, tables, probes), "vector-cells")
+    width = F.expr(f"size(cells) div {tables}")
+    dealt = hashed.select("class", "size", F.posexplode("cells").alias("at", "bucket"), width.alias("width"))
+    dealt = dealt.select("class", "size", F.expr("at div width").cast("int").alias("table"), "bucket", (F.col("at") % F.col("width") == 0).alias("home"))
+    size = dealt.groupBy("size", "table", "bucket").agg(F.count("*").alias("m"), F.count_if("home").alias("homes")).where("m > 1 and homes > 0")
+    dealt = dealt.join(size.select("size", "table", "bucket", F.ceil(F.col("m") / tile).cast("int").alias("cuts")), ["size", "table", "bucket"])
     cut = F.pmod(F.xxhash64("class"), F.col("cuts")).cast("int")
     spread = F.expr("transform(sequence(0, cuts - 1), j -> named_struct('i', least(cut, j), 'j', greatest(cut, j), 'side', if(j = cut, 2, if(cut < j, 0, 1))))")
-    dealt = dealt.withColumn("cut", cut).select("class", "table", "bucket", "home", F.explode(spread).alias("t")).select("class", "table", "bucket", "home", "t.*")
-    pairs = dealt.join(classes.select("class", "v"), "class").groupBy("table", "bucket", "i", "j").applyInArrow(_compared(threshold), "a bigint, b bigint")
-    pairs = save(pairs.distinct(), "vector-links")
-    both = pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    copies = classes.select(F.col("class").alias("b"), "copies")
-    others = both.join(copies, "b").groupBy("a").agg(F.sum("copies").alias("others"))
-    linked = components(pairs)
+    key = ["size", "table", "bucket"]
+    dealt = dealt.withColumn("cut", cut).select("class", *key, F.explode(spread).alias("t")).select("class", *key, "t.*")
+    met = dealt.join(hashed.select("class", "v", "copies", "cells"), "class")
+    found = save(met.groupBy(*key, "i", "j").applyInArrow(_compared(threshold, kind, tables), "class bigint, links bigint, up bigint"), "vector-links")
+    others = found.groupBy(F.col("class").alias("a")).agg(F.sum("links").alias("others"))
+    linked = components(found.where("up is not null").select(F.col("class").alias("a"), F.col("up").alias("b")))
     named = classes.join(linked, classes["class"] == linked["node"], "left").select("class", "copies", "least", F.coalesce("root", "class").alias("root"))
     names = named.groupBy("root").agg(F.min("least").alias("component"))
     named = named.join(names, "root").join(others, named["class"] == others["a"], "left")
