@@ -9,6 +9,9 @@ plus ``z`` standard deviations) reaches ``least``; so unknown hosts pass and onl
 Explicit rules come first: a rule (host, path prefix) fits its host and all subdomains when the url's
 path starts with the rule's path; the longest rule wins (ties: the smallest rule text).
 
+Suffix and domain leave out a port; the number of a machine is a suffix and a domain of its own. Each level is written
+once, as the next one up and its own spread both read it.
+
 Edge cases: a null url, or one without ``://``, has an empty host and path, and the empty host's
 reputation is the global prior; a null label counts for nothing; repeated rows are judged alike; an
 empty table gives an empty result; extra columns are ignored.
@@ -19,6 +22,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from arborix.llm._spark import save
+
 RULES = (
     ("allow", "org", "/"),
     ("block", "example.org", "/es/"),
@@ -41,10 +46,11 @@ def host_and_path(url: Column) -> tuple[Column, Column]:
 
 
 def suffix_and_domain(host: Column) -> tuple[Column, Column]:
-    parts = F.split(host, r"\.")
+    name = F.regexp_replace(host, ":[0-9]*$", "")
+    parts = F.split(name, r"\.")
     n = F.size(parts)
     two = (n >= 3) & (F.length(F.element_at(parts, -1)) == 2) & F.element_at(parts, -2).isin(*_SECOND)
-    k = F.when(two, 2).otherwise(1)
+    k = F.when(name.rlike("^[0-9.]+$"), n).when(two, 2).otherwise(1)
     tail = lambda m: F.array_join(F.slice(parts, F.greatest(n - m + 1, F.lit(1)), F.least(m, n)), ".")
     return tail(k), tail(k + 1)
 
@@ -82,14 +88,14 @@ def outcomes(pages: DataFrame, labels: DataFrame) -> DataFrame:
 def reputation(seen: DataFrame) -> DataFrame:
     """host, a, b: beta posteriors for every host in ``seen`` (host, good, n); n = 0 for hosts without labels."""
     suffix, domain = suffix_and_domain(F.col("host"))
-    hosts = seen.withColumns({"suffix": suffix, "domain": domain})
-    domains = hosts.groupBy("suffix", "domain").agg(F.sum("good").alias("good"), F.sum("n").alias("n"))
-    suffixes = domains.groupBy("suffix").agg(F.sum("good").alias("good"), F.sum("n").alias("n"))
+    hosts = save(seen.withColumns({"suffix": suffix, "domain": domain}), "hosts")
+    domains = save(hosts.groupBy("suffix", "domain").agg(F.sum("good").alias("good"), F.sum("n").alias("n")), "domains")
+    suffixes = save(domains.groupBy("suffix").agg(F.sum("good").alias("good"), F.sum("n").alias("n")), "suffixes")
     total = suffixes.agg(((F.coalesce(F.sum("good"), F.lit(0)) + 1) / (F.coalesce(F.sum("n"), F.lit(0)) + 2)).alias("mean0"))
     s = _shrunk(suffixes.join(F.broadcast(total)), ["suffix"], None, [], F.col("mean0"))  # total: one row
-    s = s.select("suffix", (F.col("a") / (F.col("a") + F.col("b"))).alias("up"))
+    s = save(s.select("suffix", (F.col("a") / (F.col("a") + F.col("b"))).alias("up")), "suffix-means")
     d = _shrunk(domains, ["suffix", "domain"], s, ["suffix"], F.col("up"))
-    d = d.select("suffix", "domain", (F.col("a") / (F.col("a") + F.col("b"))).alias("up"))
+    d = save(d.select("suffix", "domain", (F.col("a") / (F.col("a") + F.col("b"))).alias("up")), "domain-means")
     return _shrunk(hosts, ["host"], d, ["suffix", "domain"], F.col("up"))
 
 

@@ -108,10 +108,10 @@ ORACLES: dict[str, str] = {
         ), known AS (
             SELECT doc_id, min((quality = 1 AND coalesce(toxic, 0) = 0)::INT) AS good FROM labels WHERE quality IS NOT NULL AND doc_id IS NOT NULL GROUP BY ALL
         ), seen AS (
-            SELECT host, coalesce(sum(good), 0) AS good, count(good) AS n, string_split(host, '.') AS d
+            SELECT host, coalesce(sum(good), 0) AS good, count(good) AS n, string_split(regexp_replace(host, ':[0-9]*$', ''), '.') AS d
             FROM h LEFT JOIN known ON doc_id = try_cast(regexp_extract(path, '/([0-9]{{1,18}})(?:\.[a-z]+)?/?$', 1) AS BIGINT) GROUP BY ALL
         ), lev AS (
-            SELECT *, CASE WHEN len(d) >= 3 AND len(d[-1]) = 2 AND d[-2] IN ('ac', 'co', 'com', 'edu', 'gov', 'net', 'org') THEN 2 ELSE 1 END AS k FROM seen
+            SELECT *, CASE WHEN regexp_matches(host, '^[0-9.]+(:[0-9]*)?$') THEN len(d) WHEN len(d) >= 3 AND len(d[-1]) = 2 AND d[-2] IN ('ac', 'co', 'com', 'edu', 'gov', 'net', 'org') THEN 2 ELSE 1 END AS k FROM seen
         ), hosts AS (
             SELECT host, good, n, array_to_string(d[greatest(len(d) - k + 1, 1):], '.') AS suffix, array_to_string(d[greatest(len(d) - k, 1):], '.') AS domain FROM lev
         ), s0 AS (
@@ -136,6 +136,20 @@ ORACLES: dict[str, str] = {
         )
         SELECT page_id, host, path, rule, coalesce(kind, CASE WHEN bound >= 0.5 THEN 'allow' ELSE 'block' END) AS verdict FROM fit JOIN bound USING (host) WHERE k = 1
     """,
+    # crc32 byte by byte, its table from the polynomial
+    "op7_prefix_sum_shards": """
+        WITH tab AS (
+            SELECT list(list_reduce(list_prepend(i::BIGINT, range(8)), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) ORDER BY i) AS tab FROM range(256) r(i)
+        ), b AS (
+            SELECT doc_id, octet_length(encode(coalesce(text, ''))) + 1 AS size, list_transform(regexp_extract_all(hex(encode(coalesce(text, ''))), '..'), lambda x: ('0x' || x)::BIGINT) AS b FROM documents
+        ), d AS (
+            SELECT doc_id, size::BIGINT AS size, xor(list_reduce(list_prepend(4294967295::BIGINT, b), lambda c, x: xor(c >> 8, tab[(xor(c, x) & 255) + 1])), 4294967295)::BIGINT AS text_crc32 FROM b, tab
+        ), r AS (
+            SELECT *, row_number() OVER o AS place, sum(size) OVER (ORDER BY doc_id NULLS FIRST, text_crc32, size ROWS UNBOUNDED PRECEDING) AS upto, sum(size) OVER () AS total
+            FROM d WINDOW o AS (ORDER BY doc_id NULLS FIRST, text_crc32, size)
+        ), s AS (SELECT *, least(7, (2 * upto - size) * 8 // (2 * total))::INT AS shard FROM r)
+        SELECT doc_id, size, text_crc32, 'bytes' AS law, shard, row_number() OVER (PARTITION BY shard ORDER BY place) - 1 AS slot, NULL::INT AS grown_shard FROM s
+    """,
     "op10_ngram_jaccard": f"""
         WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), {_LOWER}), {_WORDS}) AS w FROM documents),
         s AS (
