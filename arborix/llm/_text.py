@@ -168,6 +168,14 @@ def shingles(w: Words, h: np.ndarray, n: int = 5) -> tuple[np.ndarray, np.ndarra
     return grams, doc
 
 
+def stretch_sums(values: np.ndarray, off: np.ndarray) -> np.ndarray:
+    """Sum of each stretch of ``values`` between (n + 1) offsets; a stretch's sum does not depend on the others."""
+    out, full = np.zeros(len(off) - 1), off[:-1] < off[1:]
+    if full.any():
+        out[full] = np.add.reduceat(values, off[:-1][full])
+    return out
+
+
 def ids_of(col: pa.Array) -> np.ndarray:
     """Integer ids; null becomes NULL_ID, the smallest."""
     return col.cast(pa.int64()).fill_null(NULL_ID).to_numpy(zero_copy_only=False)

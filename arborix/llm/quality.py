@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from arborix.llm._spark import crc_of_id, text_of
-from arborix.llm._text import Words, mix, slices, span_hash, words
+from arborix.llm._text import Words, mix, slices, span_hash, stretch_sums, words
 
 _U = np.uint64
 BITS, MAX_TRAIN = 18, 20_000
@@ -120,9 +120,7 @@ def train(texts: pa.Array, labels: np.ndarray, bits: int = BITS, epochs: int = 3
 
 def score(texts: pa.Array, weights: np.ndarray, bits: int = BITS) -> np.ndarray:
     grams, off = features(texts, bits)
-    total = np.concatenate([[0.0], np.cumsum(weights[grams])])
-    n = np.diff(off)
-    dot = (total[off[1:]] - total[off[:-1]]) * (SCALE / np.maximum(n, 1)) + weights[-1]
+    dot = stretch_sums(weights[grams], off) * (SCALE / np.maximum(np.diff(off), 1)) + weights[-1]
     return 1 / (1 + np.exp(-np.clip(dot, -35, 35)))
 
 
