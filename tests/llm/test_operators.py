@@ -3,7 +3,7 @@
 import hashlib
 import zlib
 from collections import Counter
-from math import log10
+from math import log, log10
 
 import numpy as np
 import public_tokenizers
@@ -38,10 +38,10 @@ def test_decontamination(spark, odd, none):
     items = spark.createDataFrame([(1, item, "q"), (2, other, "q"), (3, None, "q"), (4, "", "q"), (5, item, "q"), (6, "w w w", "q")], "item_id bigint, text string, score string")
     found = {(r.doc_id, r.item_id) for r in decontaminate.contaminated(docs, items).collect()}
     assert found == {(d, i) for d in (100, 101, 103, None) for i in (1, 5)} | {(103, 2)}
-    assert {r.doc_id for r in decontaminate.contaminated(docs, items, max_items=1).collect()} == {100, 101, 103, None}
+    assert {r.doc_id for r in decontaminate.contaminated(docs, items, max_bytes=1).collect()} == {100, 101, 103, None}
     kept = decontaminate.drop_contaminated(docs, items)
     assert kept.columns == docs.columns and {r.doc_id for r in kept.collect()} & {100, 101, 103} == set()
-    assert kept.count() == docs.count() - 3
+    assert kept.count() == docs.count() - 4
     assert decontaminate.contaminated(none, items).count() == 0
     assert decontaminate.contaminated(docs, items.where("false")).count() == 0
 
@@ -66,25 +66,31 @@ def test_decontamination_judges_the_whole_item(spark):
     assert {r.doc_id for r in decontaminate.contaminated(docs, both, share=0.1, least_overlap=0.9).collect()} == {3}
 
 
-def test_block_max_search_finds_what_exhaustive_scoring_finds():
+def test_search_equals_bm25_by_definition(spark):
     rng = np.random.default_rng(3)
     vocabulary = [f"t{i}" for i in range(300)]
-    texts = [" ".join(rng.choice(vocabulary, rng.integers(5, 40))) for _ in range(70)]
-    index = decontaminate.Index(list(range(70)), texts, 0.4)
-    passages = [" ".join([*rng.choice(vocabulary, 20), *texts[k % 70].split()[:25]]) for k in range(60)]
-    import pyarrow as pa
-
-    from arborix.llm._text import hash_words, words
-
-    w = words(pa.array(passages), lower=True)
-    term = index.lookup(hash_words(w))
-    got = {(d, i) for d, i, *_ in index.search(term, w.docs)}
-    want = set()
-    for d in range(len(passages)):
-        t = np.unique(term[w.docs[d] : w.docs[d + 1]])
-        scores = index.impact[t[t >= 0]].sum(0)
-        want |= {(d, int(i)) for i in np.flatnonzero(scores >= index.least - 1e-6)}
-    assert got == want and got
+    items = {k: " ".join(rng.choice(vocabulary, rng.integers(5, 40))) for k in range(70)} | {70: " ".join(rng.choice(vocabulary, 150)), 71: "t1"}
+    texts = {k: " ".join([*rng.choice(vocabulary, rng.integers(0, 200)), *items[k].split(), *rng.choice(vocabulary, 90)]) for k in range(40)} | {40: "t3 t4", 41: "x " * 90 + items[70], 42: ""}
+    docs = spark.createDataFrame(list(texts.items()), "doc_id bigint, text string").repartition(3)
+    table = spark.createDataFrame(list(items.items()), "item_id bigint, text string").repartition(2)
+    words = {i: Counter(t.split()) for i, t in items.items()}
+    df = Counter(w for c in words.values() for w in c)
+    mean = sum(sum(c.values()) for c in words.values()) / len(items)
+    impact = lambda i, w: log(1 + (len(items) - df[w] + 0.5) / (df[w] + 0.5)) * words[i][w] * 2.2 / (words[i][w] + 1.2 * (0.25 + 0.75 * sum(words[i].values()) / mean))
+    want = {}
+    for d, t in texts.items():
+        w = t.split()
+        for i in items:
+            span = 64 if sum(words[i].values()) <= 64 else 256
+            starts = range(0, max(1, len(w) - span), span)
+            scores = [sum(impact(i, x) for x in set(w[a : a + 2 * span]) if x in words[i]) for a in starts]
+            good = [s for s in scores if s >= 0.3 * sum(impact(i, x) for x in words[i]) - 1e-6]
+            if good:
+                want[d, i] = (round(max(good), 6), len(good))
+    assert len(want) > 60
+    for size in (1, 3000, 1 << 25):
+        got = {(r.doc_id, r.item_id): (round(r.score, 6), r.n_passages) for r in decontaminate.contaminated(docs, table, 0.3, 0.0, size).collect()}
+        assert got == want
 
 
 # -- 2 ---------------------------------------------------------------------------------------------------
@@ -120,6 +126,8 @@ def test_embeddings(spark):
     df = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>, label int").withColumns({"class": __import__("pyspark.sql.functions", fromlist=["lit"]).lit("x")})
     got = embedding_dedup.near_duplicates(df).collect()
     assert len(got) == len(rows)
+    cut = embedding_dedup.near_duplicates(df, tile=3).collect()  # every bucket in several blocks
+    assert Counter(cut) == Counter(got)
     good = [(i, np.array(v, float)) for i, v, _ in rows if v and len(v) == 24 and None not in v and np.isfinite(v).all() and any(v)]
     x = np.stack([v / np.linalg.norm(v) for _, v in good])
     link = x @ x.T >= 0.95
@@ -135,6 +143,18 @@ def test_embeddings(spark):
     assert embedding_dedup.near_duplicates(df.where("false")).count() == 0
 
 
+def test_a_large_group_of_near_copies(spark):
+    rng = np.random.default_rng(11)
+    x = np.concatenate([rng.normal(size=24) + 0.04 * rng.normal(size=(400, 24)), rng.normal(size=(100, 24))]).astype(np.float32)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id bigint, embedding array<float>")
+    got = {r.vec_id: r for r in embedding_dedup.near_duplicates(df, tile=90).collect()}
+    u = x.astype(float) / np.linalg.norm(x.astype(float), axis=1, keepdims=True)
+    n = (u @ u.T >= 0.95).sum(1) - 1
+    have = np.array([got[i].n_links for i in range(len(x))])
+    assert (have <= n).all() and have.sum() >= 0.99 * n.sum()
+    assert {got[i].component_id for i in range(400)} == {0}
+
+
 def test_hadamard_is_orthogonal():
     h = embedding_dedup.hadamard(np.eye(16))
     assert np.allclose(h @ h.T, 16 * np.eye(16))
@@ -162,45 +182,6 @@ def test_language_model(spark, odd, plain, none):
     assert lm.score(none).count() == 0
 
 
-def test_context_tree_is_a_distribution_and_equals_the_sequential_mixture():
-    import pyarrow as pa
-
-    g, _ = lm.grams(pa.array(["abracadabra abracadabra", "banana"]), 2)
-    rows = []
-    for d in range(3):
-        packed, n = np.unique(((g >> 8) & ((1 << 8 * d) - 1)) << 8 | (g & 255), return_counts=True)
-        rows.append((np.full(len(n), d), packed >> 8, packed & 255, n))
-    tree = lm.ContextTree(*(np.concatenate(c) for c in zip(*rows, strict=True)), 2)
-    assert np.allclose((10.0 ** tree.table.astype(float)).sum(1), 1, atol=1e-5)
-    # the first decision (top bit) after the context "a", by brute force over the three depths
-    from math import exp, lgamma, log, pi
-
-    def count(context):
-        bits = [(int(x) & 255) >> 7 for x in g if int(x) >> 8 & ((1 << 8 * len(context)) - 1) == int.from_bytes(context, "big")]
-        return bits.count(0), bits.count(1)
-
-    block = lambda a, b: lgamma(a + 0.5) + lgamma(b + 0.5) - log(pi) - lgamma(a + b + 1)
-    mixed = lambda x, y: log(0.5 * exp(x) + 0.5 * exp(y))
-
-    def weighted(context):
-        own = block(*count(context))
-        if len(context) == 2:
-            return own
-        return mixed(own, sum(weighted(bytes([c]) + context) for c in {int(x) >> 8 + 8 * len(context) & 255 for x in g if int(x) >> 8 & ((1 << 8 * len(context)) - 1) == int.from_bytes(context, "big")}))
-
-    def one(context, depth=0):
-        own = context[2 - depth :] if depth else b""
-        a, b = count(own)
-        here = (b + 0.5) / (a + b + 1)
-        if depth == 2:
-            return here
-        stop = exp(log(0.5) + block(a, b) - weighted(own))
-        return stop * here + (1 - stop) * one(context, depth + 1)
-
-    packed = np.array([(int.from_bytes(b"ra", "big") << 8) | x for x in range(256)])
-    assert (10 ** tree.logs(packed))[128:].sum() == pytest.approx(one(b"ra"), abs=1e-6)
-
-
 def test_context_tree_keeps_every_context(spark):
     from math import exp, lgamma, log, log2, pi
 
@@ -209,31 +190,31 @@ def test_context_tree_keeps_every_context(spark):
     texts = {4: long, 1: long[20_000:20_060], 5: "zebra " + long[7:30] + " é", 6: ""}
     train = [t for i, t in texts.items() if zlib.crc32(str(i).encode()) % 7 != 2]
     assert long in train and len(train) < len(texts)
-    runs = lambda t: [(b"\xff" * 5 + t.encode() + b"\xff")[k : k + 6] for k in range(len(t.encode()) + 1)]
+    runs = lambda t: [(b"\xff" * 6 + t.encode() + b"\xff")[k : k + 7] for k in range(len(t.encode()) + 1)]
     decisions = lambda x: [((256 | x) >> 8 - j, x >> 7 - j & 1) for j in range(8)]
     count = {}
     for t in train:
         for r in runs(t):
-            for d in range(6):
-                for k, bit in decisions(r[5]):
-                    count.setdefault((r[5 - d : 5], k), [0, 0])[bit] += 1
+            for d in range(7):
+                for k, bit in decisions(r[6]):
+                    count.setdefault((r[6 - d : 6], k), [0, 0])[bit] += 1
     assert len({c for c, _ in count}) > 2 * 32_768
     block = lambda a, b: lgamma(a + 0.5) + lgamma(b + 0.5) - log(pi) - lgamma(a + b + 1)
     below, stop = Counter(), {}
     for c, k in sorted(count, key=lambda x: -len(x[0])):
         own = weighted = block(*count[c, k])
-        if len(c) < 5:
+        if len(c) < 6:
             high = max(own, below[c, k])
             weighted = high + log(0.5 * exp(own - high) + 0.5 * exp(below[c, k] - high))
-        stop[c, k] = 1 if len(c) == 5 else exp(log(0.5) + own - weighted)
+        stop[c, k] = 1 if len(c) == 6 else exp(log(0.5) + own - weighted)
         below[c[1:], k] += weighted if c else 0
 
     def bits(r):
         total = 0
-        for k, bit in decisions(r[5]):
+        for k, bit in decisions(r[6]):
             p = 0.5
-            for d in range(5, -1, -1):
-                at = r[5 - d : 5], k
+            for d in range(6, -1, -1):
+                at = r[6 - d : 6], k
                 if at in count:
                     a, b = count[at]
                     p = stop[at] * (b + 0.5) / (a + b + 1) + (1 - stop[at]) * p
@@ -275,6 +256,9 @@ def test_substring_dedup(spark, odd, plain, none):
     for batches in (1, 3):
         got = {r.doc_id: (r.n_words, r.n_removed, r.kept_sha256) for r in substring_dedup.dedup(df, batches).collect()}
         assert got == want
+    index = scratch(spark, "prints")
+    substring_dedup.find(df, root=index).count()
+    assert substring_dedup.FingerprintIndex(spark, index, 4).runs() == [(1, 5)]  # the query's own settings end in a compacted run
     assert substring_dedup.dedup(odd).count() == odd.count()
     text = {r.doc_id: r for r in substring_dedup.without_repeats(df).collect()}
     assert text[1].text is None and set(text[5].asDict()) == {"doc_id", "text", "kid"} and text[6].text == ""
@@ -311,6 +295,9 @@ def test_host_reputation(spark):
     assert shown[2] == ("x.org", "", None) and shown[3] == ("shop.com", "/fr/2/", "com/fr/") and shown[4] == ("com", "/de/3", "com/de/")
     assert shown[5] == shown[6] == shown[None] == ("", "", None) and shown[7] == ("x.net", "", None) and shown[8] == ("x.net", "/7/\nz", None)
     assert got[9].posterior_mean < got[7].posterior_mean and got[3].verdict == "allow"
+    more = spark.createDataFrame([("a.com:8080", 0, 1), ("10.0.0.7", 0, 1), ("10.0.0.7:80", 1, 2), ("b.co.uk:1", 1, 1)], "host string, good long, n long")
+    split = {r.host: (r.s, r.d) for r in more.select("host", *[c.alias(n) for c, n in zip(host_reputation.suffix_and_domain(more.host), "sd", strict=True)]).collect()}
+    assert split == {"a.com:8080": ("com", "a.com"), "10.0.0.7": ("10.0.0.7",) * 2, "10.0.0.7:80": ("10.0.0.7",) * 2, "b.co.uk:1": ("co.uk", "b.co.uk")}
     assert host_reputation.judge(pages.where("false"), labels).count() == 0
     assert {r.verdict for r in host_reputation.judge(pages, labels.where("false")).collect()} <= {"allow", "block"}
 
@@ -397,6 +384,16 @@ def test_packing(odd, plain, none):
     assert packing.pack(none, vocabulary).count() == 0
 
 
+def test_padding_is_small(spark):
+    rng = np.random.default_rng(12)
+    docs = spark.createDataFrame([(i, "word " * int(n)) for i, n in enumerate(rng.integers(1, 1500, 4000))], "doc_id bigint, text string").repartition(6)
+    size = Counter()
+    for r in packing.pack(docs, public_tokenizers.path("byte_bpe_50k.json")).collect():
+        size[r.sequence_id] += r.length
+    padded = sum(0 if n & (n - 1) == 0 else 1024 - n for n in size.values())
+    assert padded < 0.01 * sum(size.values())
+
+
 def test_plan_places_every_piece_once():
     rng = np.random.default_rng(1)
     hist = np.bincount(rng.integers(1, 1024, 20_000), minlength=1025)
@@ -465,17 +462,45 @@ def test_bit_counts_never_drop_a_link():
             assert ngram_join.may_link(len(x), sig[0], len(y), sig[1])
 
 
-def test_components_at_once_and_in_rounds(spark):
-    from arborix.llm.graph import components
+def test_components_in_rounds(spark):
+    from arborix.llm.graph import components, local_labels
 
     rng = np.random.default_rng(8)
     pairs = [(int(a), int(b)) for a, b in rng.integers(-500, 500, (450, 2))] + [(k, k + 1) for k in range(1000, 1040)]
-    edges = spark.createDataFrame(pairs, "a bigint, b bigint")
-    once, rounds = ({(r.node, r.root) for r in components(edges, few).collect()} for few in (10**6, 0))
-    assert once == rounds and (1040, 1000) in once
+    edges = spark.createDataFrame(pairs, "a bigint, b bigint").repartition(7)
+    nodes, roots = local_labels(*np.array([p for p in pairs if p[0] != p[1]]).T)
+    got = {(r.node, r.root) for r in components(edges).collect()}
+    assert got == set(zip(nodes.tolist(), roots.tolist(), strict=True)) and (1040, 1000) in got
     assert components(edges.where("false")).count() == 0
 
 
+def test_crowded_postings_in_parts(spark, monkeypatch):
+    rng = np.random.default_rng(6)
+    rows = []
+    for i in range(300):  # all texts share a passage; some are near copies
+        w = [f"{'abc'[i % 3]}{k}" for k in range(40)] + [f"q{k}" for k in range(30)]
+        for k in rng.integers(0, 70, i % 4):
+            w[k] = f"z{rng.integers(1e6)}"
+        rows.append((i, " ".join(w)))
+    df = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(6)
+    monkeypatch.setattr(ngram_join, "CROWD", 2)
+    monkeypatch.setattr(ngram_join, "LONG", 5)
+    monkeypatch.setattr(ngram_join, "TILE_SIZE", 1000)
+    got = Counter((r.doc_id, r.n_shingles, r.component_id) for r in ngram_join.join(df).collect())
+    assert got == jaccard_components(rows)
+
+
+def test_one_row_of_each_component_stays(spark, odd, none):
+    near = " ".join(f"k{i}" for i in range(60))
+    rows = [(1, near), (1, near), (1, "another text that has nothing to do with it"), (2, near + " more"), (None, near), (None, near), (3, ""), (3, None), (None, "a lone text without an id here"), (None, "a lone text without an id here")]
+    df = spark.createDataFrame([(i, t, "x", 1) for i, t in rows], "doc_id bigint, text string, skey string, kept int").repartition(4)
+    kept = ngram_join.keep_one(df)
+    assert kept.columns == df.columns
+    got = Counter((r.doc_id, r.text) for r in kept.collect())
+    assert got == Counter([(1, near), (1, rows[2][1]), (3, ""), (3, None), (None, rows[8][1])])
+    assert ngram_join.keep_one(none).count() == 0 and ngram_join.keep_one(odd).columns == odd.columns
+
+
 def test_bitmaps_of_a_megabyte_and_more():
     wide, half = np.full((1, 1 << 17), 3, np.uint64), np.full((1, 1 << 16), 3, np.uint64)
     sigs, width = {1 << 20: wide, 1 << 19: half}, np.array([1 << 20, 1 << 20, 1 << 19])
