@@ -57,18 +57,18 @@ def _parent_dist(e):
     return far.join(late, ["graph_id", "node_id"]).select("graph_id", "node_id", "root", "dist", "after_parent")
 
 
-def _predecessors(e):
+def _predecessors(e, find=g.geodesic_predecessors):
     """Distances, and whether each predecessor is one step nearer by the weight of their edge."""
-    found = g.geodesic_predecessors(e, sources=_nodes(e, 3, 31))
+    found = find(e, sources=_nodes(e, 3, 31))
     near = found.select("graph_id", "source", F.col("target").alias("pred"), F.col("dist").alias("near"))
     found = _with_weights(e, found, "pred", "target", "step").join(near, ["graph_id", "source", "pred"], "left")
     fits = F.when(F.col("pred") >= 0, F.col("near") + F.col("step") == F.col("dist")).otherwise((F.col("dist") == -1) | (F.col("source") == F.col("target")))
     return found.select("graph_id", "source", "target", "dist", F.coalesce(fits, F.lit(False)).alias("fits"))
 
 
-def _path_length(e):
+def _path_length(e, find=g.geodesic_path):
     """Each path's summed weights; a step that is no edge makes it null."""
-    found = g.geodesic_path(e, _nodes(e, 3, 31).withColumn("target", F.col("node_id") + 31))
+    found = find(e, _nodes(e, 3, 31).withColumn("target", F.col("node_id") + 31))
     step = found.select("graph_id", "source", "target", (F.col("pos") - 1).alias("pos"), F.col("node_id").alias("to"))
     met = _with_weights(e, found.join(step, ["graph_id", "source", "target", "pos"]), "node_id", "to", "step")
     return met.groupBy("graph_id", "source", "target").agg(F.when(F.count("step") == F.count("*"), F.sum("step")).alias("length"))
@@ -95,7 +95,11 @@ QUERIES = {
     "geodesic_clusters": _q(lambda e: g.geodesic_clusters(e, 6.0)),
     "geodesic_mst_graph": _q(lambda e: g.geodesic_mst(e, _nodes(e, 3, 31)).groupBy("graph_id").agg(F.count("*").alias("n"), F.sum("weight").alias("total"))),
     "csgraph_dijkstra": _q(lambda e: g.csgraph_dijkstra(e.select("graph_id", F.col("src").alias("row"), F.col("dst").alias("col"), F.col("weight").alias("value")), _nodes(e, 3, 31), directed=False).withColumn("dist", F.when(F.col("dist") < 1e300, F.col("dist")).otherwise(-1.0))),
-    "csgraph_components": _q(lambda e: g.csgraph_components(e.select("graph_id", F.col("src").alias("row"), F.col("dst").alias("col")))),
+    "csgraph_components": _q(lambda e: g.csgraph_components(e.select("graph_id", F.col("src").alias("row"), F.col("dst").alias("col")), checks=False)),
+    "prepared_distances": _q(lambda e: _prepared(e).distances(sources=_nodes(e, 3, 31), targets=_nodes(e, 5, 37))),
+    "prepared_predecessors": _q(lambda e: _predecessors(e, lambda x, **o: _prepared(x).predecessors(**o))),
+    "prepared_path": _q(lambda e: _path_length(e, lambda x, pairs: _prepared(x).path(pairs))),
+    "prepared_clusters": _q(lambda e: _prepared(e).clusters(6.0)),
     "prepared_nearest": _q(lambda e: _prepared(e).nearest(_nodes(e, 3, 31), _nodes(e, 5, 37))),
     "prepared_farthest": _q(lambda e: _prepared(e).farthest(_nodes(e, 3, 31), _nodes(e, 5, 37))),
     "prepared_ball": _q(lambda e: _prepared(e).ball(_nodes(e, 3, 31), 8.0).select("graph_id", "node_id", "dist", "ord")),
@@ -164,3 +168,6 @@ ORACLES = {
         "prepared_subset": ", k AS (SELECT graph_id, node_id, row_number() OVER (PARTITION BY graph_id ORDER BY -node_id) - 1 AS n FROM nodes WHERE node_id % 2 = 0) SELECT e.graph_id, a.n AS src, b.n AS dst, e.weight FROM edges e JOIN k a ON a.graph_id = e.graph_id AND a.node_id = e.src JOIN k b ON b.graph_id = e.graph_id AND b.node_id = e.dst",
     }.items()
 }
+
+ORACLES["prepared_distances"] = "WITH RECURSIVE " + TRADE + _FAR.format("node_id % 31 = 3") + " SELECT s.graph_id, s.node_id AS source, t.node_id AS target, coalesce(f.d, -1) AS dist FROM nodes s JOIN nodes t ON t.graph_id = s.graph_id AND t.node_id % 37 = 5 LEFT JOIN far f ON f.graph_id = s.graph_id AND f.s = s.node_id AND f.t = t.node_id WHERE s.node_id % 31 = 3"
+ORACLES |= {f"prepared_{k}": ORACLES[f"geodesic_{k}"] for k in ("predecessors", "path")}

@@ -47,6 +47,13 @@ def _rounded(df, *cols):
     return df.withColumns({c: F.round(c, 6) for c in cols})
 
 
+def _projected(v, f):
+    """Visible faces with their rings' first corner and area, depth, place in order and normal."""
+    p = m.project_mesh_2d(f, v, normals=True)
+    area = F.expr("aggregate(sequence(0, 2), cast(0 as double), (s, k) -> s + ring[k].u * ring[k + 1].v - ring[k + 1].u * ring[k].v) / 2")
+    return _rounded(p.select("mesh_id", "face_id", "depth", F.col("ord").cast("long").alias("ord"), F.col("ring")[0]["u"].alias("u"), F.col("ring")[3]["v"].alias("v"), area.alias("area"), "nx", "ny", "nz"), "depth", "area", "nx", "ny", "nz")
+
+
 def _capped(v, f):
     """Triangles that close each sheet's border and their area seen from above, which is the border's own."""
     t = m.triangulate_rings(m.trace_loops(m.boundary_halfedges(f)), v)
@@ -80,8 +87,9 @@ QUERIES = {
     "trace_loops": _q(lambda v, f: m.trace_loops(m.boundary_halfedges(f))),
     "triangulate_rings": _q(lambda v, f: m.triangulate_rings(m.trace_loops(m.boundary_halfedges(f)), v)),
     "triangulated_area": _q(_capped),
-    "project_mesh_2d": _q(lambda v, f: _rounded(m.project_mesh_2d(f, v).select("mesh_id", "face_id", "depth"), "depth")),
-    "projection_bbox": _q(lambda v, f: m.projection_bbox(m.project_mesh_2d(f, v))),
+    "project_mesh_2d": _q(_projected),
+    # from below: nothing is visible, so the box is empty
+    "projection_bbox": _q(lambda v, f: m.projection_bbox(m.project_mesh_2d(f, v)).unionByName(m.projection_bbox(m.project_mesh_2d(f, v, front="-"), f).withColumn("mesh_id", -1 - F.col("mesh_id")))),
 }
 _TWO = ", two AS (SELECT mesh_id, lo AS a, hi AS b, {0} AS w FROM edges e {1} UNION ALL SELECT mesh_id, hi, lo, {0} FROM edges e {1})"
 _LENGTH = _TWO.format(
@@ -133,7 +141,10 @@ ORACLES = {
             FROM vertices v JOIN two t ON t.mesh_id = v.mesh_id AND t.a = v.vertex_id JOIN vertices n ON n.mesh_id = v.mesh_id AND n.vertex_id = t.b GROUP BY v.mesh_id, v.vertex_id""",
         "boundary_halfedges": "SELECT mesh_id, pos, tail, head FROM (SELECT *, count(*) OVER (PARTITION BY mesh_id, least(tail, head), greatest(tail, head)) AS n FROM half) WHERE n = 1",
         "exposed_halfedges": ", gone AS (SELECT DISTINCT mesh_id, face_id FROM half WHERE tail % 29 = 17), lost AS (SELECT DISTINCT mesh_id, least(tail, head) AS lo, greatest(tail, head) AS hi FROM half JOIN gone USING (mesh_id, face_id)) SELECT h.mesh_id, pos, tail, head FROM half h JOIN lost l ON l.mesh_id = h.mesh_id AND l.lo = least(tail, head) AND l.hi = greatest(tail, head) WHERE NOT EXISTS (FROM gone g WHERE g.mesh_id = h.mesh_id AND g.face_id = h.face_id)",
-        "project_mesh_2d": "SELECT f.mesh_id, f.face_id, round((a.z + b.z + c.z) / 3, 6) AS depth FROM faces f JOIN vertices a ON a.mesh_id = f.mesh_id AND a.vertex_id = f.a JOIN vertices b ON b.mesh_id = f.mesh_id AND b.vertex_id = f.b JOIN vertices c ON c.mesh_id = f.mesh_id AND c.vertex_id = f.c WHERE (b.x-a.x)*(c.y-a.y)-(b.y-a.y)*(c.x-a.x) > 0",
-        "projection_bbox": f"SELECT r_regionkey::BIGINT AS mesh_id, 0::DOUBLE AS min_u, 0::DOUBLE AS min_v, {N - 1}::DOUBLE AS max_u, {N - 1}::DOUBLE AS max_v FROM region",
+        "project_mesh_2d": """, flat AS (SELECT f.mesh_id, f.face_id, (a.z + b.z + c.z) / 3 AS depth, a.x AS u, a.y AS v, (b.x-a.x)*(c.y-a.y)-(b.y-a.y)*(c.x-a.x) AS nz, (b.y-a.y)*(c.z-a.z)-(b.z-a.z)*(c.y-a.y) AS nx, (b.z-a.z)*(c.x-a.x)-(b.x-a.x)*(c.z-a.z) AS ny
+                FROM faces f JOIN vertices a ON a.mesh_id = f.mesh_id AND a.vertex_id = f.a JOIN vertices b ON b.mesh_id = f.mesh_id AND b.vertex_id = f.b JOIN vertices c ON c.mesh_id = f.mesh_id AND c.vertex_id = f.c)
+            SELECT mesh_id, face_id, round(depth, 6) AS depth, row_number() OVER (PARTITION BY mesh_id ORDER BY depth, face_id) - 1 AS ord, u, v, round(nz / 2, 6) AS area,
+                round(nx / sqrt(nx*nx+ny*ny+nz*nz), 6) AS nx, round(ny / sqrt(nx*nx+ny*ny+nz*nz), 6) AS ny, round(nz / sqrt(nx*nx+ny*ny+nz*nz), 6) AS nz FROM flat WHERE nz > 0""",
+        "projection_bbox": f"SELECT r_regionkey::BIGINT AS mesh_id, 0::DOUBLE AS min_u, 0::DOUBLE AS min_v, {N - 1}::DOUBLE AS max_u, {N - 1}::DOUBLE AS max_v FROM region UNION ALL SELECT -1 - r_regionkey::BIGINT, 'inf'::DOUBLE, 'inf'::DOUBLE, '-inf'::DOUBLE, '-inf'::DOUBLE FROM region",
     }.items()
 }

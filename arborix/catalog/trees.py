@@ -86,6 +86,7 @@ QUERIES = {
     "contract_nodes": _q(lambda n: trees.contract_nodes(n, _mapping(n))),
     "simplify_skeleton": _q(_simple),
     "adjacency": _q(lambda n: trees.adjacency(n, directed=False)),
+    "adjacency_positions": _q(lambda n: trees.adjacency(n.where("node_id % 5 <> 3"), positions=True)),
     "longest_path": _q(trees.longest_path),
     "longest_paths": _q(lambda n: trees.longest_paths(n, 5, 2.0)),
     "stitch_fragments": _q(lambda n: repair.stitch_fragments(n).select("skeleton_id", "a", "b", F.round("length", 6).alias("length"))),
@@ -210,6 +211,8 @@ ORACLES = {"region_distance": REGION_DISTANCE} | {
                 FROM par p LEFT JOIN key k USING (skeleton_id, node_id) LEFT JOIN up u USING (skeleton_id, node_id) LEFT JOIN low l USING (skeleton_id, node_id))
             SELECT m.skeleton_id, m.node_id, m.target, coalesce(u.anc, -1) AS target_parent, coalesce(u.dist, 0) AS target_weight FROM moved m LEFT JOIN up u ON u.skeleton_id = m.skeleton_id AND u.node_id = m.target""",
         "adjacency": "SELECT skeleton_id, node_id AS row, parent AS col, weight AS value FROM par WHERE parent IS NOT NULL UNION ALL SELECT skeleton_id, parent, node_id, weight FROM par WHERE parent IS NOT NULL",
+        "adjacency_positions": """, part_of AS (SELECT *, row_number() OVER (PARTITION BY skeleton_id ORDER BY node_id) - 1 AS pos FROM forest WHERE node_id % 5 <> 3)
+            SELECT c.skeleton_id, c.pos AS row, p.pos AS col, c.weight AS value FROM part_of c JOIN part_of p ON p.skeleton_id = c.skeleton_id AND p.node_id = c.parent_id""",
         "longest_path": ", far AS (SELECT skeleton_id, min_by(node, (-dist, node)) AS node FROM top GROUP BY ALL) SELECT c.skeleton_id, c.hops AS pos, c.anc AS node_id FROM clo c JOIN far f ON f.skeleton_id = c.skeleton_id AND f.node = c.node",
     }.items()
 }

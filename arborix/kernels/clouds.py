@@ -100,18 +100,33 @@ def synapse_score(q: dict, t: dict, table: ScoreTable) -> float:
     return total
 
 
-def signature(p: np.ndarray, v: np.ndarray, origin: np.ndarray, voxel: float, splat: bool = True) -> dict[int, float]:
-    """Unit-length weights of (voxel, dominant axis) cells: counts spread over eight voxels, damped by the square root."""
+def directions(v: np.ndarray, n_dirs: int) -> np.ndarray:
+    """The bin of each direction, whatever its sign: none, the dominant axis of three, or the nearest of ``n_dirs`` on a half sphere."""
+    if n_dirs <= 1:
+        return np.zeros(len(v), np.int64)
+    if n_dirs == 3:
+        return np.argmax(np.abs(v), 1)
+    # a golden-angle spiral over the upper half
+    k = np.arange(n_dirs) + 0.5
+    z = 1 - k / n_dirs
+    turn = np.pi * (3 - np.sqrt(5)) * k
+    book = np.column_stack([np.sqrt(1 - z * z) * np.cos(turn), np.sqrt(1 - z * z) * np.sin(turn), z])
+    return np.argmax(np.abs(v @ book.T), 1)
+
+
+def signature(p: np.ndarray, v: np.ndarray, origin: np.ndarray, voxel: float, splat: bool = True, n_dirs: int = 3) -> dict[int, float]:
+    """Unit-length weights of (voxel, direction bin) cells: counts spread over eight voxels, damped by the square root."""
     u = (p - origin) / voxel - (0.5 if splat else 0.0)
     low = np.floor(u).astype(np.int64)
     frac = u - low
-    axis = np.argmax(np.abs(v), 1)
+    way = directions(v, n_dirs)
     keys, weights = [], []
     for c in range(8 if splat else 1):
         bit = np.array([c & 1, c >> 1 & 1, c >> 2 & 1])
         weights.append(np.where(bit, frac, 1 - frac).prod(1) if splat else np.ones(len(p)))
         at = low + bit
-        keys.append((((at[:, 0] + (1 << 18)) << 40) | ((at[:, 1] + (1 << 18)) << 21) | (at[:, 2] + (1 << 18)) << 2) | axis)
+        at = at + (1 << 17)
+        keys.append((at[:, 0] << 44 | at[:, 1] << 26 | at[:, 2] << 8) | way)  # 18 bits a voxel, 8 a direction
     key, back = np.unique(np.concatenate(keys), return_inverse=True)
     total = np.bincount(back, np.concatenate(weights), len(key))
     cells = {x: y for x, y in zip(key.tolist(), total.tolist(), strict=True) if y > 0}

@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from arborix.kernels import clouds as k
+from arborix.kernels.points import PointIndex
 from arborix.operators.scores import SYMMETRIES, symmetrize
 from arborix.schema import per_object
 
@@ -153,46 +154,72 @@ def nblast_smart(dots: DataFrame, table: k.ScoreTable, t: float = 90, criterion:
     return _fold(out.select("q", "t", "score"), None, symmetry).join(out.select("q", "t", "exact"), ["q", "t"])
 
 
-def nblast_knn(dots: DataFrame, table: k.ScoreTable, n: int = 20, n_candidates: int = 200, voxel: float = 20.0, symmetry: str = "mean", splat: bool = True, **options) -> DataFrame:
+def nblast_knn(dots: DataFrame, table: k.ScoreTable, n: int = 20, n_candidates: int = 200, voxel: float = 20.0, symmetry: str = "mean", splat: bool = True, n_dirs: int = 3, target: DataFrame | None = None, **options) -> DataFrame:
     """(q, rank, t, score): the n best of each neuron among candidates that share cells of a coarse signature.
 
-    Signatures are joined on their cells, candidates ranked by cosine, made symmetric, filled up by nearest centroid where
-    fewer than n share a cell, and scored exactly. Missing ranks are padded with -1 and -infinity.
+    Signatures (``n_dirs`` direction bins, 256 at most) are joined on their cells, candidates ranked by cosine, filled up by nearest
+    centroid where fewer than n share a cell, and scored exactly. Without ``target`` neurons are compared among themselves: nobody
+    is its own match and candidates count both ways. Missing ranks are padded with -1 and -infinity.
     """
-    low = dots.agg(*[F.min(c).alias(c) for c in "xyz"]).first()
+    if n_dirs > 256:
+        raise ValueError("at most 256 directions")
+    same, other = target is None, dots if target is None else target
+    both_sides = dots.select("x", "y", "z") if same else dots.select("x", "y", "z").unionByName(target.select("x", "y", "z"))
+    low = both_sides.agg(*[F.min(c).alias(c) for c in "xyz"]).first()
+    if low["x"] is None:
+        return dots.sparkSession.createDataFrame([], "q bigint, rank int, t bigint, score double")
     origin = np.array([low[c] for c in "xyz"], float) - voxel
 
     def sign(pdf):
-        cells = k.signature(pdf[["x", "y", "z"]].to_numpy(float), pdf[["vx", "vy", "vz"]].to_numpy(float), origin, voxel, splat)
+        cells = k.signature(pdf[["x", "y", "z"]].to_numpy(float), pdf[["vx", "vy", "vz"]].to_numpy(float), origin, voxel, splat, n_dirs)
         return pd.DataFrame({"neuron_id": pdf.neuron_id.iloc[0], "cell": list(cells), "w": list(cells.values())})
 
-    cells = per_object(dots.select("neuron_id", "x", "y", "z", "vx", "vy", "vz"), "neuron_id", sign, "neuron_id bigint, cell bigint, w double")
-    a, b = cells.select(F.col("neuron_id").alias("q"), "cell", "w"), cells.select(F.col("neuron_id").alias("t"), "cell", F.col("w").alias("u"))
-    cosine = a.join(b, "cell").where("q <> t").groupBy("q", "t").agg(F.sum(F.col("w") * F.col("u")).alias("cosine"))
-    short = cosine.withColumn("r", F.row_number().over(Window.partitionBy("q").orderBy(F.desc("cosine"), "t"))).where(F.col("r") <= n_candidates).select("q", "t")
-    both = short.unionByName(short.select(F.col("t").alias("q"), F.col("q").alias("t"))).distinct()
+    cells = lambda df: per_object(df.select("neuron_id", "x", "y", "z", "vx", "vy", "vz"), "neuron_id", sign, "neuron_id bigint, cell bigint, w double")
+    a, b = cells(dots).select(F.col("neuron_id").alias("q"), "cell", "w"), cells(other).select(F.col("neuron_id").alias("t"), "cell", F.col("w").alias("u"))
+    met = a.join(b, "cell")
+    cosine = (met.where("q <> t") if same else met).groupBy("q", "t").agg(F.sum(F.col("w") * F.col("u")).alias("cosine"))
+    both = cosine.withColumn("r", F.row_number().over(Window.partitionBy("q").orderBy(F.desc("cosine"), "t"))).where(F.col("r") <= n_candidates).select("q", "t")
+    if same:
+        both = both.unionByName(both.select(F.col("t").alias("q"), F.col("q").alias("t"))).distinct()
     ids = dots.select(F.col("neuron_id").alias("q")).distinct()
     lacking = ids.join(both.groupBy("q").count(), "q", "left").where(F.coalesce("count", F.lit(0)) < n).select("q")
-    center = dots.groupBy("neuron_id").agg(*[F.avg(c).alias(c) for c in "xyz"])
-    near = _fill(lacking, center, n)
-    both = both.unionByName(near).distinct()
-    forward = nblast_pairs(dots, both, table, **options)
-    score = _fold(forward, None, None)
+    center = lambda df: df.groupBy("neuron_id").agg(*[F.avg(c).alias(c) for c in "xyz"])
+    both = both.unionByName(_fill(lacking, center(dots), center(other), n, same)).distinct()
+    score = forward = nblast_pairs(dots, both, table, None if same else target, **options)
     if symmetry not in (None, "forward"):
-        back = nblast_pairs(dots, both.select(F.col("t").alias("q"), F.col("q").alias("t")), table, **options)
-        score = _fold(forward, back, symmetry)
+        flip = both.select(F.col("t").alias("q"), F.col("q").alias("t"))
+        score = _fold(forward, nblast_pairs(other, flip, table, None if same else dots, **options), symmetry)
     best = score.withColumn("rank", F.row_number().over(Window.partitionBy("q").orderBy(F.desc("score"), "t"))).where(F.col("rank") <= n)
     slots = ids.select("q", F.explode(F.sequence(F.lit(1), F.lit(n))).alias("rank"))
     return slots.join(best, ["q", "rank"], "left").select("q", "rank", F.coalesce("t", F.lit(-1)).alias("t"), F.coalesce("score", F.lit(float("-inf"))).alias("score"))
 
 
-def _fill(lacking: DataFrame, center: DataFrame, n: int) -> DataFrame:
-    """The n nearest centroids of each lacking neuron: each partition's best n, then the best of these."""
-    c = center.select(F.col("neuron_id").alias("t"), *[F.col(x).alias(f"t{x}") for x in "xyz"])
-    q = lacking.join(center.withColumnRenamed("neuron_id", "q"), "q")
-    d = sum(((F.col(x) - F.col(f"t{x}")) ** 2 for x in "xyz"), F.lit(0.0))
-    met = q.join(c, F.col("q") != F.col("t")).withColumn("d", d)  # a query set against all rows
-    return met.withColumn("r", F.row_number().over(Window.partitionBy("q").orderBy("d", "t"))).where(F.col("r") <= n).select("q", "t")
+def _fill(lacking: DataFrame, queries: DataFrame, targets: DataFrame, n: int, same: bool) -> DataFrame:
+    """The n nearest centroids of each lacking neuron: all targets as one index per batch of queries' partition, no pairs on the wire.
+
+    Centroids are four numbers a neuron; they travel to every task, so they must be few enough for one (checked: ten million).
+    """
+    c = targets.select("neuron_id", "x", "y", "z")
+    if c.count() > 10_000_000:
+        raise ValueError("too many targets to fill short lists by nearest centroid; raise n_candidates or voxel")
+    rows = c.toArrow().sort_by("neuron_id")
+    shared = lacking.sparkSession.sparkContext.broadcast((rows["neuron_id"].to_numpy(), np.column_stack([rows[x].to_numpy() for x in "xyz"])))
+
+    def run(batches):
+        ids, xyz = shared.value
+        index = PointIndex(xyz)
+        for b in batches:
+            if not len(ids) or not b.num_rows:
+                continue
+            q = b.column("q").to_numpy()
+            near = index.neighbours(np.column_stack([b.column(x).to_numpy() for x in "xyz"]), min(n + same, len(ids)))
+            who, t = np.repeat(q, near.shape[1]), ids[near].ravel()
+            keep = who != t if same else np.ones(len(t), bool)
+            place = np.cumsum(keep.reshape(near.shape), 1).ravel()
+            keep &= place <= n
+            yield pa.RecordBatch.from_arrays([pa.array(who[keep]), pa.array(t[keep])], ["q", "t"])
+
+    return lacking.join(queries.withColumnRenamed("neuron_id", "q"), "q").mapInArrow(run, "q bigint, t bigint")
 
 
 def synblast(connectors: DataFrame, table: k.ScoreTable, target: DataFrame | None = None, by_type: bool = True, cn_types=None, normalize: bool = True, symmetry: str | None = None, block: int = BLOCK) -> DataFrame:

@@ -13,6 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from arborix.kernels.forest import CycleError, Forest
 from arborix.kernels.graph import Graph, Items, Union, bridges as _bridges, labels, spanning_forest
 from arborix.plans.closure import _cut
 from arborix.schema import only, per_object
@@ -287,9 +288,26 @@ def csgraph_dijkstra(matrix: DataFrame, indices: DataFrame | None = None, direct
     return geodesic_matrix(edges, indices, None, None, directed, not unweighted, limit, missing=float("inf"))
 
 
-def csgraph_components(matrix: DataFrame, nodes: DataFrame | None = None) -> DataFrame:
-    """(node_id, n_components, label) with dense labels in order of the smallest node."""
-    found = connected_components(matrix.select("graph_id", F.col("row").alias("src"), F.col("col").alias("dst")), nodes)
+def csgraph_components(matrix: DataFrame, nodes: DataFrame | None = None, checks: bool = True) -> DataFrame:
+    """(node_id, n_components, label) with dense labels in order of the smallest node.
+
+    With ``checks`` a matrix that is no forest of child rows and parent columns is an error when the result is read: a row with
+    two values above 0, or a cycle.
+    """
+    edges = matrix.select("graph_id", F.col("row").alias("src"), F.col("col").alias("dst"), *([F.col("value").alias("weight")] if "value" in matrix.columns else []))
+
+    def fn(g):
+        if checks:
+            up = np.unique(np.stack([g.src, g.dst])[:, g.weight > 0 if g.weight is not None else slice(None)], axis=1)
+            if len(np.unique(up[0])) < up.shape[1]:
+                raise ValueError(f"graph {g.id} is not a tree: each node must have at most one parent")
+            parent = np.full(len(g.ids), -1)
+            parent[g.src] = g.dst
+            if Forest(np.arange(len(g.ids)), parent).has_cycles():
+                raise CycleError(f"graph {g.id} is not a tree: it contains cycles")
+        return g.frame(node_id=g.ids, component=g.ids[labels(len(g.ids), g.src, g.dst)])
+
+    found = _each(_rows(edges, nodes), fn, "node_id bigint, component bigint")
     w = Window.partitionBy("graph_id").orderBy("component")
     found = found.withColumn("label", F.dense_rank().over(w) - 1)
     return found.select("graph_id", "node_id", (F.max("label").over(Window.partitionBy("graph_id")) + 1).cast("int").alias("n_components"), F.col("label").cast("int").alias("label"))

@@ -110,8 +110,8 @@ def triangulate_rings(rings: DataFrame, vertices: DataFrame) -> DataFrame:
     return met.groupBy("mesh_id", "ring_id").applyInPandas(fn, "mesh_id bigint, ring_id bigint, a bigint, b bigint, c bigint")
 
 
-def project_mesh_2d(faces: DataFrame, vertices: DataFrame, axes: tuple[str, str] = ("x", "y"), depth: str = "z", front: str = "+", cull: bool = True) -> DataFrame:
-    """(face_id, ring, depth, ord): visible faces as closed rings of four points, the farthest first."""
+def project_mesh_2d(faces: DataFrame, vertices: DataFrame, axes: tuple[str, str] = ("x", "y"), depth: str = "z", front: str = "+", cull: bool = True, normals: bool = False) -> DataFrame:
+    """(face_id, ring, depth, ord [, nx, ny, nz]): visible faces as closed rings of four points, the farthest first, with unit normals if wanted."""
     met = faces
     for end in "abc":
         met = met.join(vertices.select("mesh_id", F.col("vertex_id").alias(end), *[F.col(c).alias(f"{end}{c}") for c in "xyz"]), ["mesh_id", end])
@@ -122,15 +122,25 @@ def project_mesh_2d(faces: DataFrame, vertices: DataFrame, axes: tuple[str, str]
         met = met.where(det > 0 if front == "+" else det < 0)
     point = lambda e: F.struct(p(e, u).alias("u"), p(e, v).alias("v"))
     deep = (p("a", depth) + p("b", depth) + p("c", depth)) / 3
-    out = met.select("mesh_id", "face_id", F.array(*[point(e) for e in "abca"]).alias("ring"), deep.alias("depth"))
+    more = []
+    if normals:
+        side = lambda i, j: (p("b", i) - p("a", i)) * (p("c", j) - p("a", j)) - (p("b", j) - p("a", j)) * (p("c", i) - p("a", i))
+        cross = [side("y", "z"), side("z", "x"), side("x", "y")]
+        size = F.sqrt(sum((x * x for x in cross), F.lit(0.0)))
+        more = [F.when(size > 0, x / size).otherwise(F.lit(0.0)).alias(f"n{c}") for x, c in zip(cross, "xyz", strict=True)]
+    out = met.select("mesh_id", "face_id", F.array(*[point(e) for e in "abca"]).alias("ring"), deep.alias("depth"), *more)
     order = F.col("depth").asc() if front == "+" else F.col("depth").desc()
     return out.withColumn("ord", F.row_number().over(Window.partitionBy("mesh_id").orderBy(order, "face_id")) - 1)
 
 
-def projection_bbox(projected: DataFrame) -> DataFrame:
-    """Bounding box of each mesh's projected rings."""
+def projection_bbox(projected: DataFrame, objects: DataFrame | None = None) -> DataFrame:
+    """Bounding box of each mesh's projected rings; meshes of ``objects`` (mesh_id) without any have an empty one, from infinity to -infinity."""
     p = projected.select("mesh_id", F.explode("ring").alias("p"))
-    return p.groupBy("mesh_id").agg(*[getattr(F, f)(f"p.{c}").alias(f"{f}_{c}") for f in ("min", "max") for c in "uv"])
+    box = p.groupBy("mesh_id").agg(*[getattr(F, f)(f"p.{c}").alias(f"{f}_{c}") for f in ("min", "max") for c in "uv"])
+    if objects is None:
+        return box
+    box = objects.select("mesh_id").distinct().join(box, "mesh_id", "left")
+    return box.na.fill({f"{f}_{c}": far for f, far in (("min", float("inf")), ("max", float("-inf"))) for c in "uv"})
 
 
 def _each(vertices: DataFrame, faces: DataFrame, fn, schema: str) -> DataFrame:

@@ -24,27 +24,33 @@ def _drop(nodes: DataFrame, choose, preserve: str | None, *more: str):
         out = f.topology()
         if preserve:
             out |= p[preserve].to_numpy(bool)
+        pick = choose(p)
         for seg in f.linear_segments():
-            out[choose(seg, p)] = True
+            out[pick(seg)] = True
         return out
 
     return rewired(nodes, keep, *more, *([preserve] if preserve else []))
 
 
+def _of(choose, xyz: np.ndarray, limit: float):
+    """The choice among one skeleton's coordinates, as a function of the segment."""
+    return lambda seg: choose(seg, xyz, limit)
+
+
 def downsample_skeleton(nodes: DataFrame, factor: int, preserve: str | None = None):
     """Every ``factor``-th node of a segment, counted from its distal end."""
     k.every([], factor)
-    return _drop(nodes, lambda seg, p: k.every(seg, factor), preserve)
+    return _drop(nodes, lambda p: lambda seg: k.every(seg, factor), preserve)
 
 
 def simplify_rdp(nodes: DataFrame, epsilon: float, preserve: str | None = None):
     need(nodes, "x", "y", "z")
-    return _drop(nodes, lambda seg, p: k.rdp(seg, _xyz(p), epsilon), preserve, "x", "y", "z")
+    return _drop(nodes, lambda p: _of(k.rdp, _xyz(p), epsilon), preserve, "x", "y", "z")
 
 
 def simplify_vw(nodes: DataFrame, min_area: float, preserve: str | None = None):
     need(nodes, "x", "y", "z")
-    return _drop(nodes, lambda seg, p: k.visvalingam(seg, _xyz(p), min_area), preserve, "x", "y", "z")
+    return _drop(nodes, lambda p: _of(k.visvalingam, _xyz(p), min_area), preserve, "x", "y", "z")
 
 
 def resample_skeleton(nodes: DataFrame, spacing: float) -> DataFrame:

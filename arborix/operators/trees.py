@@ -104,8 +104,16 @@ def contract_nodes(nodes: DataFrame, mapping: DataFrame) -> DataFrame:
     return per_object(out, "skeleton_id", checked, f"{NODE}, parent_id bigint")
 
 
-def adjacency(nodes: DataFrame, directed: bool = True, transpose: bool = False) -> DataFrame:
-    """Sparse rows (row, col, value): child to parent; both ways if undirected; flipped if transposed."""
+def adjacency(nodes: DataFrame, directed: bool = True, transpose: bool = False, positions: bool = False) -> DataFrame:
+    """Sparse rows (row, col, value): child to parent; both ways if undirected; flipped if transposed.
+
+    Rows and columns are node ids, or with ``positions`` the nodes' row numbers by ord (by id without it), as a compressed matrix has them.
+    """
+    if positions:
+        at = node_indices(nodes, nodes.select("skeleton_id", "node_id"))
+        child, parent = (at.select("skeleton_id", F.col("node_id").alias(c), F.col("pos").alias(n)) for c, n in (("node_id", "own"), ("parent_id", "up")))
+        nodes = nodes.join(child, ["skeleton_id", "node_id"]).join(parent, ["skeleton_id", "parent_id"], "left")
+        nodes = nodes.withColumns({"node_id": F.col("own"), "parent_id": F.coalesce("up", F.lit(NONE))})
     e = plans.parents(nodes).where("parent is not null").select("skeleton_id", F.col("node_id").alias("row"), F.col("parent").alias("col"), F.col("weight").alias("value"))
     flip = e.select("skeleton_id", F.col("col").alias("row"), F.col("row").alias("col"), "value")
     return e.unionByName(flip) if not directed else flip if transpose else e

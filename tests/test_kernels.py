@@ -161,3 +161,78 @@ def test_weights_written_twice(spark):
     with graphs.GeodesicGraph(edges) as g:
         assert g.set_weights(twice).edges.first().weight == 5.0
         assert g.set_weights(twice.drop("ord")).edges.first().weight == 7.0
+
+
+def test_direction_bins_ignore_signs_and_cover_the_sphere():
+    rng = np.random.default_rng(9)
+    v = rng.normal(size=(500, 3))
+    v /= np.linalg.norm(v, axis=1, keepdims=True)
+    for n in (0, 1, 3, 12, 256):
+        bins = clouds.directions(v, n)
+        assert (clouds.directions(-v, n) == bins).all() and bins.min() == 0 and bins.max() == max(0, n - 1) or n == 256
+    assert clouds.directions(np.array([[0.9, 0.1, 0.1], [0, -1, 0], [0, 0, 1.0]]), 3).tolist() == [0, 1, 2]
+
+
+def test_nearest_neurons_of_a_second_table(spark):
+    from arborix.operators import clouds as ops
+
+    rng = np.random.default_rng(10)
+    rows = []
+    for neuron in range(12):
+        p, v = rng.normal(size=(20, 3)) + rng.integers(0, 2, 3), rng.normal(size=(20, 3))
+        v /= np.linalg.norm(v, axis=1, keepdims=True)
+        rows += [(neuron, i, *map(float, x), *map(float, y)) for i, (x, y) in enumerate(zip(p, v, strict=True))]
+    dots = spark.createDataFrame(rows, "neuron_id bigint, point_id bigint, " + ", ".join(f"{c} double" for c in ("x", "y", "z", "vx", "vy", "vz")))
+    table = clouds.ScoreTable([[10 - 3 * r + 2 * s for s in range(4)] for r in range(6)], [0, 0.2, 0.4, 0.8, 1.2, 2], [0, 0.25, 0.5, 0.75])
+    query, target = dots.where("neuron_id < 4"), dots.where("neuron_id >= 3")
+    for voxel, n_dirs in ((2.0, 3), (0.01, 7)):  # the small cells share nothing: all lists are filled by nearest centroid
+        got = ops.nblast_knn(query, table, 3, voxel=voxel, n_dirs=n_dirs, target=target, symmetry="forward").collect()
+        assert sorted((r.q, r.rank) for r in got) == [(q, k) for q in range(4) for k in (1, 2, 3)]
+        exact = {(r.q, r.t): r.score for r in ops.nblast(query, target, table).collect()}
+        assert all(r.score == pytest.approx(exact[r.q, r.t]) for r in got)
+        assert next(r.t for r in got if (r.q, r.rank) == (3, 1)) == 3  # no self-exclusion between two tables
+        if voxel == 2.0:
+            for q in range(4):
+                best = sorted((s for (a, _), s in exact.items() if a == q), reverse=True)[:3]
+                assert [r.score for r in sorted(got) if r.q == q] == pytest.approx(best)
+
+
+def test_checks_of_sparse_trees(spark):
+    m = lambda rows: spark.createDataFrame([(1, *r) for r in rows], "graph_id bigint, row bigint, col bigint, value double")
+    assert graphs.csgraph_components(m([(1, 0, 1.0), (2, 0, 1.0)])).count() == 3
+    with pytest.raises(Exception, match="at most one parent"):
+        graphs.csgraph_components(m([(1, 0, 1.0), (1, 2, 1.0)])).collect()
+    with pytest.raises(Exception, match="contains cycles"):
+        graphs.csgraph_components(m([(1, 0, 1.0), (0, 1, 1.0)])).collect()
+    assert graphs.csgraph_components(m([(1, 0, 1.0), (0, 1, 1.0)]), checks=False).count() == 2
+
+
+def test_jobs_are_cancelled_by_name(spark):
+    import threading
+    import time
+
+    from arborix.functions import runtime
+
+    with pytest.raises(KeyError), runtime.jobs(spark, "left early"):
+        raise KeyError
+    assert spark.sparkContext.getLocalProperty("spark.jobGroup.id") is None
+    errors = []
+
+    def slow():
+        try:
+            with runtime.jobs(spark, "slow"):
+                spark.range(8, numPartitions=8).selectExpr("java_method('java.lang.Thread', 'sleep', id * 0 + 60000L)").collect()
+        except Exception as e:
+            errors.append(e)
+
+    from pyspark import InheritableThread
+
+    t = InheritableThread(target=slow)
+    t.start()
+    for _ in range(100):
+        if runtime.progress(spark, "slow")[1]:
+            break
+        time.sleep(0.1)
+    runtime.cancel(spark, "slow")
+    t.join(30)
+    assert not t.is_alive() and errors and threading.active_count()
