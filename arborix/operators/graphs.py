@@ -40,8 +40,9 @@ def _rows(edges: DataFrame, nodes: DataFrame | None = None, **more: DataFrame) -
 
 
 class _Parts:
-    def __init__(self, pdf: pd.DataFrame, directed: bool = False, weighted: bool = True):
+    def __init__(self, pdf: pd.DataFrame, directed: bool = False, weighted: bool = True, blocks: int = 1):
         self.id = pdf.graph_id.iloc[0]
+        self.block, self.blocks = int(pdf.block.iloc[0]) if blocks > 1 else 0, blocks
         e = pdf[pdf.kind == 0].sort_values(["ord", "a", "b"], kind="stable")
         self.edges = e
         self.ids = np.unique(np.concatenate([e.a, e.b, pdf[pdf.kind == 1].a]).astype(np.int64))
@@ -49,6 +50,10 @@ class _Parts:
         self.weight = e.w.to_numpy(float) if weighted and e.w.notna().all() else None
         self.pdf, self.directed = pdf, directed
 
+    def mine(self, rows: np.ndarray) -> np.ndarray:
+        """Those of some sources that this task answers for."""
+        return rows[np.arange(len(rows)) % self.blocks == self.block]
+
     def graph(self) -> Graph:
         return Graph(len(self.ids), self.src, self.dst, self.weight, self.directed)
 
@@ -63,8 +68,12 @@ class _Parts:
         return out
 
 
-def _each(rows: DataFrame, fn, schema: str, directed: bool = False, weighted: bool = True) -> DataFrame:
-    return per_object(rows, "graph_id", lambda pdf: fn(_Parts(pdf, directed, weighted)), "graph_id bigint, " + schema)
+def _each(rows: DataFrame, fn, schema: str, directed: bool = False, weighted: bool = True, blocks: int = 1) -> DataFrame:
+    """The kernel on each graph; with ``blocks`` in as many tasks, each with a copy of the graph and ``g.mine`` telling its own nodes."""
+    if blocks == 1:
+        return per_object(rows, "graph_id", lambda pdf: fn(_Parts(pdf, directed, weighted)), "graph_id bigint, " + schema)
+    rows = rows.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    return per_object(rows, ["graph_id", "block"], lambda pdf: fn(_Parts(pdf, directed, weighted, blocks)), "graph_id bigint, " + schema)
 
 
 def connected_components(edges: DataFrame, nodes: DataFrame | None = None) -> DataFrame:
@@ -208,13 +217,16 @@ def parents_from_edges(edges: DataFrame, nodes: DataFrame | None = None, roots:
     return _each(_rows(edges, nodes, roots=roots), fn, "node_id bigint, parent_id bigint, ord bigint")
 
 
-def geodesic_matrix(edges, sources=None, targets=None, nodes=None, directed=False, weighted=True, limit=np.inf, predecessors=False, missing=-1.0) -> DataFrame:
-    """(source, target, dist [, pred]); ``missing`` where a target is out of reach or beyond the limit (inclusive)."""
+def geodesic_matrix(edges, sources=None, targets=None, nodes=None, directed=False, weighted=True, limit=np.inf, predecessors=False, missing=-1.0, blocks=1) -> DataFrame:
+    """(source, target, dist [, pred]); ``missing`` where a target is out of reach or beyond the limit (inclusive).
+
+    ``blocks`` deals the sources of each graph over so many tasks.
+    """
 
     some_sources, some_targets = sources is not None, targets is not None
 
     def fn(g):
-        s = g.extra(2)[0] if some_sources else np.arange(len(g.ids))
+        s = g.mine(g.extra(2)[0] if some_sources else np.arange(len(g.ids)))
         t = g.extra(3)[0] if some_targets else np.arange(len(g.ids))
         graph, rows = g.graph(), []
         for x in s.tolist():
@@ -227,7 +239,7 @@ def geodesic_matrix(edges, sources=None, targets=None, nodes=None, directed=Fals
         out.insert(0, "graph_id", g.id)
         return out
 
-    return _each(_rows(edges, nodes, sources=sources, targets=targets), fn, "source bigint, target bigint, dist double" + ", pred bigint" * predecessors, directed, weighted)
+    return _each(_rows(edges, nodes, sources=sources, targets=targets), fn, "source bigint, target bigint, dist double" + ", pred bigint" * predecessors, directed, weighted, blocks)
 
 
 def geodesic_predecessors(edges, **options) -> DataFrame:
@@ -250,11 +262,14 @@ def geodesic_path(edges: DataFrame, pairs: DataFrame, directed: bool = False, we
     return _each(_rows(edges, None, pairs=pairs), fn, "source bigint, target bigint, pos bigint, node_id bigint", directed, weighted)
 
 
-def geodesic_extreme(edges, sources, targets, far=False, directed=False, weighted=True) -> DataFrame:
-    """Nearest (farthest) reachable target other than the source: (node_id, dist, target), (-1, -1) if none, ties to the least id."""
+def geodesic_extreme(edges, sources, targets, far=False, directed=False, weighted=True, blocks=1) -> DataFrame:
+    """Nearest (farthest) reachable target other than the source: (node_id, dist, target), (-1, -1) if none, ties to the least id.
+
+    ``blocks`` deals the sources of each graph over so many tasks.
+    """
 
     def fn(g):
-        s, t = g.extra(2)[0], np.unique(g.extra(3)[0])
+        s, t = g.mine(g.extra(2)[0]), np.unique(g.extra(3)[0])
         graph, dist, who = g.graph(), [], []
         for x in s.tolist():
             d = graph.search([x])[0][t]
@@ -264,7 +279,7 @@ def geodesic_extreme(edges, sources, targets, far=False, directed=False, weighte
             who.append(g.ids[t[j]] if j >= 0 else -1)
         return g.frame(node_id=g.ids[s], dist=dist, target=who)
 
-    return _each(_rows(edges, None, sources=sources, targets=targets), fn, "node_id bigint, dist double, target bigint", directed, weighted)
+    return _each(_rows(edges, None, sources=sources, targets=targets), fn, "node_id bigint, dist double, target bigint", directed, weighted, blocks)
 
 
 def geodesic_clusters(edges: DataFrame, max_dist: float, nodes=None, seeds=None, directed=False, weighted=True) -> DataFrame:

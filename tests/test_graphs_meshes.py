@@ -71,6 +71,9 @@ def test_operators(spark):
     edges = spark.createDataFrame([(1, 0, 10, 20, 1.0), (1, 1, 20, 30, 1.0), (1, 2, 10, 30, 5.0), (2, 3, 7, 8, 2.0)], "graph_id bigint, edge_id bigint, src bigint, dst bigint, weight double")
     d = {(r.graph_id, r.source, r.target): r.dist for r in graphs.geodesic_matrix(edges).collect()}
     assert d[(1, 10, 30)] == 2 and d[(2, 7, 8)] == 2
+    assert {(r.graph_id, r.source, r.target): r.dist for r in graphs.geodesic_matrix(edges, blocks=3).collect()} == d
+    some = edges.selectExpr("graph_id", "src as node_id").distinct()
+    assert sorted(graphs.geodesic_extreme(edges, some, some, blocks=2).collect()) == sorted(graphs.geodesic_extreme(edges, some, some).collect())
     assert sorted(r.edge_id for r in graphs.minimum_spanning_tree(edges).collect()) == [0, 1, 3]
     assert sorted(r.edge_id for r in graphs.spanning_forest_at_scale(edges).collect()) == [0, 1, 3]
     prepared = graphs.GeodesicGraph(edges)
