@@ -134,7 +134,18 @@ def minimum_spanning_tree(edges: DataFrame, maximize: bool = False) -> DataFrame
     return _each(_rows(edges), fn, "ord bigint, edge_id bigint")
 
 
-HELD = 200_000  # edges whose local forest a task finds at once
+HELD = 200_000  # edges whose forest a task finds at once
+
+
+def _forest_of(t: pa.Table) -> pa.Table:
+    """The edges of a table that its spanning forests keep, by (w, edge_id)."""
+    t = t.combine_chunks().take(pa.array(np.lexsort((t["edge_id"].to_numpy(), t["w"].to_numpy()))))
+    g = t["graph_id"].to_numpy()
+    ends = np.stack([np.concatenate([g, g]), np.concatenate([t["a"].to_numpy(), t["b"].to_numpy()])])
+    code = np.unique(ends, axis=1, return_inverse=True)[1].ravel()
+    u = Union(int(code.max(initial=-1)) + 1)
+    keep = [k for k, (x, y) in enumerate(zip(code[: len(g)].tolist(), code[len(g) :].tolist(), strict=True)) if u.join(x, y)]
+    return t.take(pa.array(keep, pa.int64()))
 
 
 def _local_forests(batches):
@@ -143,15 +154,7 @@ def _local_forests(batches):
     size = 0
 
     def reduced() -> pa.Table:
-        t = pa.concat_tables(held).combine_chunks()
-        order = np.lexsort((t["edge_id"].to_numpy(), t["w"].to_numpy()))
-        t = t.take(pa.array(order))
-        g = t["graph_id"].to_numpy()
-        ends = np.stack([np.concatenate([g, g]), np.concatenate([t["a"].to_numpy(), t["b"].to_numpy()])])
-        code = np.unique(ends, axis=1, return_inverse=True)[1].ravel()
-        u = Union(int(code.max(initial=-1)) + 1)
-        keep = [k for k, (x, y) in enumerate(zip(code[: len(g)].tolist(), code[len(g) :].tolist(), strict=True)) if u.join(x, y)]
-        return t.take(pa.array(keep, pa.int64()))
+        return _forest_of(pa.concat_tables(held))
 
     for b in batches:
         held.append(pa.Table.from_batches([b]))
@@ -169,7 +172,8 @@ def _local_forests(batches):
 def spanning_forest_at_scale(edges: DataFrame, maximize: bool = False) -> DataFrame:
     """The same edges (graph_id, edge_id) for graphs larger than a task: Boruvka's rounds over DataFrames.
 
-    Each task first drops what its own forest drops. In a round every component picks its lightest edge; the picks point
+    Each task first drops what its own forest drops; graphs left with at most ``HELD`` edges (counted) are finished in one
+    group each, the others in rounds. In a round every component picks its lightest edge; the picks point
     along trees whose roots are the two components that picked the same edge, so pointer doubling over the picks names the new
     components. Of parallel edges between two components only the lightest goes on.
     """
@@ -177,15 +181,17 @@ def spanning_forest_at_scale(edges: DataFrame, maximize: bool = False) -> DataFr
     columns = "graph_id bigint, edge_id bigint, w double, a bigint, b bigint"
     e = edges.select(F.col("graph_id").cast("long").alias("graph_id"), F.col("edge_id").cast("long").alias("edge_id"), (F.col("weight") * sign).cast("double").alias("w"), F.col("src").cast("long").alias("a"), F.col("dst").cast("long").alias("b"))
     e = _cut(e.where("a <> b").mapInArrow(_local_forests, columns))
-    chosen = None
+    large = e.groupBy("graph_id").count().where(F.col("count") > HELD).select("graph_id")
+    few = e.join(large, "graph_id", "left_anti").select("graph_id", "edge_id", "w", "a", "b")
+    chosen = few.groupBy("graph_id").applyInArrow(_forest_of, columns).select("graph_id", "edge_id")
+    e = e.join(large, "graph_id", "left_semi")
     while True:
         key = lambda c, o: e.select("graph_id", F.col(c).alias("c"), F.struct("w", "edge_id", F.col(o).alias("to")).alias("k"))
         pick = key("a", "b").unionByName(key("b", "a")).groupBy("graph_id", "c").agg(F.min("k").alias("k"))
         pick = _cut(pick.select("graph_id", "c", F.col("k.edge_id").alias("edge_id"), F.col("k.to").alias("to")))
         if not pick.limit(1).count():
-            return chosen if chosen is not None else pick.select("graph_id", "edge_id")
-        found = pick.select("graph_id", "edge_id").distinct()
-        chosen = found if chosen is None else chosen.unionByName(found)
+            return chosen
+        chosen = chosen.unionByName(pick.select("graph_id", "edge_id").distinct())
         back = pick.select("graph_id", F.col("c").alias("to"), F.col("to").alias("up"))
         # two components that picked the same edge: the smaller is the root
         point = pick.join(back, ["graph_id", "to"]).select("graph_id", "c", F.when((F.col("up") == F.col("c")) & (F.col("c") < F.col("to")), F.col("c")).otherwise(F.col("to")).alias("to"))
