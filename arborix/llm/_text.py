@@ -56,8 +56,8 @@ def buffers(arr: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data[off[0] : off[-1]], off - off[0]
 
 
-def slices(arr: pa.Array, limit: int = 4 << 20, rows: int = 50_000) -> Iterator[tuple[int, int]]:
-    """Ranges of at most ``rows`` documents and ``limit`` bytes together (one document at least)."""
+def slices(arr: pa.Array, limit: int = 1 << 20, rows: int = 50_000) -> Iterator[tuple[int, int]]:
+    """Ranges of at most ``rows`` documents and ``limit`` bytes together (one document at least); freed memory goes back at the end."""
     _, off = buffers(arr)
     lo, n = 0, len(arr)
     while lo < n:
@@ -65,6 +65,7 @@ def slices(arr: pa.Array, limit: int = 4 << 20, rows: int = 50_000) -> Iterator[
         hi = min(hi, lo + rows)
         yield lo, hi
         lo = hi
+    trim()
 
 
 @dataclass

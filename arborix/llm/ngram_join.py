@@ -135,7 +135,7 @@ def _passed(src: DataFrame, level: np.ndarray, nb: int) -> DataFrame:
         level = shared.value
         for b in batches:
             col = b.column("text")
-            for lo, hi in slices(col):
+            for lo, hi in slices(col, 2 << 20):
                 keys, off = sets_of(col.slice(lo, hi - lo))
                 n, skey = np.diff(off), set_keys(keys, off)
                 base = (part << 44) | (k << 16)

@@ -107,7 +107,7 @@ class FingerprintIndex:
         def run(batches):
             for b in batches:
                 col, ids = b.column("text"), ids_of(b.column("kid"))
-                for lo, hi in slices(col):
+                for lo, hi in slices(col, 2 << 20):
                     w = words(col.slice(lo, hi - lo))
                     _, doc, at, key = anchors(w, hash_words(w))
                     first = np.concatenate([[True], at[1:] != at[:-1]]) if len(at) else np.zeros(0, bool)
@@ -175,7 +175,7 @@ def _windows(texts: DataFrame, nb: int) -> DataFrame:
     def run(batches):
         for b in batches:
             col, ids, marks = b.column("text"), ids_of(b.column("kid")), b.column("places").to_pylist()
-            for lo, hi in slices(col):
+            for lo, hi in slices(col, 2 << 20):
                 w = words(col.slice(lo, hi - lo))
                 h = hash_words(w)
                 start, doc, at, key = anchors(w, h)
