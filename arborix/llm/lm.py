@@ -26,11 +26,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from arborix.llm._spark import crc_of_id, n_buckets, save, text_of
-from arborix.llm._text import _LOWER, buffers, hash_words, mix, slices, trim, words
+from arborix.llm._text import _LOWER, Words, buffers, hash_words, mix, slices, stretch_sums, trim, words
 
-DEPTH, END = 5, 0xFF
+DEPTH, END = 5, 0xFF  # a run is a context and a byte, a node a context and a decision: seven bytes at most
 _END_TOKEN = np.uint64(0x656E642D6D61726B)  # no word hash is meant to equal it
-_HALF, _ROWS = np.log(0.5), 2048
+_HALF = np.log(0.5)
 # bytes whose runs are made at once; bytes and distinct runs after which a unit of texts ends
 _PIECE, _UNIT, _UNIT_RUNS = 1 << 20, 32 << 20, 1_000_000
 
@@ -79,14 +79,14 @@ def _unpacked(raw: bytes) -> bytes:
 
 
 def _packed_runs(g: np.ndarray) -> bytes:
-    """Sorted runs (six bytes each), byte by byte: neighbours share most of them."""
-    return _packed(g.astype("<i8").view(np.uint8).reshape(-1, 8)[:, :6].T.tobytes())
+    """Sorted runs, byte by byte: neighbours share most of them."""
+    return _packed(g.astype("<i8").view(np.uint8).reshape(-1, 8)[:, : DEPTH + 1].T.tobytes())
 
 
 def _unpacked_runs(raw: bytes) -> np.ndarray:
-    planes = np.frombuffer(_unpacked(raw), np.uint8).reshape(6, -1)
+    planes = np.frombuffer(_unpacked(raw), np.uint8).reshape(DEPTH + 1, -1)
     out = np.zeros((planes.shape[1], 8), np.uint8)
-    out[:, :6] = planes.T
+    out[:, : DEPTH + 1] = planes.T
     return out.view("<i8").ravel().astype(np.int64)
 
 
@@ -143,102 +143,6 @@ def block(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return _lgamma(a + 0.5) + _lgamma(b + 0.5) - np.log(np.pi) - _lgamma(a + b + 1)
 
 
-def _decisions(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Zeros and ones at each of the 255 inner nodes of the byte's binary tree."""
-    t = np.zeros((len(counts), 512))
-    t[:, 256:] = counts
-    for k in range(255, 0, -1):
-        t[:, k] = t[:, 2 * k] + t[:, 2 * k + 1]
-    k = np.arange(1, 256)
-    return t[:, 2 * k], t[:, 2 * k + 1]
-
-
-class ContextTree:
-    """The mixture in memory, from rows (order, context, byte, n) of contexts closed under dropping the oldest byte."""
-
-    def __init__(self, order: np.ndarray, context: np.ndarray, byte: np.ndarray, n: np.ndarray, depth: int = DEPTH):
-        self.depth = depth
-        self.keys: list[np.ndarray] = []
-        for d in range(depth + 1):
-            keys = np.unique(context[order == d])
-            self.keys.append(keys if d or len(keys) else np.zeros(1, np.int64))
-        up = [np.searchsorted(self.keys[d - 1], self.keys[d] & ((1 << 8 * (d - 1)) - 1)) if d else None for d in range(depth + 1)]
-
-        def counts(d: int) -> np.ndarray:
-            at = order == d
-            table = np.zeros((len(self.keys[d]), 256))
-            np.add.at(table, (np.searchsorted(self.keys[d], context[at]), byte[at]), n[at])
-            return table
-
-        # from the deepest order up, a few thousand contexts at a time: temporaries stay small
-        ones, stop, rest_ones = ([np.zeros(0)] * (depth + 1) for _ in range(3))
-        below_counts = below = None
-        for d in range(depth, -1, -1):
-            table, m = counts(d), len(self.keys[d])
-            ones[d], stop[d], rest_ones[d] = (np.ones((m, 255), np.float32) for _ in range(3))
-            weighted = np.empty((m, 255))
-            if d < depth:
-                rest, product = table.copy(), np.zeros((m, 255))
-                np.subtract.at(rest, up[d + 1], below_counts)
-                np.add.at(product, up[d + 1], below)
-            for k in range(0, m, _ROWS):
-                rows = slice(k, k + _ROWS)
-                a, b = _decisions(table[rows])
-                own = block(a, b)
-                ones[d][rows] = (b + 0.5) / (a + b + 1)
-                if d == depth:
-                    weighted[rows] = own
-                    continue
-                ra, rb = _decisions(np.maximum(rest[rows], 0))
-                rest_ones[d][rows] = (rb + 0.5) / (ra + rb + 1)
-                weighted[rows] = np.logaddexp(_HALF + own, _HALF + product[rows] + block(ra, rb))
-                stop[d][rows] = np.exp(_HALF + own - weighted[rows])
-            below_counts, below = table, weighted
-        del below_counts, below
-        tables = []
-        for d in range(depth + 1):
-            logs = np.empty((len(self.keys[d]), 256), np.float32)
-            for k in range(0, len(logs), _ROWS):
-                at = np.arange(k, min(k + _ROWS, len(logs)))
-                p = (rest_ones[d] if d < depth else ones[d])[at].astype(np.float64)
-                row = at
-                for e in range(d, -1, -1):
-                    if e < depth:
-                        s = stop[e][row]
-                        p = s * ones[e][row] + (1 - s) * p
-                    row = up[e][row] if e else row
-                logs[at] = _byte_logs(p)
-            tables.append(logs)
-        self.start = np.concatenate([[0], np.cumsum([len(k) for k in self.keys])])
-        self.table = np.concatenate(tables)
-
-    def logs(self, packed: np.ndarray) -> np.ndarray:
-        """log10 probability of the last byte of each packed run given the others."""
-        context, byte = packed >> 8, packed & 255
-        row = np.full(len(packed), -1, np.int64)
-        left = np.arange(len(packed))
-        for d in range(self.depth, -1, -1):
-            keys = self.keys[d]
-            want = context[left] & ((1 << 8 * d) - 1)
-            i = np.minimum(np.searchsorted(keys, want), max(len(keys) - 1, 0))
-            hit = keys[i] == want if len(keys) else np.zeros(len(left), bool)
-            row[left[hit]] = self.start[d] + i[hit]
-            left = left[~hit]
-            if not len(left):
-                break
-        return self.table[row, byte].astype(np.float64)
-
-
-def _byte_logs(ones: np.ndarray) -> np.ndarray:
-    """log10 probabilities of the 256 bytes from the 255 decisions' probabilities of a one."""
-    logs = np.zeros((len(ones), 512))
-    one, zero = np.log10(np.maximum(ones, 1e-300)), np.log10(np.maximum(1 - ones, 1e-300))
-    for k in range(1, 256):
-        logs[:, 2 * k] = logs[:, k] + zero[:, k - 1]
-        logs[:, 2 * k + 1] = logs[:, k] + one[:, k - 1]
-    return logs[:, 256:].astype(np.float32)
-
-
 def _levels(grams: np.ndarray, n: np.ndarray, depth: int = DEPTH):
     """For each of a byte's eight decisions the nodes of orders depth to 2 that occur below one bucket's sorted runs,
     as (keys, probability of a one, share of stopping there), and what they send up: keys, zeros, ones, weighted."""
@@ -304,11 +208,23 @@ def _logs(wanted: np.ndarray, grams: np.ndarray, n: np.ndarray, above: list[tupl
 
 
 _RUNS = "bucket int, grams binary, n binary"
-_PARTS = "bucket int, unit bigint, slice int, meta boolean, ids binary, held binary, n binary, hashes binary, seen binary, doc binary, tf binary, grams binary, text binary"
+_PARTS = "bucket int, unit bigint, slice int, meta boolean, ids binary, held binary, n binary, hashes binary, seen binary, grams binary, text binary"
+
+
+def _tokens(w: Words) -> tuple[np.ndarray, np.ndarray]:
+    """The number of each token (all words, then every text's end) among the distinct ones, and these."""
+    return pd.factorize(np.concatenate([hash_words(w), np.full(len(w.docs) - 1, _END_TOKEN)]))
+
+
+def _token_order(distinct: np.ndarray, nb: int) -> tuple[np.ndarray, np.ndarray]:
+    """Order of distinct tokens by bucket; the buckets' nb + 1 cuts."""
+    where = (mix(distinct) % np.uint64(nb)).astype(np.int64)
+    order = np.argsort(where, kind="stable")
+    return order, np.searchsorted(where[order], np.arange(nb + 1))
 
 
 def score(docs: DataFrame, depth: int = DEPTH) -> DataFrame:
-    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, n_bytes, bits_per_byte of every row."""
+    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, n_bytes, bits_per_byte of every row; ``depth`` is ``DEPTH`` at most."""
     held = F.coalesce(crc_of_id() % 7 == 2, F.lit(False))
     src = text_of(docs, F.col("doc_id").cast("bigint").alias("doc_id"), held.alias("held"))
     nb = n_buckets(docs, 2, 128)
@@ -324,40 +240,30 @@ def score(docs: DataFrame, depth: int = DEPTH) -> DataFrame:
         def runs_of_unit():
             g = pd.unique(np.concatenate(keys))
             order, cut = _dealt(g, nb)
-            g, no = g[order], [None] * 7
+            g, no = g[order], [None] * 5
             full = np.flatnonzero(np.diff(cut)).tolist()
             return _record([(j, part << 32 | unit, k, False, *no, _packed_runs(g[cut[j] : cut[j + 1]]), None) for j in full], _PARTS)
 
         for b in batches:
             col = b.column("text")
-            for lo, hi in slices(col):
+            for lo, hi in slices(col, 4 << 20):
                 text, ids = col.slice(lo, hi - lo), b.column("doc_id").slice(lo, hi - lo)
                 hold = b.column("held").slice(lo, hi - lo).to_numpy(zero_copy_only=False)
                 data, off = buffers(text)
                 for x, y in slices(text, _PIECE):
                     keys.append(pd.unique(grams(text.slice(x, y - x), depth)[0]))
                 w = words(text, lower=True)
-                doc = np.concatenate([np.repeat(np.arange(hi - lo), w.counts), np.arange(hi - lo)])
-                h = np.concatenate([hash_words(w), np.full(hi - lo, _END_TOKEN)])
-                word, distinct = pd.factorize(h)
-                seen = np.bincount(word[~hold[doc]], minlength=len(distinct))
-                pair, tf = np.unique(word * np.int64(hi - lo) + doc, return_counts=True)
-                word, doc = pair // (hi - lo), pair % (hi - lo)
-                where = (mix(distinct) % np.uint64(nb)).astype(np.int64)
-                order = np.argsort(where, kind="stable")
-                rank = np.empty(len(order), np.int64)
-                rank[order] = np.arange(len(order))
-                pair_order = np.argsort(rank[word], kind="stable")
-                cut, pair_cut = np.searchsorted(where[order], np.arange(nb + 1)), np.searchsorted(where[word[pair_order]], np.arange(nb + 1))
-                distinct, seen, word, doc, tf = distinct[order], seen[order], rank[word[pair_order]], doc[pair_order], tf[pair_order]
+                word, distinct = _tokens(w)
+                held = np.concatenate([np.repeat(hold, w.counts), hold])
+                seen = np.bincount(word[~held], minlength=len(distinct))
+                order, cut = _token_order(distinct, nb)
+                distinct, seen = distinct[order], seen[order].astype("<u4")
                 unit_id = part << 32 | unit
                 raw = ids.cast(pa.int64()).fill_null(np.iinfo(np.int64).min).to_numpy(zero_copy_only=False)
-                rows = [(unit_id % nb, unit_id, k, True, raw.tobytes(), hold.astype(np.uint8).tobytes(), np.stack([w.counts + 1, np.diff(off) + 1]).tobytes(), None, None, None, None, None, _packed(data.tobytes()))]
-                for j in range(nb):
-                    x, y, s, t = cut[j], cut[j + 1], pair_cut[j], pair_cut[j + 1]
-                    if x < y:
-                        per = np.bincount(word[s:t] - x, minlength=y - x)
-                        rows.append((j, unit_id, k, False, None, None, per.astype("<u4").tobytes(), distinct[x:y].tobytes(), seen[x:y].astype("<u4").tobytes(), doc[s:t].astype("<u4").tobytes(), tf[s:t].astype("<u4").tobytes(), None, None))
+                rows = [(unit_id % nb, unit_id, k, True, raw.tobytes(), hold.astype(np.uint8).tobytes(), np.diff(off).tobytes(), None, None, None, _packed(data.tobytes()))]
+                for j in np.flatnonzero(np.diff(cut)).tolist():
+                    x, y = cut[j], cut[j + 1]
+                    rows.append((j, unit_id, k, False, None, None, None, distinct[x:y].tobytes(), seen[x:y].tobytes(), None, None))
                 yield _record(rows, _PARTS)
                 k, size = k + 1, size + len(data)
                 if sum(map(len, keys)) > _UNIT_RUNS:
@@ -391,16 +297,11 @@ def score(docs: DataFrame, depth: int = DEPTH) -> DataFrame:
             seen = [np.frombuffer(r["seen"], "<u4") for r in rows]
             code, distinct = pd.factorize(np.concatenate(hashes))
             count = np.bincount(code, np.concatenate(seen), len(distinct))
-            logs, at = np.log10(count + 1), 0
-            total, kinds = int(count.sum()), int(np.count_nonzero(count))
+            total, kinds, at = int(count.sum()), int(np.count_nonzero(count)), 0
+            here = int(group["bucket"][0].as_py()).to_bytes(4, "little")
             for r, h in zip(rows, hashes, strict=True):
-                c = np.repeat(code[at : at + len(h)], np.frombuffer(r["n"], "<u4"))
+                out.append((r["unit"], r["slice"], False, None, here, count[code[at : at + len(h)]].astype("<i8").tobytes(), None, total, kinds))
                 at += len(h)
-                doc, tf = np.frombuffer(r["doc"], "<u4"), np.frombuffer(r["tf"], "<u4")
-                there, back = np.unique(doc, return_inverse=True)
-                part = np.bincount(back, tf * logs[c], len(there))
-                known = np.bincount(back, tf * (count[c] > 0), len(there))
-                out.append((r["unit"], r["slice"], False, there.astype("<u4").tobytes(), None, known.astype("<u4").tobytes(), part.tobytes(), total, kinds))
                 total = kinds = 0
         made = _record(out, _SUMS)
         del rows, out
@@ -424,20 +325,23 @@ def score(docs: DataFrame, depth: int = DEPTH) -> DataFrame:
     def _of_slice(rows: list[dict], g: np.ndarray, g_logs: np.ndarray) -> pa.Table:
         meta = next(r for r in rows if r["meta"])
         ids, hold = np.frombuffer(meta["a"], np.int64), np.frombuffer(meta["b"], np.uint8).astype(bool)
-        n_tokens, n_bytes = np.frombuffer(meta["c"], np.int64).reshape(2, -1)
-        off = np.concatenate([[0], np.cumsum(n_bytes - 1)]).astype(np.int64)
+        off = np.concatenate([[0], np.cumsum(np.frombuffer(meta["c"], np.int64))])
         text = pa.Array.from_buffers(pa.large_binary(), len(ids), [None, pa.py_buffer(off), pa.py_buffer(_unpacked(meta["d"]))])
         scores = []
         for lo, hi in slices(text, _PIECE):
             runs, ends = grams(text.slice(lo, hi - lo), depth)
             code, distinct = pd.factorize(runs)
-            upto = np.concatenate([[0.0], np.cumsum(g_logs[np.searchsorted(g, distinct)][code])])
-            scores.append(upto[ends[1:]] - upto[ends[:-1]])
-        known, logs = np.zeros(len(ids), np.int64), np.zeros(len(ids))
-        for r in sorted((r for r in rows if not r["meta"]), key=lambda r: r["a"] + r["d"]):
-            at = np.frombuffer(r["a"], "<u4")
-            known[at] += np.frombuffer(r["c"], "<u4")
-            logs[at] += np.frombuffer(r["d"])
+            scores.append(stretch_sums(g_logs[np.searchsorted(g, distinct)][code], ends))
+        # the same tokens in the same order as they were asked for, bucket by bucket
+        w = words(text, lower=True)
+        word, distinct = _tokens(w)
+        found = sorted((r for r in rows if not r["meta"]), key=lambda r: int.from_bytes(r["b"], "little"))
+        count = np.empty(len(distinct), np.int64)
+        count[_token_order(distinct, nb)[0]] = np.concatenate([np.frombuffer(r["c"], "<i8") for r in found])
+        known, logs = count[word] > 0, np.log10(count + 1)[word]
+        n = len(w.starts)
+        known, logs = (stretch_sums(x[:n].astype(float), w.docs) + x[n:] for x in (known, logs))
+        n_tokens, n_bytes, known = w.counts + 1, np.diff(off) + 1, known.astype(np.int64)
         cols = [pa.array(ids, mask=ids == np.iinfo(np.int64).min), pa.array(hold), pa.array(n_tokens), pa.array(known), pa.array(logs), pa.array(np.concatenate(scores)), pa.array(n_bytes)]
         return pa.table(cols, names=["doc_id", "held_out", "n_tokens", "n_known", "logs", "score", "n_bytes"])
 

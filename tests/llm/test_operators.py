@@ -114,6 +114,44 @@ def test_quality(spark, odd, none):
     assert kept.columns == docs.columns and {i for i, _ in good} <= {r.doc_id for r in kept.collect()}
 
 
+def test_weights_and_scores_by_definition():
+    """Hashed n-grams as counts in dictionaries, one coordinate at a time, against the arrays."""
+    import pyarrow as pa
+    from math import exp, sqrt
+
+    rng = np.random.default_rng(13)
+    texts = [" ".join(rng.choice(["Good", "bad!", "the", "12", "THE"], rng.integers(0, 12))) for _ in range(40)]
+    labels = rng.integers(0, 2, 40).astype(float)
+    grams, off = quality.features(pa.array(texts), 10)
+    for k, t in enumerate(texts):
+        assert off[k + 1] - off[k] == 4 * len(t.split())  # a word and a pair of words, as they are and by their form
+    same = quality.features(pa.array(["a b", "x a b"]), 10)[0]
+    assert set(same[4:8].tolist()) & set(same[12:].tolist())
+    rows = []
+    for k in range(40):
+        count = Counter(grams[off[k] : off[k + 1]].tolist())
+        rows.append({g: np.float32(n * (4 / max(1, off[k + 1] - off[k]))).item() for g, n in count.items()} | {1 << 10: 1.0})
+    z, n = Counter(), Counter()
+
+    def weight(g):
+        if abs(z[g]) <= 0.0005:
+            return 0.0
+        return -(z[g] - (0.0005 if z[g] > 0 else -0.0005)) / ((1 + sqrt(n[g])) / 1.5 + 0.01)
+
+    for _ in range(3):
+        for x, y in zip(rows, labels.tolist(), strict=True):
+            w = {g: weight(g) for g in x}
+            p = 1 / (1 + exp(-sum(w[g] * v for g, v in x.items())))
+            for g, v in x.items():
+                d = (p - y) * v
+                z[g] += d - (sqrt(n[g] + d * d) - sqrt(n[g])) / 1.5 * w[g]
+                n[g] += d * d
+    got = quality.train(pa.array(texts), labels, 10)
+    assert np.allclose(got, [weight(g) for g in range((1 << 10) + 1)], atol=1e-9)
+    want = [1 / (1 + exp(-sum(weight(g) * v for g, v in x.items()))) for x in rows]
+    assert np.allclose(quality.score(pa.array(texts), got, 10), want, atol=1e-6)
+
+
 # -- 3 ---------------------------------------------------------------------------------------------------
 
 
@@ -185,36 +223,38 @@ def test_language_model(spark, odd, plain, none):
 def test_context_tree_keeps_every_context(spark):
     from math import exp, lgamma, log, log2, pi
 
+    D = lm.DEPTH
+
     rng = np.random.default_rng(4)
     long = "".join(rng.choice(list("abcdefghijklmnopqrst"), 40_000))
     texts = {4: long, 1: long[20_000:20_060], 5: "zebra " + long[7:30] + " é", 6: ""}
     train = [t for i, t in texts.items() if zlib.crc32(str(i).encode()) % 7 != 2]
     assert long in train and len(train) < len(texts)
-    runs = lambda t: [(b"\xff" * 6 + t.encode() + b"\xff")[k : k + 7] for k in range(len(t.encode()) + 1)]
+    runs = lambda t: [(b"\xff" * D + t.encode() + b"\xff")[k : k + D + 1] for k in range(len(t.encode()) + 1)]
     decisions = lambda x: [((256 | x) >> 8 - j, x >> 7 - j & 1) for j in range(8)]
     count = {}
     for t in train:
         for r in runs(t):
-            for d in range(7):
-                for k, bit in decisions(r[6]):
-                    count.setdefault((r[6 - d : 6], k), [0, 0])[bit] += 1
+            for d in range(D + 1):
+                for k, bit in decisions(r[D]):
+                    count.setdefault((r[D - d : D], k), [0, 0])[bit] += 1
     assert len({c for c, _ in count}) > 2 * 32_768
     block = lambda a, b: lgamma(a + 0.5) + lgamma(b + 0.5) - log(pi) - lgamma(a + b + 1)
     below, stop = Counter(), {}
     for c, k in sorted(count, key=lambda x: -len(x[0])):
         own = weighted = block(*count[c, k])
-        if len(c) < 6:
+        if len(c) < D:
             high = max(own, below[c, k])
             weighted = high + log(0.5 * exp(own - high) + 0.5 * exp(below[c, k] - high))
-        stop[c, k] = 1 if len(c) == 6 else exp(log(0.5) + own - weighted)
+        stop[c, k] = 1 if len(c) == D else exp(log(0.5) + own - weighted)
         below[c[1:], k] += weighted if c else 0
 
     def bits(r):
         total = 0
-        for k, bit in decisions(r[6]):
+        for k, bit in decisions(r[D]):
             p = 0.5
-            for d in range(6, -1, -1):
-                at = r[6 - d : 6], k
+            for d in range(D, -1, -1):
+                at = r[D - d : D], k
                 if at in count:
                     a, b = count[at]
                     p = stop[at] * (b + 0.5) / (a + b + 1) + (1 - stop[at]) * p
