@@ -5,9 +5,13 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from arborix.llm._text import mix
+
 _CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
@@ -64,6 +68,55 @@ def discard(*saved: DataFrame) -> None:
             p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
+SIEVE_BITS, _SIEVE_BLOCK = 26, 19
+
+
+def _probes(x: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Three places of each value in its block of a sieve."""
+    h, low = mix(x ^ np.uint64(0xA5A5)), np.uint64((1 << _SIEVE_BLOCK) - 1)
+    return tuple(((h >> np.uint64(k * _SIEVE_BLOCK)) & low).astype(np.int64) for k in range(3))
+
+
+def sieve(ids: DataFrame):
+    """A function on bigint columns: true for all values of ``ids`` (one bigint column) and for few others, so that rows it leaves out need no join.
+
+    A Bloom filter of 16 bits a value or more, 2 ** SIEVE_BITS (8 MB) at most: far beyond 4 million values it leaves out little.
+    """
+    ids = ids.where(F.col(ids.columns[0]).isNotNull())
+    blocks = 1 << max(0, min(SIEVE_BITS, (16 * ids.count()).bit_length()) - _SIEVE_BLOCK)
+
+    def block_of(x):
+        return (mix(x) % np.uint64(blocks)).astype(np.int64)
+
+    def packed(batches):
+        for b in batches:
+            x = b.column(0).to_numpy().view(np.uint64)
+            block = block_of(x)
+            full = np.unique(block).tolist()
+            yield pa.RecordBatch.from_arrays([pa.array(full, pa.int32()), pa.array([x[block == k].tobytes() for k in full], pa.binary())], ["block", "ids"])
+
+    def filled(group: pa.Table) -> pa.Table:
+        bits = np.zeros(1 << _SIEVE_BLOCK, bool)
+        for x in group["ids"].to_pylist():
+            for at in _probes(np.frombuffer(x, np.uint64)):
+                bits[at] = True
+        return pa.table([pa.array([group["block"][0].as_py()], pa.int32()), pa.array([np.packbits(bits).tobytes()], pa.binary())], names=["block", "bits"])
+
+    table = np.zeros((blocks, 1 << (_SIEVE_BLOCK - 3)), np.uint8)
+    for r in ids.mapInArrow(packed, "block int, ids binary").groupBy("block").applyInArrow(filled, "block int, bits binary").collect():
+        table[r["block"]] = np.frombuffer(r["bits"], np.uint8)
+    shared = ids.sparkSession.sparkContext.broadcast(table)
+
+    def passes(col: pa.Array) -> pa.Array:
+        x = col.fill_null(0).to_numpy(zero_copy_only=False).view(np.uint64)
+        block, out = block_of(x), np.ones(len(x), bool)
+        for at in _probes(x):
+            out &= (shared.value[block, at >> 3] >> (7 - (at & 7))) & 1 > 0
+        return pa.array(out)
+
+    return F.arrow_udf(passes, "boolean")
+
+
 def text_of(docs: DataFrame, *more: str) -> DataFrame:
     """The columns that text kernels read, whatever else ``docs`` carries; a null text is the empty one."""
     return docs.select(*more, F.coalesce(F.col("text"), F.lit("")).alias("text"))

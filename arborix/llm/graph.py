@@ -74,7 +74,7 @@ def _stars(e: DataFrame) -> bool:
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """node, root for every node of ``edges`` (a, b)."""
+    """node, root for every node of ``edges`` (a, b); read from a scratch file that ``discard`` deletes."""
     e = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b")
     e = save(e.mapInArrow(_forests, "a bigint, b bigint").distinct(), "edges")
     while not _stars(e):
@@ -89,4 +89,6 @@ def components(edges: DataFrame) -> DataFrame:
         before, e = e, save(small.unionByName(low.select(F.col("k").alias("a"), F.col("m").alias("b"))).where("a <> b").distinct(), "edges")
         discard(before)
     roots = e.select(F.col("b").alias("node")).distinct().select("node", F.col("node").alias("root"))
-    return e.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(roots)
+    out = e.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(roots)
+    out._scratch = e._scratch
+    return out

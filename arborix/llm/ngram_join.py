@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
-from arborix.llm._spark import discard, n_buckets, save, text_of
+from arborix.llm._spark import discard, n_buckets, save, sieve, text_of
 from arborix.llm._text import hash_words, mix, shingles, slices, words
 from arborix.llm.graph import components, local_forest
 
@@ -316,7 +316,7 @@ def _tile_links(group: pa.Table) -> pa.Table:
 
 
 def links(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Per row (doc_id, n_shingles, skey), and the links between set keys as (a, b), enough to connect what is connected."""
+    """Per row (doc_id, n_shingles, skey), and the links between set keys as (a, b), enough to connect what is connected; both are read from scratch files that ``discard`` deletes."""
     src = text_of(docs, F.col("doc_id").cast("bigint").alias("doc_id"))
     nb = n_buckets(docs, 2, 32)
     passed = save(_passed(src, _sketch(src), nb), "shingle-sets")
@@ -325,12 +325,16 @@ def links(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     full = rows.where("n > 0")
     met = met.join(full.select("rid", "skey", "n", "sig"), "rid").select("list", "skey", "n", "chain", F.when(~F.col("chain"), F.col("sig")).alias("sig"))
     edges = met.repartition(nb, "list").dropDuplicates(["list", "skey"]).mapInArrow(_candidates, "a bigint, b bigint")
-    group_of = save(components(edges), "candidates")  # node, root
+    found = components(edges)
+    group_of = save(found, "candidates")  # node, root
+    discard(found)
     # one text for each set that has candidates
     own = full.groupBy("skey").agg(F.min(F.struct("rid", "doc_id")).alias("r"), F.first("n").alias("n"))
     wanted = group_of.join(own, group_of["node"] == own["skey"]).select("root", "skey", "n", F.coalesce(F.col("r.doc_id"), F.lit(_NO_ID)).alias("kid"))
     wanted = save(wanted, "wanted")
-    texts = src.select(F.coalesce("doc_id", F.lit(_NO_ID)).alias("kid"), "text").join(wanted.select("kid").distinct(), "kid", "left_semi")
+    discard(group_of)
+    few = sieve(wanted.select("kid"))
+    texts = src.select(F.coalesce("doc_id", F.lit(_NO_ID)).alias("kid"), "text").where(few("kid")).join(wanted.select("kid").distinct(), "kid", "left_semi")
 
     def arrays(batches):
         for b in batches:
@@ -356,7 +360,9 @@ def links(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     downward = F.expr("if(down > 0, transform(sequence(0, down - 1), j -> named_struct('band', band - 1, 'i', j, 'other', 1, 'j', cut, 'side', 1)), array())")
     dealt = tiled.select("root", "skey", F.explode(F.concat(inside, upward, downward)).alias("t")).select("root", "skey", "t.*")
     verified = dealt.join(sets, "skey").groupBy("root", "band", "i", "other", "j").applyInArrow(_tile_links, "a bigint, b bigint")
-    return rows.select("doc_id", F.col("n").alias("n_shingles"), "skey"), verified
+    rows = rows.select("doc_id", F.col("n").alias("n_shingles"), "skey")
+    rows._scratch, verified._scratch = passed._scratch, wanted._scratch
+    return rows, verified
 
 
 _NO_ID = -(1 << 63)
@@ -366,10 +372,13 @@ def _named(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Per row (doc_id, n_shingles, skey), and per set key (k) the root and the smallest id of its component."""
     rows, found = links(docs)
     linked = components(found)
+    discard(found)
     classes = rows.where("n_shingles > 0").groupBy("skey").agg(F.min("doc_id").alias("least"))
     named = classes.join(linked, classes["skey"] == linked["node"], "left").select("skey", "least", F.coalesce("root", "skey").alias("root"))
     names = named.groupBy("root").agg(F.min("least").alias("component_id"), F.min_by("skey", F.struct(F.col("least").isNull(), "least", "skey")).alias("first"))
-    return rows, named.join(names, "root").select(F.col("skey").alias("k"), "component_id", "first")
+    named = named.join(names, "root").select(F.col("skey").alias("k"), "component_id", "first")
+    named._scratch = linked._scratch
+    return rows, named
 
 
 def join(docs: DataFrame) -> DataFrame:
@@ -387,17 +396,21 @@ def keep_one(docs: DataFrame) -> DataFrame:
     Rows are told apart by id and set key, so an unrelated text that shares an id with a dropped one stays. Only rows whose id is
     null or repeated have their keys made anew.
     """
-    rows, named = _named(docs)
+    all_rows, named = _named(docs)
     rows = save(
-        rows.where("n_shingles > 0")
-        .join(named, rows["skey"] == named["k"])
+        all_rows.where("n_shingles > 0")
+        .join(named, all_rows["skey"] == named["k"])
         .select("doc_id", "skey", ((F.col("skey") == F.col("first")) & F.col("doc_id").eqNullSafe(F.col("component_id"))).alias("kept")),
         "kept-sets",
     )
+    discard(all_rows, named)
     own = docs.withColumn("__id", F.col("doc_id").cast("bigint"))
     many = save(docs.groupBy(F.col("doc_id").cast("bigint").alias("__id")).count().where("count > 1 and __id is not null").select("__id"), "repeated-ids")
     once = own.where("__id is not null").join(many, "__id", "left_anti")
-    once = once.join(rows.where("not kept").select(F.col("doc_id").alias("__id")).distinct(), "__id", "left_anti")
+    dropped = rows.where("not kept").select(F.col("doc_id").alias("__id"))
+    # only texts that may be dropped are shuffled
+    few = sieve(dropped)
+    once = once.where(~few("__id")).unionByName(once.where(few("__id")).join(dropped.distinct(), "__id", "left_anti"))
     twice = own.where("__id is null").unionByName(own.join(many, "__id", "left_semi").select(own.columns))
     names = twice.columns
 

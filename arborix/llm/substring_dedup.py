@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from arborix.llm._spark import discard, n_buckets, save, scratch, text_of, write
+from arborix.llm._spark import discard, n_buckets, save, scratch, sieve, text_of, write
 from arborix.llm._text import NULL_ID, Words, hash_words, ids_of, mix, rolling, slices, words
 
 WINDOW, GRAM, FAN = 20, 6, 4
@@ -92,6 +92,10 @@ class FingerprintIndex:
         names = [s.getPath().getName() for s in fs.listStatus(path(self.root))]
         return sorted(tuple(map(int, n.split("-")[1:])) for n in names if n.startswith("run-") and fs.exists(path(f"{self.root}/{n}/_SUCCESS")))
 
+    def delete(self) -> None:
+        fs, path = self._fs()
+        fs.delete(path(self.root), True)
+
     def read(self, runs: list[tuple[int, int]]) -> DataFrame:
         return self.spark.read.schema(_RUN).parquet(*[f"{self.root}/run-{a}-{b}" for a, b in runs])
 
@@ -233,9 +237,11 @@ def _repeats(group: pa.Table) -> pa.Table:
 def append(index: FingerprintIndex, batch: DataFrame, history: DataFrame | None = None) -> DataFrame:
     """Index ``batch`` (kid, text) and return its covered windows: kid, spans (array of start, n). ``history``: what was indexed before."""
     twice = save(index.seen_twice(index.add(batch)), "seen-twice")
-    texts = batch.join(twice, "kid")
+    # only texts with a place to verify are shuffled; the same join at every size, as what is moved must not hinge on a broadcast
+    few, places = sieve(twice.select("kid")), twice.hint("merge")
+    texts = batch.where(few("kid")).join(places, "kid")
     if history is not None:
-        texts = texts.unionByName(history.join(twice, "kid"))
+        texts = texts.unionByName(history.where(few("kid")).join(places, "kid"))
     found = _windows(texts, index.buckets).groupBy("bucket").applyInArrow(_repeats, "kid bigint, start bigint, n bigint")
     spans = save(found.groupBy("kid").agg(F.collect_list(F.struct("start", "n")).alias("spans")), "spans")
     discard(twice)
@@ -271,7 +277,11 @@ def apply(docs: DataFrame, spans: DataFrame, with_text: bool = False) -> DataFra
     own = docs if with_text else docs.select("doc_id", "text")
     names = own.columns
     src = own.withColumns({"__kid": F.coalesce(F.col("doc_id").cast("bigint"), F.lit(NULL_ID)), "__text": F.coalesce(F.col("text"), F.lit(""))})
-    src = src.join(spans.select(F.col("kid").alias("__kid"), F.col("spans").alias("__spans")), "__kid", "left")
+    spans = spans.select(F.col("kid").alias("__kid"), F.col("spans").alias("__spans"))
+    # only texts that may lose words are shuffled
+    few = sieve(spans.select("__kid"))
+    rest = src.where(~few("__kid")).withColumn("__spans", F.lit(None).cast(spans.schema["__spans"].dataType))
+    src = src.where(few("__kid")).join(spans.hint("merge"), "__kid", "left").unionByName(rest)
     if not with_text:
         src = src.select("doc_id", "__text", "__spans")
 
@@ -299,7 +309,7 @@ def apply(docs: DataFrame, spans: DataFrame, with_text: bool = False) -> DataFra
 
 
 def find(docs: DataFrame, batches: int = FAN, root: str | None = None) -> DataFrame:
-    """kid, spans of all rows, batch after batch of ids."""
+    """kid, spans of all rows, batch after batch of ids. The index stays below ``root``, or goes where none is given."""
     spark = docs.sparkSession
     src = text_of(docs, F.coalesce(F.col("doc_id").cast("bigint"), F.lit(NULL_ID)).alias("kid"))
     index = FingerprintIndex(spark, root or scratch(spark, "fingerprints"), n_buckets(docs, 2, 32))
@@ -312,6 +322,8 @@ def find(docs: DataFrame, batches: int = FAN, root: str | None = None) -> DataFr
             batch = batch.where(F.col("kid") <= cuts[k]) if k < len(cuts) else batch
         out.append(append(index, batch, before))
         before = src.where(F.col("kid") <= cuts[k]) if cuts and k < len(cuts) else None
+    if root is None:
+        index.delete()
     # a later batch may name earlier documents again: the places of one id are pooled
     return reduce(DataFrame.unionByName, out).groupBy("kid").agg(F.flatten(F.collect_list("spans")).alias("spans"))
 

@@ -1,6 +1,7 @@
 """Each operator against brute force on a small table with nulls, ties, copies, long texts and clashing columns, and on an empty one."""
 
 import hashlib
+import os
 import zlib
 from collections import Counter
 from math import log, log10
@@ -12,7 +13,7 @@ from conftest import lower, split
 from tokenizers import Tokenizer
 
 from arborix.llm import decontaminate, embedding_dedup, host_reputation, lm, ngram_join, packing, quality, rans, sharding, substring_dedup, token_file
-from arborix.llm._spark import scratch
+from arborix.llm._spark import scratch, shared_dir, sieve
 
 
 def key(i):
@@ -541,6 +542,26 @@ def test_one_row_of_each_component_stays(spark, odd, none):
     assert ngram_join.keep_one(none).count() == 0 and ngram_join.keep_one(odd).columns == odd.columns
 
 
+def test_filters_leave_little_on_disk(spark, odd):
+    folder = shared_dir(spark).removeprefix("file://")
+    for filtered, left in ((ngram_join.keep_one, {"kept-sets", "repeated-ids"}), (substring_dedup.without_repeats, {"spans"})):
+        before = set(os.listdir(folder))
+        assert filtered(odd).count()
+        assert {name.rsplit("-", 1)[0] for name in set(os.listdir(folder)) - before} == left
+
+
+def test_sieve_keeps_all_ids_and_few_others(spark, none, monkeypatch):
+    ids = spark.range(-3000, 200_000, 7).selectExpr("id").unionByName(spark.createDataFrame([(None,), (-(1 << 63),)], "id bigint"))
+    all_ids = spark.range(-3000, 200_000).unionByName(spark.createDataFrame([(-(1 << 63),)], "id bigint"))
+    few = sieve(ids)
+    assert ids.where("id is not null").where(~few("id")).count() == 0
+    assert all_ids.where(few("id")).count() < 1.03 * ids.count()
+    assert all_ids.where(sieve(none.select("doc_id"))("id")).count() == 0
+    monkeypatch.setattr("arborix.llm._spark.SIEVE_BITS", 19)  # too small for so many: never a loss
+    full = spark.range(500_000)
+    assert full.where(~sieve(full)("id")).count() == 0
+
+
 def test_bitmaps_of_a_megabyte_and_more():
     wide, half = np.full((1, 1 << 17), 3, np.uint64), np.full((1, 1 << 16), 3, np.uint64)
     sigs, width = {1 << 20: wide, 1 << 19: half}, np.array([1 << 20, 1 << 20, 1 << 19])
