@@ -122,3 +122,35 @@ def test_operators_take_many_skeletons(spark):
     assert new.where("parent_id = -1").count() == 1 and new.count() > 7
     with pytest.raises(ValueError):
         trees.strahler_index(nodes, "other")
+
+
+@pytest.mark.parametrize("directed", [False, True])
+@pytest.mark.parametrize("some", [False, True])
+def test_one_matrix_is_dealt_over_tasks(spark, monkeypatch, directed, some):
+    from pyspark.sql import functions as F
+
+    monkeypatch.setattr(trees, "BLOCK", 50, raising=False)
+    ids = list(range(40))
+    parents, weights = [(k - 1) // 2 if k % 17 else -1 for k in ids], [float(k % 5) for k in ids]
+    weights[9] = float("inf")  # no way
+    nodes = spark.createDataFrame([(0, k, p, w) for k, p, w in zip(ids, parents, weights, strict=True)], "skeleton_id long, node_id long, parent_id long, weight double")
+    s, t = (ids[1::3], ids[::2]) if some else (ids, ids)
+    wanted = [spark.createDataFrame([(0, k) for k in x], "skeleton_id long, node_id long") if some else None for x in (s, t)]
+    got = trees.geodesic_matrix(nodes, *wanted, directed=directed).withColumn("task", F.spark_partition_id()).collect()
+    brute = Forest(ids, parents, weights).distances(s, t, directed)
+    assert {(r.source, r.target): r.dist for r in got} == {(a, b): d for a, line in zip(s, brute.tolist(), strict=True) for b, d in zip(t, line, strict=True)}
+    assert len(got) == len(s) * len(t) and len({r.task for r in got}) > 1
+
+
+def test_blocks_of_distances_are_bounded():
+    from arborix.kernels.forest import block_distances
+
+    n = 200
+    f = Forest(np.arange(n), (np.arange(n) - 1) // 2)
+    rows, place, end, low, tops = f.labels(np.arange(n))
+    at = np.empty(n, np.int64)
+    at[rows] = np.arange(n)
+    for directed in (False, True):
+        blocks = [b for _, b in block_distances(at, at, place, end, f.root_distance()[rows], low, f.root_distance()[tops], directed, step=1000)]
+        assert max(b.size for b in blocks) <= 1000
+        assert np.array_equal(np.concatenate(blocks), f.distances(np.arange(n), np.arange(n), directed))
