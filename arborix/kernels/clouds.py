@@ -91,15 +91,6 @@ def self_score(q: dict, table: ScoreTable, use_alpha: bool = False) -> float:
     return float(table.values[0, -1] * len(q["p"]))
 
 
-def synapse_score(q: dict, t: dict, table: ScoreTable) -> float:
-    """Nearest connector of the same type, the dot product fixed at one; types the target lacks are infinitely far."""
-    total = 0.0
-    for kind in np.unique(q["type"]).tolist():
-        d, _ = nearest(q["p"][q["type"] == kind], _index(t, kind, t["p"][t["type"] == kind]))
-        total += float(table.values[table.row(d), table.column(1.0)].sum())
-    return total
-
-
 def directions(v: np.ndarray, n_dirs: int) -> np.ndarray:
     """The bin of each direction, whatever its sign: none, the dominant axis of three, or the nearest of ``n_dirs`` on a half sphere."""
     if n_dirs <= 1:

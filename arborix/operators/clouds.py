@@ -57,12 +57,13 @@ def _clouds(ids: pa.ChunkedArray, points: pa.ChunkedArray) -> list[tuple[int, di
 
 
 def _grid(query: DataFrame, target: DataFrame, block: int) -> DataFrame:
-    """Both sides dealt over the pairs of blocks: (qb, tb, side, neuron_id, points)."""
-    nq, nt = (max(1, -(-df.select("neuron_id").distinct().count() // block)) for df in (query, target))
+    """Both sides dealt over the pairs of blocks, four a side at least: (qb, tb, side, neuron_id, points)."""
+    nq, nt = (max(1, min(n, max(4, -(-n // block)))) for n in (df.select("neuron_id").distinct().count() for df in (query, target)))
     b = lambda n: F.pmod(F.xxhash64("neuron_id"), F.lit(n)).cast("int")
     q = query.select(b(nq).alias("qb"), F.explode(F.sequence(F.lit(0), F.lit(nt - 1))).alias("tb"), F.lit("q").alias("side"), "neuron_id", "points")
     t = target.select(F.explode(F.sequence(F.lit(0), F.lit(nq - 1))).alias("qb"), b(nt).alias("tb"), F.lit("t").alias("side"), "neuron_id", "points")
-    return q.unionByName(t)
+    # so many partitions whatever their size: small clouds would meet in one task
+    return q.unionByName(t).repartition(int(query.sparkSession.conf.get("spark.sql.shuffle.partitions")), "qb", "tb")
 
 
 def _scored(grid: DataFrame, score, own, normalize: bool, same: bool) -> DataFrame:
@@ -222,18 +223,60 @@ def _fill(lacking: DataFrame, queries: DataFrame, targets: DataFrame, n: int, sa
     return lacking.join(queries.withColumnRenamed("neuron_id", "q"), "q").mapInArrow(run, "q bigint, t bigint")
 
 
-def synblast(connectors: DataFrame, table: k.ScoreTable, target: DataFrame | None = None, by_type: bool = True, cn_types=None, normalize: bool = True, symmetry: str | None = None, block: int = BLOCK) -> DataFrame:
-    """(q, t, score) from connectors (neuron_id, cn_id, x, y, z, cn_type); an empty choice of types is an error."""
+def synblast(connectors: DataFrame, table: k.ScoreTable, target: DataFrame | None = None, by_type: bool = True, cn_types=None, normalize: bool = True, symmetry: str | None = None, block: int = 8) -> DataFrame:
+    """(q, t, score) from connectors (neuron_id, cn_id, x, y, z, cn_type); an empty choice of types is an error.
+
+    Connectors at one place are one query, whatever their neurons, and one target of each neuron. Tasks pair a quarter of a type's
+    places (one more for every 64 neurons) with about ``block`` target neurons; what finds no connector of its type is infinitely far.
+    """
 
     def prepare(df):
         if cn_types is not None:
             df = df.where(F.col("cn_type").isin(*cn_types))
         if not df.limit(1).count():
             raise ValueError("no connectors are left")
-        return _packed(df if by_type else df.withColumn("cn_type", F.lit(0)), "x", "y", "z", "cn_type")
+        return df.select("neuron_id", *[F.col(c).cast("double").alias(c) for c in "xyz"], (F.col("cn_type") if by_type else F.lit(0)).cast("double").alias("cn_type"))
 
     q = prepare(connectors)
     t = q if target is None else prepare(target)
-    own = lambda a: float(table.values[table.row(0.0), table.column(1.0)] * len(a["p"]))
-    run = lambda a, b: _scored(_grid(a, b, block), lambda x, y: k.synapse_score(x, y, table), own, normalize, target is None)
+    run = lambda a, b: _synapses(a, b, table, normalize, target is None, block)
     return _fold(run(q, t), None if target is None or symmetry in (None, "forward") else run(t, q), symmetry)
+
+
+def _synapses(query: DataFrame, target: DataFrame, table: k.ScoreTable, normalize: bool, same: bool, block: int) -> DataFrame:
+    parts = int(query.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    nq, nt = (df.select("neuron_id").distinct().count() for df in (query, target))
+    qb, tb = max(4, -(-nq // BLOCK)), max(1, -(-nt // block))
+    finite = [F.abs(F.col(c)) < float("inf") for c in ("x", "y", "z", "cn_type")]
+    there = finite[0] & finite[1] & finite[2] & finite[3]
+    places = lambda df: df.where(there).groupBy("cn_type", "x", "y", "z", "neuron_id").agg(F.count("*").alias("n"))
+    deal = lambda n, *by: F.pmod(F.xxhash64(*by), F.lit(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    key = ["cn_type", "qb", "tb"]
+    a = places(query).select("*", deal(qb, "x", "y", "z").alias("qb"), every(tb).alias("tb")).repartition(parts, *key)
+    b = places(target).drop("n").select("*", every(qb).alias("qb"), deal(tb, "neuron_id").alias("tb")).repartition(parts, *key)
+
+    def fn(left: pa.Table, right: pa.Table) -> pa.Table:
+        if not left.num_rows or not right.num_rows:
+            return pa.table([pa.array([], t) for t in (pa.int64(), pa.int64(), pa.int64(), pa.float64())], names=["q", "t", "hits", "score"])
+        xyz = lambda x: np.column_stack([x[c].to_numpy() for c in "xyz"])
+        (at, back), (ids, who) = np.unique(xyz(left), axis=0, return_inverse=True), np.unique(left["neuron_id"].to_numpy(), return_inverse=True)
+        n, goal, points = left["n"].to_numpy(), right["neuron_id"].to_numpy(), xyz(right)
+        hits, out = np.bincount(who, n).astype(np.int64), []
+        for u in np.unique(goal).tolist():
+            d, _ = k.nearest(at, points[goal == u])
+            out.append((ids, np.full(len(ids), u), hits, np.bincount(who, n * table.values[table.row(d), table.column(1.0)][back.ravel()])))
+        return pa.table([np.concatenate(c) for c in zip(*out, strict=True)], names=["q", "t", "hits", "score"])
+
+    met = a.groupBy(*key).cogroup(b.groupBy(*key)).applyInArrow(fn, "q bigint, t bigint, hits bigint, score double")
+    met = met.groupBy("q", "t").agg(F.sum("hits").alias("hits"), F.sum("score").alias("score"))
+    own = query.groupBy(F.col("neuron_id").alias("q")).agg(F.count("*").alias("n"))
+    top = F.col("n") * float(table.values[table.row(0.0), table.column(1.0)])
+    far = float(table.values[table.row(np.inf), table.column(1.0)])
+    total = F.coalesce("score", F.lit(0.0)) + (F.col("n") - F.coalesce("hits", F.lit(0))) * far
+    if same:
+        total = F.when(F.col("q") == F.col("t"), top).otherwise(total)
+    if normalize:
+        total = F.when(top == 0, total).otherwise(total / F.when(top != 0, top))
+    pairs = own.crossJoin(target.select(F.col("neuron_id").alias("t")).distinct())
+    return pairs.join(met, ["q", "t"], "left").select("q", "t", total.alias("score"))

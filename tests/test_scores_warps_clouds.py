@@ -117,3 +117,26 @@ def test_swc(spark, tmp_path):
     assert [(r.skeleton_id, r.node_id, r.parent_id, r.radius) for r in rows] == [(77, 1, -1, 1.5), (77, 2, 1, 0.5)]
     swc.write_swc(swc.read_swc(spark, f"file://{tmp_path}/77.swc"), f"file://{tmp_path}/out")
     assert spark.read.text(f"file://{tmp_path}/out").count() == 2
+
+
+def test_synblast_asks_places_once_and_passes_over_broken_ones(spark):
+    from arborix.kernels.clouds import ScoreTable
+    from arborix.operators import clouds
+
+    table = ScoreTable([[9.5, 10.0], [4.0, 5.0], [-2.0, -1.5]], [0.0, 0.5, 1.0], [0.0, 0.5])
+    rng = np.random.default_rng(3)
+    rows = [(int(n), i, *(rng.integers(0, 4, 3) / 4).tolist(), int(k)) for i, (n, k) in enumerate(zip(rng.integers(0, 9, 300), rng.integers(0, 3, 300), strict=True))]
+    rows = [r for r in rows if not (r[0] == 4 and r[5] == 1)]  # neuron 4 lacks a type
+    rows += [(n, 1000 + n, float("nan"), 0.0, 0.0, 0) for n in (2, 5)]
+    df = spark.createDataFrame(rows, "neuron_id long, cn_id long, x double, y double, z double, cn_type long")
+    got = {(r.q, r.t): r.score for r in clouds.synblast(df, table).collect()}
+    for q in range(9):
+        mine = [r for r in rows if r[0] == q]
+        for t in range(9):
+            total = 0.0
+            for r in mine:
+                d = [np.sqrt(sum((a - b) ** 2 for a, b in zip(r[2:5], u[2:5], strict=True))) for u in rows if u[0] == t and u[5] == r[5]]
+                near = min([x for x in d if x == x], default=np.inf)
+                total += 10.0 if near < 0.5 else 5.0 if near < 1 else -1.5
+            assert np.isclose(got[q, t], 1.0 if q == t else total / (10 * len(mine))), (q, t)
+    assert len(got) == 81
