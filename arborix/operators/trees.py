@@ -14,15 +14,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from arborix.kernels.forest import CycleError, Forest, block_distances
+from arborix.kernels.forest import CycleError, Forest, block_distances, climb
 from arborix.plans import closure as plans
 from arborix.schema import NONE, euclid, need, only, per_block, per_object, per_pair
 
 BASE = ("skeleton_id", "node_id", "parent_id", "ord", "weight")
 NODE = "skeleton_id bigint, node_id bigint"
 #: result rows of a dealt block, and the arrays that a skeleton's blocks need
-BLOCK = 1 << 24
+BLOCK, RUNS = 1 << 24, 1 << 22
 _LABELS = ("ids", "source", "target", "place", "end", "deep", "low", "low_deep")
+_RUNS = ("ids", "link", "source", "start", "count")
 _MATRIX = "skeleton_id bigint, blocks bigint, " + ", ".join(f"{c} binary" for c in _LABELS)
 
 
@@ -154,21 +155,53 @@ def subtree_height(nodes: DataFrame) -> DataFrame:
 def descendants(nodes: DataFrame, sources: DataFrame) -> DataFrame:
     """Subtrees of ``sources`` (skeleton_id, node_id), the source first, in depth-first order."""
 
-    def fn(f, left, right):
-        parts = [(s, f.ids[f.descendants(i)]) for s, i in zip(right.node_id, f.index(right.node_id), strict=True) if i >= 0]
-        return pd.DataFrame({"source": np.repeat([s for s, _ in parts], [len(d) for _, d in parts]), "pos": np.concatenate([np.arange(len(d)) for _, d in parts] or [[]]), "node_id": np.concatenate([d for _, d in parts] or [[]])}).astype("int64")
+    def lay(f, at):
+        pre = f.preorder()
+        place = np.empty(f.n, np.int64)
+        place[pre] = np.arange(f.n)
+        return f.ids[pre], np.zeros(0, np.int64), place[at], f._sizes()[at]
 
-    return _with(nodes, sources, fn, "skeleton_id bigint, source bigint, pos bigint, node_id bigint")
+    return _runs(nodes, sources, lay, lambda _, start, count, pos: np.repeat(start, count) + pos)
 
 
 def paths_to_root(nodes: DataFrame, sources: DataFrame) -> DataFrame:
     """Paths from each source to its root, the source first."""
 
-    def fn(f, left, right):
-        rows = [(s, k, f.ids[x]) for s, i in zip(right.node_id, f.index(right.node_id), strict=True) if i >= 0 for k, x in enumerate(f.path(int(i)))]
-        return pd.DataFrame(rows, columns=["source", "pos", "node_id"]).astype("int64")
+    def lay(f, at):
+        return f.ids, np.where(f.is_root, np.arange(f.n), f.parent), at, f.depth[at] + 1
+
+    return _runs(nodes, sources, lay, lambda up, start, count, _: climb(up, start, count))
+
+
+def _runs(nodes: DataFrame, sources: DataFrame, lay, fill) -> DataFrame:
+    """(source, pos, node_id): a run of nodes for each source, dealt in blocks of sources that yield a few runs at a time.
 
-    return _with(nodes, sources, fn, "skeleton_id bigint, source bigint, pos bigint, node_id bigint")
+    ``lay`` gives from a forest and the sources' rows the ids, what ``fill`` needs, and each run's start and length.
+    """
+    binary = "skeleton_id bigint, blocks bigint, " + ", ".join(f"{c} binary" for c in _RUNS)
+
+    def pack(left, right):
+        if not len(left):
+            return pd.DataFrame({c.split()[0]: [] for c in binary.split(", ")})
+        f, left = _forest(left, False)
+        at = f.index(right.node_id)
+        ids, link, start, count = lay(f, at[at >= 0])
+        arrays = [ids, link, right.node_id.to_numpy(np.int64)[at >= 0], start, count]
+        return pd.DataFrame({"skeleton_id": left.skeleton_id.iloc[:1], "blocks": [min(-(-int(count.sum()) // RUNS), len(count))]} | {c: [a.tobytes()] for c, a in zip(_RUNS, arrays, strict=True)})
+
+    def expand(row):
+        ids, link, source, start, count = (np.frombuffer(row[c], np.int64) for c in _RUNS)
+        ends = np.cumsum(count)
+        a, b = np.searchsorted(ends, [ends[-1] * k // row["blocks"] for k in (row["block"], row["block"] + 1)], "right").tolist()
+        while a < b:
+            c = max(a + 1, min(b, int(np.searchsorted(ends, ends[a] - count[a] + (1 << 19), "right"))))
+            n = count[a:c]
+            pos = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
+            yield pa.RecordBatch.from_arrays([np.full(len(pos), row["skeleton_id"]), np.repeat(source[a:c], n), pos, ids[fill(link, start[a:c], n, pos)]], ["skeleton_id", "source", "pos", "node_id"])
+            a = c
+
+    packed = per_pair(only(nodes, *BASE[:4]), sources.select("skeleton_id", "node_id"), "skeleton_id", pack, binary)
+    return per_block(packed, "skeleton_id", expand, "skeleton_id bigint, source bigint, pos bigint, node_id bigint")
 
 
 def descendant_counts(nodes: DataFrame, target: str | None = None) -> DataFrame:

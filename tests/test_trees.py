@@ -154,3 +154,19 @@ def test_blocks_of_distances_are_bounded():
         blocks = [b for _, b in block_distances(at, at, place, end, f.root_distance()[rows], low, f.root_distance()[tops], directed, step=1000)]
         assert max(b.size for b in blocks) <= 1000
         assert np.array_equal(np.concatenate(blocks), f.distances(np.arange(n), np.arange(n), directed))
+
+
+def test_paths_and_subtrees_are_dealt_over_tasks(spark, monkeypatch):
+    from pyspark.sql import functions as F
+
+    monkeypatch.setattr(trees, "RUNS", 30, raising=False)
+    ids = list(range(60))
+    parents = [k - 1 if k < 20 else (k - 1) // 2 for k in ids]
+    f = Forest(ids, parents)
+    nodes = spark.createDataFrame([(0, k, p) for k, p in zip(ids, parents, strict=True)], "skeleton_id long, node_id long, parent_id long")
+    sources = spark.createDataFrame([(0, k) for k in [*ids, 7, 999]], "skeleton_id long, node_id long")
+    for got, walk in ((trees.paths_to_root(nodes, sources), f.path), (trees.descendants(nodes, sources), lambda i: f.descendants(i).tolist())):
+        got = got.withColumn("task", F.spark_partition_id()).collect()
+        want = [(s, k, x) for s in [*ids, 7] for k, x in enumerate(walk(s))]
+        assert sorted((r.source, r.pos, r.node_id) for r in got) == sorted(want)
+        assert len({r.task for r in got}) > 1
