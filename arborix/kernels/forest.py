@@ -322,6 +322,17 @@ class Forest:
             out.append(seg)
         return out
 
+    def linear_rows(self) -> tuple[np.ndarray, np.ndarray]:
+        """The rows of ``linear_segments`` one after the other, and the length of each."""
+        stop = self.topology()
+        hop, far = np.where(stop, np.arange(self.n), self.parent), (~stop).astype(np.int64)
+        for _ in range(self.n.bit_length()):
+            far += far[hop]
+            hop = hop[hop]
+        start = np.flatnonzero((self.n_children != 1) & ~self.is_root)
+        count = far[self.parent[start]] + 2
+        return climb(np.where(self.is_root, np.arange(self.n), self.parent), start, count), count
+
     def strahler(self, greedy: bool = False, ignore=None, min_twig_size: int | None = None) -> np.ndarray:
         leaf = self.n_children == 0
         skip_leaf = np.zeros(self.n, bool)

@@ -63,7 +63,7 @@ def resample_skeleton(nodes: DataFrame, spacing: float) -> DataFrame:
         raise ValueError("spacing must be positive")
 
     need(nodes, "x", "y", "z")
-    return _each(nodes, lambda f, p: _resampled(f, p, spacing)[0], f"{NODE}, parent_id bigint, x double, y double, z double, source_child bigint, source_parent bigint, alpha double", "x", "y", "z")
+    return _each(nodes, lambda f, p: _resampled(f, p, spacing), f"{NODE}, parent_id bigint, x double, y double, z double, source_child bigint, source_parent bigint, alpha double", "x", "y", "z")
 
 
 def resample_node_map(nodes: DataFrame, spacing: float) -> DataFrame:
@@ -71,33 +71,58 @@ def resample_node_map(nodes: DataFrame, spacing: float) -> DataFrame:
     if not spacing > 0:
         raise ValueError("spacing must be positive")
     need(nodes, "x", "y", "z")
-    return _each(nodes, lambda f, p: _resampled(f, p, spacing)[1], f"{NODE}, target bigint", "x", "y", "z")
-
-
-def _resampled(f, p: pd.DataFrame, spacing: float) -> tuple[pd.DataFrame, pd.DataFrame]:
-    xyz, ids = _xyz(p), f.ids
-    rows = {i: [ids[i], -1, *xyz[i], ids[i], ids[i], 0.0] for i in np.flatnonzero(f.topology()).tolist()}
-    extra, new, target = [], int(ids.max(initial=-1)) + 1, ids.copy()
-    for seg in f.linear_segments():
-        at = k.arc(xyz[seg])
-        parts = k.parts_of(at[-1], spacing)
-        below, line = rows[seg[0]], [ids[seg[0]]]
-        for j in range(1, parts):
-            t = at[-1] * j / parts
-            e = min(int(np.searchsorted(at[1:], t, "left")), len(seg) - 2)
-            step = at[e + 1] - at[e]
-            a = (t - at[e]) / step if step > 0 else 0.0
-            below[1] = new
-            below = [new, -1, *(xyz[seg[e]] * (1 - a) + xyz[seg[e + 1]] * a), ids[seg[e]], ids[seg[e + 1]], a]
-            extra.append(below)
-            line.append(new)
-            new += 1
-        below[1] = ids[seg[-1]]
-        line.append(ids[seg[-1]])
-        for i, d in zip(seg[1:-1], at[1:-1].tolist(), strict=True):
-            target[i] = line[int(np.floor(d / at[-1] * parts + 0.5))] if at[-1] > 0 else line[0]
-    out = pd.DataFrame([*rows.values(), *extra], columns=["node_id", "parent_id", "x", "y", "z", "source_child", "source_parent", "alpha"])
-    return out, pd.DataFrame({"node_id": ids, "target": target})
+    return _each(nodes, lambda f, p: _mapped(f, p, spacing), f"{NODE}, target bigint", "x", "y", "z")
+
+
+def _laid(f, p: pd.DataFrame, spacing: float):
+    """All segments one after the other: rows, first positions, lengths, place along the cable; and cable, parts and first new id of each."""
+    xyz = _xyz(p)
+    flat, count = f.linear_rows()
+    first, at = np.cumsum(count) - count, np.zeros(len(flat))
+    step = np.linalg.norm(np.diff(xyz[flat], axis=0), axis=1)
+    for n in np.unique(count).tolist():  # row by row, so that sums round as those of one segment
+        cells = first[count == n][:, None] + np.arange(1, n)
+        at[cells] = np.cumsum(step[cells - 1], axis=1)
+    total = at[first + count - 1]
+    if not np.isfinite(total).all():
+        raise ValueError("segments need finite coordinates")
+    parts = np.maximum(1, np.floor(total / spacing + 0.5)).astype(np.int64)
+    return xyz, flat, first, count, at, total, parts, int(f.ids.max(initial=-1)) + 1 + np.cumsum(parts - 1) - (parts - 1)
+
+
+def _mapped(f, p: pd.DataFrame, spacing: float) -> pd.DataFrame:
+    _, flat, first, count, at, total, parts, new = _laid(f, p, spacing)
+    g, target = np.repeat(np.arange(len(count)), count), f.ids.copy()
+    inner = np.arange(len(flat)) - first[g]
+    inner = np.flatnonzero((inner > 0) & (inner < count[g] - 1))
+    g = g[inner]
+    whole = total[g] > 0
+    j = np.where(whole, np.floor(at[inner] / np.where(whole, total[g], 1.0) * parts[g] + 0.5), 0).astype(np.int64)
+    ends = np.where(j == 0, f.ids[flat[first[g]]], f.ids[flat[first[g] + count[g] - 1]])
+    target[flat[inner]] = np.where((j == 0) | (j == parts[g]), ends, new[g] + j - 1)
+    return pd.DataFrame({"node_id": f.ids, "target": target})
+
+
+def _resampled(f, p: pd.DataFrame, spacing: float) -> pd.DataFrame:
+    xyz, flat, first, count, at, total, parts, new = _laid(f, p, spacing)
+    ids, stays, last = f.ids, np.flatnonzero(f.topology()), f.ids[flat[first + count - 1]]
+    up = np.full(f.n, -1)
+    up[flat[first]] = np.where(parts > 1, new, last)
+    g = np.repeat(np.arange(len(count)), parts - 1)
+    j = np.arange(len(g)) - np.repeat(np.cumsum(parts - 1) - (parts - 1), parts - 1) + 1
+    t = total[g] * j / parts[g]
+    # complex numbers are ordered by segment, then by place
+    e = np.searchsorted(np.repeat(np.arange(len(count)), count) + 1j * at, g + 1j * t, "left") - 1
+    e = np.minimum(e, first[g] + count[g] - 2)
+    step = at[e + 1] - at[e]
+    a = np.where(step > 0, (t - at[e]) / np.where(step > 0, step, 1.0), 0.0)
+    place = xyz[flat[e]] * (1 - a)[:, None] + xyz[flat[e + 1]] * a[:, None]
+    joined = lambda x, y: np.concatenate([x, y])
+    return pd.DataFrame(
+        {"node_id": joined(ids[stays], new[g] + j - 1), "parent_id": joined(up[stays], np.where(j < parts[g] - 1, new[g] + j, last[g]))}
+        | {c: joined(xyz[stays, i], place[:, i]) for i, c in enumerate("xyz")}
+        | {"source_child": joined(ids[stays], ids[flat[e]]), "source_parent": joined(ids[stays], ids[flat[e + 1]]), "alpha": joined(np.zeros(len(stays)), a)}
+    )
 
 
 def _smooth(nodes: DataFrame, mean) -> DataFrame:

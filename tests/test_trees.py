@@ -170,3 +170,25 @@ def test_paths_and_subtrees_are_dealt_over_tasks(spark, monkeypatch):
         want = [(s, k, x) for s in [*ids, 7] for k, x in enumerate(walk(s))]
         assert sorted((r.source, r.pos, r.node_id) for r in got) == sorted(want)
         assert len({r.task for r in got}) > 1
+
+
+def test_resampled_map_takes_little_memory():
+    import tracemalloc
+
+    import pandas as pd
+
+    n = 30_000
+    f = Forest(np.arange(n), np.where(np.arange(n) % 17, (np.arange(n) - 1) // 2, -1))
+    p = pd.DataFrame({c: np.arange(n) * k % 101.0 for c, k in zip("xyz", (1, 7, 30), strict=True)})
+    made = getattr(resampling, "_mapped", None) or (lambda *a: resampling._resampled(*a)[1])
+    tracemalloc.start()
+    out = made(f, p, 20.0)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert len(out) == n and peak < 400 * n
+    segments = f.linear_segments()
+    flat, count = f.linear_rows()
+    assert flat.tolist() == [i for s in segments for i in s] and count.tolist() == [len(s) for s in segments]
+    # a node inside a segment goes to one of its ends or to a new one
+    ends = {i: {s[0], s[-1]} for s in segments for i in s[1:-1]}
+    assert all(t == i if i not in ends else t in ends[i] or t >= n for i, t in zip(out.node_id, out.target, strict=True))
